@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, text_or_empty
+from .common import map_slices, text_or_empty, with_id
 
 NONE = np.int32(2**31 - 1)
 #: Rows longer than this are merged with a heap instead: a matrix round costs the whole row.
@@ -179,8 +179,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         return columns
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), f"`{id_col}` {kind}, n_tokens bigint, ids binary", 1, start)
+    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "n_tokens bigint, ids binary"), 1, start)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -190,5 +189,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
         codec = BytePairCodec(path, pattern)
         return lambda batch: [batch.column(0), batch.column(1), batch.column(2), [codec.decode(x or b"") for x in batch.column(2).to_pylist()]]
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return map_slices(encoded.select(id_col, "n_tokens", "ids"), f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded binary", 2, start)
+    return map_slices(encoded.select(id_col, "n_tokens", "ids"), with_id(encoded, id_col, "n_tokens bigint, ids binary, decoded binary"), 2, start)

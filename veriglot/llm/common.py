@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space of the contracts, [\x20\x09-\x0D].
@@ -62,13 +64,20 @@ def sliced(batches: Iterator[pa.RecordBatch], weigh: int) -> Iterator[pa.RecordB
             yield batch.slice(first)
 
 
-def map_slices(df: DataFrame, schema: str, weigh: int, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def with_id(df: DataFrame, id_col: str, rest: str, name: str | None = None) -> StructType:
+    """Schema of the column id_col, called name, and of the columns in the DDL string rest."""
+    return StructType([StructField(name or id_col, df.schema[id_col].dataType), *StructType.fromDDL(rest).fields])
+
+
+def packed_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc (a struct of all columns, whatever their names) and the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias(text_col))
+
+
+def map_slices(df: DataFrame, schema: StructType, weigh: int, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """mapInArrow over slices of bounded size. start() runs once in each task and returns the function that makes the
     output columns of a slice."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = start()

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_slices, text_or_empty
+from .common import map_slices, packed_rows, text_or_empty, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges (Unicode blocks) and the script of each range.
@@ -95,7 +96,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows:
 
         return columns
 
-    sums = map_slices(labelled, "lang string, cell int, n bigint", 1, start).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    sums = map_slices(labelled, StructType.fromDDL("lang string, cell int, n bigint"), 1, start).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums.lang.unique())
     count = np.zeros((BUCKETS + len(NAMES), len(languages)))
     for lang, cell, n in zip(sums.lang, sums.cell, sums.n, strict=True):
@@ -172,8 +173,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: st
 
         return columns
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), f"`{id_col}` {kind}, lang_pred string, score double, spans string", 1, start)
+    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "lang_pred string, score double, spans string"), 1, start)
+
+
+def identify_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """identify(), with all columns of docs in the struct doc."""
+    return identify(packed_rows(docs, text_col), model, id_col="doc", text_col=text_col)
 
 
 def _spans(text: str, words: list[str], labels: np.ndarray, languages: list[str]) -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, text_or_empty
+from .common import map_slices, text_or_empty, with_id
 
 CAPACITY = 2048
 #: Mean number of documents in a group; a group is packed by one task.
@@ -55,8 +55,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
 
         return columns
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), f"`{id_col}` {kind}, ids binary", 1, start)
+    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "ids binary"), 1, start)
 
 
 class Tournament:
@@ -149,8 +148,7 @@ def pack_groups(tokens: DataFrame, n_docs: int, capacity: int = CAPACITY, group_
     Groups are drawn by a hash of id and ids; repeated rows are documents of their own. n_docs only sets the number of
     groups."""
     groups = max(1, -(-n_docs // group_docs))
-    kind = tokens.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+    schema = with_id(tokens, id_col, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         docs, ids = table.column(0).to_pylist(), table.column(1).to_pylist()

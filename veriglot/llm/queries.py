@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, packing, secrets
+from . import byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets
 from .common import UPPER, documents
 
 
@@ -48,13 +48,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_groups(tokens, docs.count()).drop("ids")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = secrets.scan(docs, secrets.train(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_language_id, op6_line_dedup, op8_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_language_id, op6_line_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": f"""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, text_or_empty
+from .common import map_slices, packed_rows, text_or_empty, with_id
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -107,7 +107,7 @@ def coded(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base (spans of the patterns), spans (those and the model's, kind random, which
     overlap none of them) and redacted (the text with each span's characters replaced by [secret]). Null and empty
     texts have no span; rows are scanned one by one, whatever their ids."""
@@ -127,8 +127,12 @@ def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, id_c
 
         return columns
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base string, spans string, redacted string", 1, start)
+    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "n_assign bigint, n_access bigint, n_hex bigint, base string, spans string, redacted string"), 1, start)
+
+
+def scan_rows(docs: DataFrame, model: MarkovRatio, text_col: str = "text") -> DataFrame:
+    """scan(), with all columns of docs in the struct doc."""
+    return scan(packed_rows(docs, text_col), model, id_col="doc", text_col=text_col)
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
