@@ -14,13 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, text_or_empty, with_id
+from .common import map_slices, text_or_empty, trimmed, with_id
 
 NONE = np.int32(2**31 - 1)
 #: Rows longer than this are merged with a heap instead: a matrix round costs the whole row.
 LONGEST_ROW = 512
-#: Pre-tokens a worker remembers, about 100 MB.
-REMEMBERED = 400_000
 
 
 class PairTable:
@@ -145,10 +143,7 @@ class BytePairCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces.findall(t) for t in texts]
-        new = set().union(*split)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        new.difference_update(self.known)
+        new = trimmed(self.known, set().union(*split))
         rows, words = [], []
         for word in new:
             raw = word.encode()

@@ -17,7 +17,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space of the contracts, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 #: Python handles so much text at a time, whatever the number of rows in an Arrow batch.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 2_000_000
+#: Rows and bytes of an Arrow batch; the JVM and Python hold several batches for each task.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16_000_000
+#: Words that a worker remembers results for.
+REMEMBERED = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +53,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], weigh: int) -> Iterator[pa.RecordBatch]:
-    """Cuts batches where column number `weigh` (string or binary) would exceed SLICE_BYTES."""
+def trimmed(known: dict, wanted: set) -> set:
+    """Of wanted, what isn't known. Forgets what isn't wanted just now if too much is known."""
+    new = wanted.difference(known)
+    if len(known) + len(new) > REMEMBERED:
+        keep = {w: known[w] for w in wanted if w in known}
+        known.clear()
+        known.update(keep)
+    return new
+
+
+def sliced(batches: Iterator[pa.RecordBatch], weigh: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts batches where column number `weigh` (string or binary) would exceed `most` bytes."""
     import pyarrow.compute as pc
 
     for batch in batches:
         first, held = 0, 0
         for i, n in enumerate(pc.binary_length(batch.column(weigh)).to_pylist()):
-            if held and held + (n or 0) > SLICE_BYTES:
+            if held and held + (n or 0) > most:
                 yield batch.slice(first, i - first)
                 first, held = i, 0
             held += n or 0
@@ -74,15 +88,22 @@ def packed_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias(text_col))
 
 
-def map_slices(df: DataFrame, schema: StructType, weigh: int, start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are cut by rows and, where Spark knows the setting, by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def map_slices(df: DataFrame, schema: StructType, weigh: int, start: Callable[[], Callable[[pa.RecordBatch], list]], most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size. start() runs once in each task and returns the function that makes the
     output columns of a slice."""
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = start()
-        for batch in sliced(batches, weigh):
+        for batch in sliced(batches, weigh, most):
             made = columns(batch)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(made, out, strict=True)], schema=out)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_slices, packed_rows, text_or_empty, with_id
+from .common import map_slices, packed_rows, text_or_empty, trimmed, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges (Unicode blocks) and the script of each range.
@@ -23,8 +23,9 @@ STARTS, NAMES = np.array([s for s, _ in SCRIPTS]), sorted({n for _, n in SCRIPTS
 SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
-#: Rows the classifier is fitted on at most, about; the switching penalty in nats; words a worker remembers.
-TRAIN_ROWS, PENALTY, REMEMBERED = 20_000, 12.0, 400_000
+#: Rows the classifier is fitted on at most, about; the switching penalty in nats; bytes of text whose
+#: words are labelled together.
+TRAIN_ROWS, PENALTY, SLICE = 20_000, 12.0, 6_000_000
 #: A script belongs to a language from this share of its letters.
 SCRIPT_SHARE = 0.02
 
@@ -146,15 +147,13 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: st
             nonlocal table
             texts = batch.column(1).to_pylist()
             words = [WORD.findall(t.lower()) for t in texts]
-            new = set().union(*words)
-            if signs := {w for w in new if not any(map(str.isalpha, w))}:  # such as superscript digits
+            wanted = set().union(*words)
+            if signs := {w for w in wanted if not any(map(str.isalpha, w))}:  # such as superscript digits
                 words = [[w for w in ws if w not in signs] for ws in words]
-                new -= signs
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                table = table[:0]
-            new = sorted(new.difference(known))
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                wanted -= signs
+            new = sorted(trimmed(known, wanted))
+            table = table[list(known.values())]
+            known.update(zip([*known, *new], range(len(known) + len(new)), strict=True))
             table = np.concatenate([table, model.word_scores(new)]) if model.languages else np.zeros((len(known), 0), np.float32)
             length = np.array([len(w) for w in words], np.int64)
             get, order = known.__getitem__, np.argsort(-length, kind="stable")
@@ -173,7 +172,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: st
 
         return columns
 
-    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "lang_pred string, score double, spans string"), 1, start)
+    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "lang_pred string, score double, spans string"), 1, start, SLICE)
 
 
 def identify_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

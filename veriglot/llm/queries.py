@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets
+from . import byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup
 from .common import UPPER, documents
 
 
@@ -42,6 +42,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "keep_bitmap")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     tokens = packing.tokenise(docs, tokenizer_file("word_bpe_49k.json"))
@@ -58,7 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_language_id, op6_line_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_language_id, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": f"""
