@@ -94,14 +94,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def map_slices(df: DataFrame, schema: StructType, weigh: int, start: Callable[[], Callable[[pa.RecordBatch], list]], most: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow over slices of bounded size. start() runs once in each task and returns the function that makes the
+def map_slices(df: DataFrame, schema: StructType, weigh: int | None, start: Callable[[], Callable[[pa.RecordBatch], list]], most: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of bounded size (weigh None: over batches as they come). start() runs once in each task and returns the function that makes the
     output columns of a slice."""
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = start()
-        for batch in sliced(batches, weigh, most):
+        for batch in (batches if weigh is None else sliced(batches, weigh, most)):
             made = columns(batch)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(made, out, strict=True)], schema=out)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup
+from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup
 from .common import UPPER, documents
 
 
@@ -25,6 +25,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -63,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op3_exact_dedup, op4_language_id, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": f"""
