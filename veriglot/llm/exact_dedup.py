@@ -31,7 +31,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         groups = rows.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("keep")).filter("size > 1").withColumn("next", F.monotonically_increasing_id())
         groups = materialise(groups, f"radix-groups-{at}")
         ended = F.col("next").isNull() | (F.octet_length("rest") <= width)
-        split = rows.join(groups, ["gid", "digit"], "left").select(
+        split = rows.join(groups.hint("merge"), ["gid", "digit"], "left").select(
             "id", "sha", F.col("next").alias("gid"), F.coalesce("size", F.lit(1)).alias("size"),
             F.when(F.col("next").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"),
             F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
