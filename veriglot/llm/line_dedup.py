@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, text_or_empty
+from .common import SPACE, ascii_lower, materialise, text_or_empty
 
 MIN_CHARS, MIN_DOCS, SALTS = 40, 5, 32
 
@@ -26,24 +26,23 @@ def _row_key(text_col: str) -> Column:
 
 def _line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """id, row (hash of the text, for ids that repeat), pos, and a 128-bit hash of each key that is long enough."""
-    hashed = docs.select(F.col(id_col).alias("id"), _row_key(text_col).alias("row"), F.posexplode(_lines(text_col)).alias("pos", "line"))
-    key = ascii_lower(F.btrim("line", F.lit(SPACE)))
-    hashed = hashed.withColumn("key", key).filter(F.length("key") >= min_chars)
-    return hashed.select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7919), "key").alias("h2"))
+    numbered = F.transform(F.split(ascii_lower(text_or_empty(text_col)), "\n", -1), lambda line, pos: F.struct(pos.alias("pos"), F.btrim(line, F.lit(SPACE)).alias("key")))
+    hashed = F.transform(F.filter(numbered, lambda x: F.length(x["key"]) >= min_chars), lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(7919), x["key"]).alias("h2")))
+    return docs.select(F.col(id_col).alias("id"), _row_key(text_col).alias("row"), F.inline(hashed))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """id, row, dropped (sorted positions of dropped lines) for each document that loses lines; see bitmap(). A line
     repeated inside one document counts that document once and, where the document is the largest that holds it, all
     its occurrences stay. Null ids are one smallest id."""
-    lines = _line_rows(docs, id_col, text_col, min_chars)
+    lines = materialise(_line_rows(docs, id_col, text_col, min_chars), "lines")
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))).repartitionByRange("h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("id"), "row", "pos")
     before = F.lag(F.struct("id", "row")).over(order)
     first = (before.isNull() | ~before.eqNullSafe(F.struct("id", "row"))).cast("long")
     streamed = salted.withColumn("first", first).groupBy("h1", "h2", "salt").agg(F.sum("first").alias("n"), F.max("id").alias("keeper"))
     repeated = streamed.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
-    lost = lines.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))
+    lost = lines.join(repeated.hint("merge"), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
@@ -58,8 +57,8 @@ def keep_runs(dropped: Column, n: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc (a struct of the input's columns, whatever their names), n_lines, n_dropped, keep_bitmap (runs as
     start+length, comma-joined) and kept_text. Null and empty texts are one empty line."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("doc_key"), _row_key(text_col).alias("doc_row"), _lines(text_col).alias("lines"))
-    joined = packed.join(bitmaps, F.col("doc_key").eqNullSafe(F.col("id")) & (F.col("doc_row") == F.col("row")), "left")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("doc_key"), _row_key(text_col).alias("doc_row"))
+    joined = packed.join(bitmaps.hint("merge"), F.col("doc_key").eqNullSafe(F.col("id")) & (F.col("doc_row") == F.col("row")), "left").withColumn("lines", _lines(f"doc.`{text_col}`"))
     joined = joined.withColumn("runs", keep_runs(F.coalesce("dropped", F.expr("cast(array() as array<int>)")), F.size("lines")))
     kept = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("lines", r["start"] + 1, r["length"]))), "\n")
     coded = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit("+"), r["length"].cast("string"))), ",")
