@@ -20,12 +20,13 @@ from .common import map_slices, materialise, small_batches, with_id
 
 #: Rows to fit on and cells, at most; sub-vectors and codes of each; rows of a block and queries compared with it at a
 #: time; rows of a cell that are scored exactly for a query; recall wanted of the probed cells.
-SAMPLE, CELLS, PARTS, CODES, BLOCK, QUERIES, RERANK, RECALL = 20_000, 4096, 16, 256, 8192, 2048, 64, 0.985
+SAMPLE, CELLS, PARTS, CODES, BLOCK, QUERIES, RERANK, RECALL = 20_000, 4096, 16, 256, 8192, 2048, 128, 0.985
 
 
 @dataclass
 class Index:
     centroids: np.ndarray
+    scales: np.ndarray  # of residuals in each cell: dense cells are quantised as finely as their rows lie
     codebooks: np.ndarray
     probes: int
 
@@ -37,7 +38,7 @@ class Index:
         return _nearest(x, self.centroids)
 
     def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        rest, e = x - self.centroids[cells], self.edges
+        rest, e = (x - self.centroids[cells]) / self.scales[cells, None], self.edges
         return np.stack([_nearest(rest[:, a:b], book[:, : b - a]) for book, a, b in zip(self.codebooks, e, e[1:], strict=False)], 1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -65,9 +66,13 @@ def fit(sample: np.ndarray, rows: int, k: int = 20, recall: float = RECALL, seed
     """sample: float32 rows of a table of `rows` rows; the number of cells is its square root."""
     rng, sample = np.random.default_rng(seed), np.unique(sample, axis=0)  # copies of a vector would count as its neighbours
     centroids = _kmeans(sample, int(min(max(1, np.sqrt(rows)), CELLS, len(sample))), rng)
-    index = Index(centroids, np.zeros((min(PARTS, sample.shape[1]), 0, 0), np.float32), len(centroids))
+    index = Index(centroids, np.ones(len(centroids), np.float32), np.zeros((min(PARTS, sample.shape[1]), 0, 0), np.float32), len(centroids))
     own = index.cells(sample)
     rest, e = sample - centroids[own], index.edges
+    spread = (rest * rest).sum(1)
+    mean = np.bincount(own, spread, len(centroids)) / np.maximum(1, np.bincount(own, minlength=len(centroids)))
+    index.scales = np.sqrt(np.where(mean > 1e-12, mean, max(float(spread.mean()), 1e-12))).astype(np.float32)
+    rest = rest / index.scales[own, None]
     width, books = max(np.diff(e)), []
     for a, b in zip(e, e[1:], strict=False):
         book = _kmeans(rest[:, a:b], CODES, rng, 6)
@@ -108,12 +113,13 @@ def scan_block(index: Index, ids: np.ndarray, cells: np.ndarray, codes: np.ndarr
         rows, asks = np.flatnonzero(cells == cell), np.flatnonzero(probed[:, cell])
         rows = rows[np.argsort(ids[rows], kind="stable")]  # equal scores then keep the order of ids
         rows = rows[_among_copies(x[rows]) <= k]  # of equal vectors, only the first k besides the query's own can be found
-        for part in np.array_split(asks, len(asks) * len(rows) // 4_000_000 + 1):
+        for part in np.array_split(asks, len(asks) * max(len(rows), min(len(rows), rerank) * x.shape[1]) // 4_000_000 + 1):
             if not len(part):
                 continue
-            near = np.repeat(toward[part, cell][:, None], len(rows), 1)
+            near = np.zeros((len(part), len(rows)), np.float32)
             for m in range(codes.shape[1]):
                 near += tables[part, m][:, codes[rows, m]]
+            near = toward[part, cell][:, None] + index.scales[cell] * near
             near[q_ids[part][:, None] == ids[rows][None]] = -np.inf
             top = np.argsort(-near, 1, kind="stable")[:, :rerank]
             exact = np.einsum("qd,qrd->qr", q[part], x[rows[top]])
