@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secrets, suffix_dedup
+from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, suffix_dedup
 from .common import UPPER, documents
 
 
@@ -40,6 +40,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return lm_score.score(documents(spark, sf_dir), good)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     applied = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -67,7 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op5_lm_score, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": f"""
