@@ -1,4 +1,4 @@
 """All queries of the engine and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import issue_queries, rule_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
