@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, text_or_empty, trimmed, with_id
+from .common import Memory, map_slices, text_or_empty, with_id
 
 NONE = np.int32(2**31 - 1)
 #: Rows longer than this are merged with a heap instead: a matrix round costs the whole row.
@@ -59,44 +59,30 @@ class PairTable:
         return found
 
 
-class BytePairCodec:
-    def __init__(self, path: str, pattern: str):
-        import regex
+class RowMerger:
+    """Merges rows of ids, in padded matrices of rows of similar length."""
 
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        if max(self.ranks.values()) >= 1 << 16:
-            raise ValueError("a pair's key holds ids below 65536 only")
-        self.pieces = regex.compile(pattern)
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(a << 16 | b, rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
-        keys, values = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.table = PairTable(keys, values.astype(np.int32))
-        self.known: dict[str, bytes] = {}
+    def __init__(self, pairs: np.ndarray, ranks: np.ndarray, new_ids: np.ndarray):
+        """pairs: left << 16 | right; ranks: of each pair; new_ids: by rank."""
+        self.table, self.new_ids = PairTable(pairs, ranks), new_ids
 
-    def merge_rows(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
-        out = [b""] * len(words)
-        lengths = np.array([len(w) for w in words])
-        low = 0
-        while low < LONGEST_ROW:
+    def __call__(self, flat: np.ndarray, lengths: np.ndarray, kind: str) -> list[bytes]:
+        """Ids of each row, as bytes of dtype kind. flat holds the first ids of all rows, one after the other."""
+        out, begin, low = [b""] * len(lengths), np.cumsum(lengths) - lengths, 0
+        while low < lengths.max(initial=0):
             high = max(4, 2 * low)
-            for part in np.array_split(of := np.flatnonzero((lengths > low) & (lengths <= high)), len(of) * high // 2_000_000 + 1):
+            of = np.flatnonzero((lengths > low) & (lengths <= high))
+            for part in np.array_split(of, len(of) * high // 2_000_000 + 1):
                 if len(part):
-                    self._matrix(words, part, lengths, high, out)
+                    column = np.arange(high)
+                    inside = column < lengths[part, None]
+                    ids = np.where(inside, flat[np.where(inside, begin[part, None] + column, 0)], -1).astype(np.int32)
+                    self._matrix(ids, part, kind, out)
             low = high
-        for i in np.flatnonzero(lengths > LONGEST_ROW):
-            out[i] = self._heap(words[i])
         return out
 
-    def _matrix(self, words: list[bytes], part: np.ndarray, lengths: np.ndarray, width: int, out: list[bytes]) -> None:
-        n = lengths[part]
-        ids = np.full((len(part), width), -1, np.int32)
-        ids[np.arange(width) < n[:, None]] = self.single[np.frombuffer(b"".join([words[i] for i in part]), np.uint8)]
-        rank = self.table.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(part), width - 1)
+    def _matrix(self, ids: np.ndarray, part: np.ndarray, kind: str, out: list[bytes]) -> None:
+        rank = self.table.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(part), ids.shape[1] - 1)
         while len(part):
             row = np.arange(len(part))
             at = rank.argmin(1) if rank.shape[1] else np.zeros(len(part), np.int64)
@@ -104,14 +90,15 @@ class BytePairCodec:
             live = best != NONE
             if not live.all():
                 ended = ids[~live]
-                flat, size = ended.astype("<u4").tobytes(), 4 * ended.shape[1]
-                for k, (i, m) in enumerate(zip(part[~live].tolist(), (4 * (ended >= 0).sum(1)).tolist(), strict=True)):
+                raw = ended.astype(kind)
+                flat, size = raw.tobytes(), raw.itemsize * ended.shape[1]
+                for k, (i, m) in enumerate(zip(part[~live].tolist(), (raw.itemsize * (ended >= 0).sum(1)).tolist(), strict=True)):
                     out[i] = flat[k * size : k * size + m]
                 part, ids, rank, at, best = part[live], ids[live], rank[live], at[live], best[live]
                 if not len(part):
                     return
                 row = np.arange(len(part))
-            ids[row, at] = best  # a merged pair's id is its rank
+            ids[row, at] = self.new_ids[best]
             wide = ids.shape[1]
             ids = ids[np.arange(wide) != (at + 1)[:, None]].reshape(len(part), wide - 1)
             rank = rank[np.arange(wide - 1) != at[:, None]].reshape(len(part), wide - 2)
@@ -119,6 +106,37 @@ class BytePairCodec:
             rank[left, at[left] - 1] = self.table.get(ids[left, at[left] - 1], ids[left, at[left]])
             rank[right, at[right]] = self.table.get(ids[right, at[right]], ids[right, at[right] + 1])
 
+
+class BytePairCodec:
+    def __init__(self, path: str, pattern: str):
+        import regex
+
+        with open(path, "rb") as file:
+            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        if max(self.ranks.values()) >= 1 << 16:
+            raise ValueError("a pair's key holds ids below 65536 only")
+        self.pieces = regex.compile(pattern)
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = [(a << 16 | b, rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
+        keys, values = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.merger = RowMerger(keys, values.astype(np.int32), np.arange(len(self.tokens), dtype=np.int32))  # a merged pair's id is its rank
+        self.known = Memory()
+
+    def merge_rows(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        short = np.flatnonzero(lengths <= LONGEST_ROW)
+        flat = self.single[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]
+        out = [b""] * len(words)
+        for i, ids in zip(short.tolist(), self.merger(flat, lengths[short], "<u4"), strict=True):
+            out[i] = ids
+        for i in np.flatnonzero(lengths > LONGEST_ROW):
+            out[i] = self._heap(words[i])
+        return out
+
     def _heap(self, word: bytes) -> bytes:
         import heapq
 
@@ -143,7 +161,7 @@ class BytePairCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces.findall(t) for t in texts]
-        new = trimmed(self.known, set().union(*split))
+        new = self.known.missing(set().union(*split))
         rows, words = [], []
         for word in new:
             raw = word.encode()

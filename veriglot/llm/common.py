@@ -20,8 +20,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 2_000_000
 #: Rows and bytes of an Arrow batch; the JVM and Python hold several batches for each task.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16_000_000
-#: Words that a worker remembers results for.
-REMEMBERED = 300_000
+#: Words that a worker remembers results for, in each of two generations.
+REMEMBERED = 120_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,14 +53,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def trimmed(known: dict, wanted: set) -> set:
-    """Of wanted, what isn't known. Forgets what isn't wanted just now if too much is known."""
-    new = wanted.difference(known)
-    if len(known) + len(new) > REMEMBERED:
-        keep = {w: known[w] for w in wanted if w in known}
-        known.clear()
-        known.update(keep)
-    return new
+class Memory(dict):
+    """Results by word, in two generations: when the young one is full it becomes the old one, and words that are
+    wanted again come back from there."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def missing(self, wanted: set) -> set:
+        """Of wanted, what isn't known; all that is known is in the young generation afterwards."""
+        new = wanted.difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+            new = wanted
+        back = {w: self.old[w] for w in new if w in self.old}
+        self.update(back)
+        return new.difference(back)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], weigh: int, most: int) -> Iterator[pa.RecordBatch]:

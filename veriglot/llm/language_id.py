@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_slices, packed_rows, text_or_empty, trimmed, with_id
+from .common import REMEMBERED, map_slices, packed_rows, text_or_empty, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges (Unicode blocks) and the script of each range.
@@ -144,16 +144,19 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: st
         table = np.zeros((0, len(model.languages)), np.float32)
 
         def columns(batch: pa.RecordBatch) -> list:
-            nonlocal table
+            nonlocal known, table
             texts = batch.column(1).to_pylist()
             words = [WORD.findall(t.lower()) for t in texts]
             wanted = set().union(*words)
             if signs := {w for w in wanted if not any(map(str.isalpha, w))}:  # such as superscript digits
                 words = [[w for w in ws if w not in signs] for ws in words]
                 wanted -= signs
-            new = sorted(trimmed(known, wanted))
-            table = table[list(known.values())]
-            known.update(zip([*known, *new], range(len(known) + len(new)), strict=True))
+            if len(known) + len(wanted) > 2 * REMEMBERED:  # keep what is wanted just now
+                kept = [w for w in known if w in wanted]
+                table = table[[known[w] for w in kept]]
+                known = dict(zip(kept, range(len(kept)), strict=True))
+            new = sorted(wanted.difference(known))
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             table = np.concatenate([table, model.word_scores(new)]) if model.languages else np.zeros((len(known), 0), np.float32)
             length = np.array([len(w) for w in words], np.int64)
             get, order = known.__getitem__, np.argsort(-length, kind="stable")

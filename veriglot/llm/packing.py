@@ -14,48 +14,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, text_or_empty, with_id
+from .byte_bpe import RowMerger
+from .common import Memory, map_slices, text_or_empty, with_id
 
 CAPACITY = 2048
 #: Mean number of documents in a group; a group is packed by one task.
 GROUP_DOCS = 2000
-#: Chunks a worker remembers the ids of, about 100 MB.
-REMEMBERED = 400_000
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (binary, little-endian unsigned 16-bit) of each whole text, followed by end_id. The tokenizer's
-    pieces never span white space, so each distinct chunk between white space is tokenised once and remembered."""
+class ChunkSplitter:
+    """Chunks between white space. Texts of code points below 256 are lower-cased first, as the tokenizer does."""
 
-    def start():
+    def __init__(self):
+        import re
+
+        #: str.split() also splits at these, which the tokenizer's \s doesn't.
+        self.separators = re.compile("[\x1c-\x1f]")
+        self.spaces = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+    def __call__(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return [x for x in self.spaces.split(text) if x] if self.separators.search(text) else text.split()
+
+
+class ChunkTokenizer:
+    """Ids of chunks, as bytes. Letters below 256 are merged in matrices by the file's merges; ASCII signs behind
+    them, and all other chunks, are left to the library."""
+
+    def __init__(self, path: str):
+        import json
+        import os
         import re
 
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids are held in 16 bits")
-        known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        pairs = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.int64)
+        self.merger = RowMerger(pairs, np.arange(len(pairs), dtype=np.int32), np.array([vocab[a + b] for a, b in merges], np.int32))
+        signs = byte_signs()
+        self.inner, self.final = (np.array([vocab[signs[b] + end] for b in range(256)], np.int32) for end in ("", "</w>"))
+        self.plain = re.compile("([a-z\xdf-\xf6\xf8-\xff]{1,100})([!-&(-/:-@\\[-^`{-~]*)")
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        out, plain, words, tails = [b""] * len(chunks), [], [], []
+        for i, m in enumerate(map(self.plain.fullmatch, chunks)):
+            if m:
+                word, tail = m.groups()
+                plain.append(i)
+                words.append(word)
+                tails.append(tail)
+            else:
+                out[i] = self._by_library(chunks[i])
+        for tail in set(tails).difference(self.tails):
+            self.tails[tail] = self._by_library(tail)
+        words = [w.encode() for w in words]
+        lengths = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        flat, last = self.inner[raw], np.cumsum(lengths) - 1
+        flat[last] = self.final[raw[last]]
+        for i, ids, tail in zip(plain, self.merger(flat, lengths, "<u2"), map(self.tails.__getitem__, tails), strict=True):
+            out[i] = ids + tail
+        return out
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+
+
+def byte_signs() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself where it is printable Latin-1,
+    else one of the characters from 256 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
+def tokenise(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ids (binary, little-endian unsigned 16-bit) of each whole text, followed by end_id. The tokenizer's
+    pieces never span white space, so each distinct chunk between white space is tokenised once and remembered."""
+
+    def start():
+        chunks_of, ids_of, known = ChunkSplitter(), ChunkTokenizer(path), Memory()
         end = np.uint16(end_id).tobytes()
-        #: str.split() also splits at these, which the tokenizer's \s doesn't.
-        separators, spaces = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0  -     　]+")
 
         def columns(batch: pa.RecordBatch) -> list:
-            chunks = [t.split() if not separators.search(t) else [x for x in spaces.split(t) if x] for t in batch.column(1).to_pylist()]
-            new = set().union(*chunks)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            new = list(new.difference(known))
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for chunk, x in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(x.ids, "<u2").tobytes()
+            chunks = [chunks_of(t) for t in batch.column(1).to_pylist()]
+            new = list(known.missing(set().union(*chunks)))
+            known.update(zip(new, ids_of(new), strict=True))
             get = known.__getitem__
             return [batch.column(0), [b"".join(map(get, c)) + end for c in chunks]]
 
         return columns
 
-    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "ids binary"), 1, start)
+    return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "ids binary"), 1, start, 4_000_000)
 
 
 class Tournament:
