@@ -5,8 +5,9 @@ BANDS bands of ROWS coordinates are bucket keys, and links are confirmed by the
 
 Texts with equal sets are one class with one representative, so copies never form pairs. Of each bucket, every member
 is compared with one leader; where a bucket then still holds members of several components, these are compared across
-components: with further leaders in large buckets, and finally all with all, in blocks, after a filter on sizes and
-b-bit sketches. So no link inside a bucket goes untested unless its two ends are linked already.
+components: in small buckets by pairs that pass a filter on sizes and b-bit sketches, in large ones with further
+leaders and then by full sets, in blocks, of which one link for each member and other component comes out. So no link
+inside a bucket goes untested unless its two ends are connected already.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialise, packed_rows, text_or_empty, with_id
+from .common import map_slices, materialise, packed_rows, small_batches, text_or_empty, with_id
 
 WORDS, SIMILAR = 5, (75, 100)
 #: A pair of Jaccard index 0.75 shares no band with a chance of (1 - 0.75**4)**32, 5 in a million.
 BANDS, ROWS = 32, 4
-#: Extra coordinates of which a sketch keeps 8 bits each. Of a linked pair, fewer than LEAST agree once in 10**7.
-SKETCH, LEAST = 64, 30
-#: Buckets above this size get further leaders before members are compared in blocks of BLOCK.
-LARGE, BLOCK, LEADER_ROUNDS = 64, 1500, 3
+#: A sketch keeps 8 bits of all coordinates and of EXTRA more. Of a linked pair, fewer than LEAST agree once in 10**9.
+EXTRA, LEAST = 64, 108
+SKETCH = BANDS * ROWS + EXTRA
+#: Buckets above this size get further leaders, and then their members' full sets are compared in blocks of BLOCK.
+LARGE, BLOCK, LEADER_ROUNDS = 16, 1500, 2
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -99,11 +101,11 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             hashes, bands, sketch = ([None] * len(sets) for _ in range(3))
             if full:
-                sig = signatures([sets[i] for i in full], BANDS * ROWS + SKETCH)
+                sig = signatures([sets[i] for i in full], SKETCH)
                 keys = np.broadcast_to(salts, (len(full), BANDS)).copy()
                 for r in range(ROWS):
                     keys = _mix64(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : BANDS * ROWS : ROWS])
-                low = (sig[:, BANDS * ROWS :] >> np.uint32(24) ^ sig[:, BANDS * ROWS :]).astype(np.uint8)
+                low = (sig >> np.uint32(24) ^ sig).astype(np.uint8)
                 for i, k, s in zip(full, keys.view(np.int64), low, strict=True):
                     hashes[i], bands[i], sketch[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, s.tobytes()
             return [batch.column(0), [len(s) for s in sets], hashes, bands, sketch]
@@ -169,47 +171,97 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, salt: int) -> DataFrame:
-    """Each member with its bucket's leader, if both are of different components: the leader is the member of
-    smallest id, or of smallest salted hash."""
-    rank = F.struct(F.xxhash64(F.lit(salt), "id").alias("h"), "id", "component") if salt else F.struct("id", "component")
-    leaders = rows.groupBy("key").agg(F.min(rank).alias("leader"))
+    """Each member with its bucket's leader, if both are of different components. The leader is the member of smallest
+    id (salt 0), the one that is in most of these buckets (1), or that of smallest salted hash."""
+    if salt == 1:
+        rows = rows.join(rows.groupBy("id").agg((-F.count(F.lit(1))).alias("degree")).hint("merge"), "id")
+    rank = {0: [], 1: ["degree"]}.get(salt, [F.xxhash64(F.lit(salt), "id").alias("h")])
+    leaders = rows.groupBy("key").agg(F.min(F.struct(*rank, "id", "component")).alias("leader"))
     met = rows.join(leaders.hint("merge"), "key").filter("component <> leader.component")
     return _ordered(met.select(F.col("id").alias("x"), F.col("leader.id").alias("y")))
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """All pairs across components in buckets of at most LARGE members whose sizes allow a link."""
-    one = rows.filter(F.col("size") <= LARGE).select("key", "id", "component", "n_shingles")
-    two = one.select("key", F.col("id").alias("y"), F.col("component").alias("c"), F.col("n_shingles").alias("n"))
+def _sets(texts: DataFrame) -> DataFrame:
+    """id and its sorted shingle hashes as bytes."""
+
+    def start():
+        shingles = Shingler()
+        return lambda batch: [batch.column(0), [shingles(t).tobytes() for t in batch.column(1).to_pylist()]]
+
+    return map_slices(texts.select("id", "text"), with_id(texts, "id", "payload binary"), 1, start)
+
+
+def _allowed(n: np.ndarray, m: int) -> np.ndarray:
     share, of = SIMILAR
-    met = one.join(two.hint("merge"), "key").filter((F.col("id") < F.col("y")) & (F.col("component") != F.col("c")) & (of * F.least("n", "n_shingles") >= share * F.greatest("n", "n_shingles")))
-    return _ordered(met.select(F.col("id").alias("x"), "y"))
+    return of * np.minimum(n, m) >= share * np.maximum(n, m)
 
 
-def _large(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs across components in larger buckets, compared in pairs of blocks by size and sketch."""
-    rows = rows.filter(F.col("size") > LARGE).join(sketches.hint("merge"), "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", "id", "component", "n_shingles", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def similar_sketches(i: int, j: int, block: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, payload: list[bytes]) -> list[tuple]:
+    """Pairs of a bucket across components whose sizes and sketches allow a link."""
+    sketch, out = np.frombuffer(b"".join(payload), np.uint8).reshape(len(ids), SKETCH), []
+    for p in range(len(ids)):
+        may = np.flatnonzero((comp != comp[p]) & (ids > ids[p]) & _allowed(n, n[p]))
+        may = may[(sketch[may] == sketch[p]).sum(1) >= LEAST]
+        out += [(ids[p], ids[q]) for q in may]
+    return out
+
+
+def links_in_blocks(i: int, j: int, block: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, payload: list[bytes]) -> list[tuple]:
+    """Of blocks i and j of a bucket (or of one block), a link for each member outside their most common component and
+    each component that it links to. Intersections are counted over an index of all shingles."""
+    values, size = np.unique(comp, return_counts=True)
+    outside = np.flatnonzero(comp != values[size.argmax()])
+    if not len(outside):
+        return []
+    sets = [np.frombuffer(x, np.uint64) for x in payload]
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(ids)), [len(x) for x in sets])
+    order = np.argsort(shingle, kind="stable")
+    owner, (known, first, count) = owner[order], np.unique(shingle[order], return_index=True, return_counts=True)
     share, of = SIMILAR
+    out = []
+    for p in outside:
+        at = np.searchsorted(known, sets[p])
+        places = np.repeat(first[at] - np.append(0, np.cumsum(count[at])[:-1]), count[at]) + np.arange(count[at].sum())
+        same = np.bincount(owner[places], minlength=len(ids))
+        linked = (comp != comp[p]) & (of * same >= share * (n + n[p] - same)) & ((block != block[p]) | (i == j))
+        hit = np.flatnonzero(linked)
+        for q in hit[np.unique(comp[hit], return_index=True)[1]]:
+            out.append((ids[p], ids[q]))
+    return out
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "block"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), SKETCH)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right, xs, ys = np.flatnonzero(block == i), np.flatnonzero(block == j), [], []
-        for p in left:
-            may = right[(comp[right] != comp[p]) & (of * np.minimum(n[right], n[p]) >= share * np.maximum(n[right], n[p]))]
-            if i == j:
-                may = may[ids[may] > ids[p]]
-            may = may[(sketch[may] == sketch[p]).sum(1) >= LEAST]
-            xs.append(np.full(len(may), ids[p]))
-            ys.append(ids[may])
-        return pa.table([pa.array(np.concatenate(xs) if xs else [], table.schema.field("id").type), pa.array(np.concatenate(ys) if ys else [], table.schema.field("id").type)], ["x", "y"])
 
-    return _ordered(rows.groupBy("key", "i", "j").applyInArrow(compare, rows.select(F.col("id").alias("x"), F.col("id").alias("y")).schema))
+def _in_buckets(rows: DataFrame, payload: DataFrame, compare) -> DataFrame:
+    """Pairs that compare() finds in each bucket of rows, or in each pair of its blocks; payload: id and bytes."""
+    rows = rows.join(payload.hint("merge"), "id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "payload")
+
+    def run(batches):
+        """Bucket after bucket: rows come sorted, and a bucket may go on in the next batch."""
+        held: list[pa.Table] = []
+
+        def done() -> pa.RecordBatch:
+            table = pa.concat_tables(held)
+            found = compare(table.column("i")[0].as_py(), table.column("j")[0].as_py(), *(table.column(c).to_numpy() for c in ("block", "id", "component", "n_shingles")), table.column("payload").to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], table.schema.field("id").type) for k in (0, 1)], ["x", "y"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if held and any(held[-1].column(c)[0].as_py() != table.column(c)[int(a)].as_py() for c in ("key", "i", "j")):
+                    yield done()
+                    held = []
+                held.append(table.slice(int(a), int(b - a)))
+        if held:
+            yield done()
+
+    small_batches(rows.sparkSession)
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return _ordered(dealt.mapInArrow(run, rows.select(F.col("id").alias("x"), F.col("id").alias("y")).schema))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,11 +289,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         more = materialise(_confirm(pairs, texts), "links")
         tried, links = tried.unionAll(pairs), links.unionAll(more)
         rows = materialise(_open_rows(rows, links), "open")
-    pairs = _small(rows)
-    if not rows.filter(F.col("size") > LARGE).isEmpty():
-        pairs = pairs.unionAll(_large(rows, profile.select("id", "sketch").dropDuplicates(["id"]))).distinct()
+    sketches = profile.select("id", F.col("sketch").alias("payload")).dropDuplicates(["id"])
+    pairs = _in_buckets(rows.filter(F.col("size") <= LARGE), sketches, similar_sketches)
     pairs = materialise(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     links = links.unionAll(materialise(_confirm(pairs, texts), "links"))
+    large = rows.filter(F.col("size") > LARGE)
+    if not large.isEmpty():
+        sets = materialise(_sets(texts.join(large.select("id").distinct().hint("merge"), "id", "left_semi")), "sets")
+        links = links.unionAll(materialise(_in_buckets(large, sets, links_in_blocks), "links"))
     # rows that share an id link the classes of their texts
     reach = profile.select("id", "set_hash").filter("id is not null and set_hash is not null").distinct()
     doubled = reach.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
