@@ -53,6 +53,22 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return map_slices(docs, with_id(docs, "id", "target boolean, text string, block bigint"), 2, start)
 
 
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, sorted, with their counts: about 1 MB of text at a time, then sums over these."""
+    parts, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        held.append(grams(text.encode()))
+        size += len(held[-1])
+        if size > 1_000_000 or i == len(texts) - 1:
+            parts.append(np.unique(np.concatenate(held), return_counts=True))
+            held, size = [], 0
+    keys, counts = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
 def _counts(blocks: DataFrame) -> DataFrame:
     """block, gram, t and b: counts in the block's target documents and in all of them. A block that several tasks
     read comes out in parts."""
@@ -61,12 +77,11 @@ def _counts(blocks: DataFrame) -> DataFrame:
         held: list[tuple[int, bool, str]] = []
 
         def done() -> pa.RecordBatch:
-            all_, target = ([grams(t.encode()) for _, flag, t in held if flag or not only] for only in (False, True))
-            gram, b = np.unique(np.concatenate(all_ or [np.zeros(0, np.int64)]), return_counts=True)
-            own, n = np.unique(np.concatenate(target or [np.zeros(0, np.int64)]), return_counts=True)
+            gram, b = _distinct([t for _, _, t in held])
+            own, n = _distinct([t for _, flag, t in held if flag])
             t = np.zeros(len(gram), np.int64)
             t[np.searchsorted(gram, own)] = n
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), held[0][0], np.int64)), pa.array(gram), pa.array(t), pa.array(b.astype(np.int64))], ["block", "gram", "t", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), held[0][0], np.int64)), pa.array(gram), pa.array(t), pa.array(b)], ["block", "gram", "t", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -106,7 +121,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     documents, with or without repeats. Null and empty texts have no token, no loss (null) and score 0; repeated rows
     are counted and scored each; without a target document the target model gives even chances."""
     wanted = target.select(F.col(target.columns[0]).alias("wanted")).filter("wanted is not null").distinct()
-    flagged = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(wanted.hint("merge"), F.col("id") == F.col("wanted"), "left")
+    flagged = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wanted"), "left")  # texts stream past a table of ids
     blocks = materialise(_blocks(flagged.select("id", F.col("wanted").isNotNull().alias("target"), "text")), "blocks")
     counts = materialise(_counts(blocks), "counts")
     losses = counts.select("block", "gram").join(model(counts).hint("merge"), "gram").select("block", "gram", "t_loss", "b_loss")
