@@ -12,6 +12,12 @@ from .. import lexicon
 SPANS = "array<struct<s: int, e: int, v: string>>"
 
 
+def once(c: Column) -> Column:
+    """c, computed once for each row: it counts as non-deterministic, so Catalyst neither copies it into the filters
+    above nor merges it into projections that refer to it several times."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def strip(t: Column) -> Column:
     """Takes white space of any kind off both ends."""
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
@@ -64,10 +70,11 @@ def stopword_ratio(t: Column, lang: str) -> Column:
     return share_in(tokens(t), lexicon.STOPWORDS[lang])
 
 
-def hints(t: Column) -> dict[str, Column]:
-    """Hints by name, null where there is none."""
+def hints(t: Column, words: Column | None = None) -> dict[str, Column]:
+    """Hints by name, null where there is none. words: a column that already holds tokens(t)."""
     low, n = F.lower(t), F.length(t)
-    out = {f"{lang}_stopwords": F.when((r := stopword_ratio(t, lang)) > 0, r) for lang in lexicon.LANGUAGES}
+    words = tokens(t) if words is None else words
+    out = {f"{lang}_stopwords": F.nullif(share_in(words, lexicon.STOPWORDS[lang]), F.lit(0.0)) for lang in lexicon.LANGUAGES}
     es = F.regexp_count(low, F.lit("[ñáéíóúü]"))
     nl = F.regexp_count(low, F.lit("[ëïöüÿ]")) + F.regexp_count(low, F.lit("ij"))
     out["es_chars"] = F.when(es > 0, es / n)

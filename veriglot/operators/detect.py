@@ -11,17 +11,19 @@ from ..functions import text as T
 WEIGHTS = {"fasttext": 1.5}
 
 
-def native(t: Column, least: int = 20, sure: float = 0.5) -> Column:
-    """struct(lang, confidence): the language of largest stopword ratio (ties es, en, nl) and its share of all ratios;
-    unknown for short texts, without stopwords or below `sure`."""
-    words = T.tokens(T.preprocess(t))
-    ratio = [T.share_in(words, lexicon.STOPWORDS[lang]) for lang in lexicon.LANGUAGES]
+def native(df: DataFrame, text_col: str = "text", least: int = 20, sure: float = 0.5) -> DataFrame:
+    """df with lang and lang_confidence: the language of largest stopword ratio (ties es, en, nl) and its share of all
+    ratios; unknown for short texts, without stopwords or below `sure`."""
+    t = F.col(text_col)
+    staged = df.withColumn("_words", T.once(T.tokens(T.preprocess(t))))
+    staged = staged.withColumn("_ratios", T.once(F.array(*[T.share_in(F.col("_words"), lexicon.STOPWORDS[lang]) for lang in lexicon.LANGUAGES])))
+    ratio = [F.col("_ratios")[i] for i in range(3)]
     total, best = ratio[0] + ratio[1] + ratio[2], F.greatest(*ratio)
     lang = F.when(ratio[0] == best, "es").when(ratio[1] == best, "en").otherwise("nl")
     ok = (F.length(T.strip(t)) >= least) & (total > 0)
-    confidence = F.when(ok, F.try_divide(best, total))
-    known = F.coalesce(confidence >= sure, F.lit(False))
-    return F.struct(F.when(known, lang).otherwise("unknown").alias("lang"), F.when(known, confidence).otherwise(0.0).alias("confidence"))
+    staged = staged.withColumn("_sure", T.once(F.when(ok, F.try_divide(best, total))))
+    known = F.coalesce(F.col("_sure") >= sure, F.lit(False))
+    return staged.withColumns({"lang": F.when(known, lang).otherwise("unknown"), "lang_confidence": F.when(known, F.col("_sure")).otherwise(0.0)}).drop("_words", "_ratios", "_sure")
 
 
 def restrict(lang: Column, confidence: Column, alternatives: Column) -> Column:
@@ -40,17 +42,17 @@ def hint_scores(hints: dict[str, Column], stop: float, chars: float) -> dict[str
 def three_votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, ord, detector, lang, confidence: votes of the stopword detector, of character hints and of heuristic
     evidence; a detector without evidence doesn't vote."""
-    t = F.col(text_col)
-    words = T.heuristic_words(t)
-    h = T.hints(t)
+    staged = native(docs.select(id_col, text_col), text_col).withColumns({"_heard": T.once(T.heuristic_words(F.col(text_col))), "_tokens": T.once(T.tokens(F.col(text_col)))})
+    t, words = F.col(text_col), F.col("_heard")
+    h = T.hints(t, F.col("_tokens"))
     es, nl, en = (F.coalesce(h[k], F.lit(0.0)) for k in ("es_chars", "nl_chars", "en_ascii"))
     chars = F.struct(F.lit(2).alias("ord"), F.lit("hints").alias("detector"), F.when((es >= nl) & (es > 0), "es").when(nl > 0, "nl").when(en > 0, "en").otherwise("unknown").alias("lang"), F.least(F.lit(1.0), F.greatest(es, nl, en) * 5).alias("confidence"))
-    score = {lang: F.coalesce(T.evidence(t, words, lang), F.lit(0.0)) for lang in lexicon.LANGUAGES}
+    staged = staged.withColumn("_scores", T.once(F.array(*[F.coalesce(T.evidence(t, words, lang), F.lit(0.0)) for lang in lexicon.LANGUAGES])))
+    score = {lang: F.col("_scores")[i] for i, lang in enumerate(lexicon.LANGUAGES)}
     best = F.greatest(*score.values())
     heard = F.struct(F.lit(3).alias("ord"), F.lit("heuristic").alias("detector"), F.when(best <= 0, "unknown").when(score["es"] == best, "es").when(score["en"] == best, "en").otherwise("nl").alias("lang"), F.least(F.lit(1.0), best * 2).alias("confidence"))
-    own = native(t)
-    first = F.struct(F.lit(1).alias("ord"), F.lit("stopwords").alias("detector"), own["lang"].alias("lang"), own["confidence"].alias("confidence"))
-    return docs.select(F.col(id_col).alias("id"), F.inline(F.array(first, chars, heard))).filter("lang <> 'unknown'")
+    first = F.struct(F.lit(1).alias("ord"), F.lit("stopwords").alias("detector"), F.col("lang"), F.col("lang_confidence").alias("confidence"))
+    return staged.select(F.col(id_col).alias("id"), T.once(F.array(first, chars, heard)).alias("v")).select("id", F.inline("v")).filter("lang <> 'unknown'")
 
 
 def vote_weighted(votes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

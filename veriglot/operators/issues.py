@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
+from ..functions.text import once
 
 ISSUE = "struct<source: string, type: string, rule_id: string, message: string, suggestion: string, s: int, e: int, confidence: double>"
 NONE = f"cast(array() as array<{ISSUE}>)"
@@ -17,6 +18,11 @@ def issue(source: str, kind: str, rule: Column | str, message: Column | str, sug
     return F.struct(F.lit(source).alias("source"), F.lit(kind).alias("type"), as_column(rule).alias("rule_id"), as_column(message).alias("message"), as_column(suggestion).alias("suggestion"), s.cast("int").alias("s"), e.cast("int").alias("e"), sure.cast("double").alias("confidence"))
 
 
+def unnest(df: DataFrame, found: Column, *keep: str) -> DataFrame:
+    """A row for each issue of the arrays that `found` makes."""
+    return df.select(*keep, once(found).alias("_found")).select(*keep, F.inline("_found"))
+
+
 def none() -> Column:
     return F.expr(NONE)
 

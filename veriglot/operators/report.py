@@ -22,9 +22,7 @@ def gate(t: Column, least: int = 3) -> Column:
 
 def detected(blocks: DataFrame) -> DataFrame:
     """Blocks that aren't blank, with lang, lang_confidence and tokens."""
-    lang = detect.native(F.col("text"))
-    out = blocks.filter(T.strip(F.col("text")) != "").withColumn("_lang", lang).withColumn("tokens", T.count_words(F.col("text")))
-    return out.withColumn("lang", F.col("_lang.lang")).withColumn("lang_confidence", F.col("_lang.confidence")).drop("_lang")
+    return detect.native(blocks.filter(T.strip(F.col("text")) != "")).withColumn("tokens", T.count_words(F.col("text")))
 
 
 def eligible(config: AuditConfig) -> Column:
@@ -48,8 +46,8 @@ def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = No
     tag = F.col("tag_name") if "tag_name" in blocks.columns else None
     rules = F.when(eligible(config) & gate(t), F.concat(placeholders.check(t, config.target, config.check_quotes), heuristics.check(t, config, tag, F.col("_words")))).otherwise(issues.none())
     keys = ["page_id", "block_idx"]
-    known = detected(blocks).withColumn("_words", F.when(eligible(config), T.heuristic_words(t)))  # once for all rules
-    base = known.select(*keys, "text", F.concat(block_leak(config), rules).alias("found"))
+    known = detected(blocks).withColumn("_words", T.once(F.when(eligible(config), T.heuristic_words(t))))  # once for all rules
+    base = known.select(*keys, "text", T.once(F.concat(block_leak(config), rules)).alias("found"))
     flat = base.select(*keys, F.posexplode("found").alias("seq", "i")).select(*keys, "seq", "i.*")
     if grammar is not None:
         flat = flat.unionByName(grammar)
@@ -57,8 +55,7 @@ def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = No
     flat = issues.dedup(flat, keys) if config.dedup else flat
     flat = issues.merge(flat, keys) if config.merge else flat
     flat = flat.withColumn("severity", issues.severity(F.col("type"), F.col("rule_id"), dict(config.severity)))
-    texts = base.select(*keys, "text")
-    return flat.join(texts, keys).withColumn("snippet", F.when(F.col("e") - F.col("s") > 100, F.concat(F.expr("substring(text, s + 1, 100)"), F.lit("..."))).otherwise(F.expr("substring(text, s + 1, e - s)"))).withColumn("context", T.context_window(F.col("text"), F.col("s"), F.col("e"))).drop("text", "n_merged")
+    return flat.join(blocks.select(*keys, "text"), keys).withColumn("snippet", F.when(F.col("e") - F.col("s") > 100, F.concat(F.expr("substring(text, s + 1, 100)"), F.lit("..."))).otherwise(F.expr("substring(text, s + 1, e - s)"))).withColumn("context", T.context_window(F.col("text"), F.col("s"), F.col("e"))).drop("text", "n_merged")
 
 
 def overall(critical: Column, errors: Column, warnings: Column, blocks: Column) -> Column:

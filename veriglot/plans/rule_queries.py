@@ -9,6 +9,7 @@ from .. import lexicon
 from ..config import MINIMAL, STRICT
 from ..functions import text as T
 from ..operators import grammar, heuristics, placeholders
+from ..operators.issues import unnest
 from ..operators.report import gate
 from . import duck
 from .registry import query
@@ -37,7 +38,7 @@ def made(spark, sf_dir) -> DataFrame:
 
 def rows(df: DataFrame, found: Column, *columns: str, key: str = "id") -> DataFrame:
     """A row of flat columns for each issue."""
-    flat = df.select(key, F.inline(found)).withColumns({"s": long("s"), "e": long("e")})
+    flat = unnest(df, found, key).withColumns({"s": long("s"), "e": long("e")})
     return flat.select(key, "s", "e", *columns)
 
 
@@ -54,7 +55,7 @@ UNLISTED = f"SELECT * FROM ({FAMILIES}) WHERE NOT list_contains({WHITE}, v)"
 
 def all_families(spark, sf_dir, whitelist) -> DataFrame:
     found = F.concat(*[_named(f, whitelist) for f in lexicon.PLACEHOLDERS])
-    return made(spark, sf_dir).select("id", F.inline(found)).withColumns({"s": long("s"), "e": long("e")})
+    return unnest(made(spark, sf_dir), found, "id").withColumns({"s": long("s"), "e": long("e")})
 
 
 def _named(family: str, whitelist) -> Column:
@@ -84,7 +85,7 @@ def placeholder_syntax(spark, sf_dir):
 @query("placeholder_mixed", f"SELECT id, string_agg(DISTINCT family, ', ' ORDER BY family) AS families FROM ({UNLISTED}) GROUP BY id HAVING count(DISTINCT family) > 2")
 def placeholder_mixed(spark, sf_dir):
     used = placeholders.families(t)
-    return made(spark, sf_dir).withColumn("f", used).filter(F.size("f") > 2).select("id", F.array_join("f", ", ").alias("families"))
+    return made(spark, sf_dir).withColumn("f", T.once(used)).filter(F.size("f") > 2).select("id", F.array_join("f", ", ").alias("families"))
 
 
 @query("tag_pairing", f"""WITH RECURSIVE tags AS (SELECT id, s, e, {duck.strip('content')} AS name, row_number() OVER (PARTITION BY id ORDER BY s) AS i FROM ({UNLISTED}) WHERE family = 'angle_brackets'),
@@ -184,14 +185,14 @@ WORDS = f"SELECT doc_id, text, {duck.heuristic_words('text')} AS words FROM docu
 
 @query("heuristic_words", f"SELECT doc_id, len(words) AS n, array_to_string(words[1:10], ' ') AS first_words FROM ({WORDS})")
 def heuristic_words(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("w", T.heuristic_words(t)).select("doc_id", long(F.size("w")).alias("n"), F.array_join(F.slice("w", 1, 10), " ").alias("first_words"))
+    return docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(t))).select("doc_id", long(F.size("w")).alias("n"), F.array_join(F.slice("w", 1, 10), " ").alias("first_words"))
 
 
 EVIDENCE = f"SELECT doc_id, {', '.join(f'{duck.evidence("text", "words", x)} AS {x}' for x in lexicon.LANGUAGES)}, len(words) AS n_words FROM ({WORDS})"
 
 
 def evidence(spark, sf_dir) -> DataFrame:
-    words = docs(spark, sf_dir).withColumn("w", T.heuristic_words(t))
+    words = docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(t)))
     return words.select("doc_id", *[T.evidence(t, F.col("w"), x).alias(x) for x in lexicon.LANGUAGES], F.size("w").alias("n_words"))
 
 
@@ -211,8 +212,8 @@ def leak_sql(target: str, threshold: float, least: int) -> str:
 
 
 def leak(spark, sf_dir, target: str, threshold: float, least: int) -> DataFrame:
-    found = heuristics.leaks(t, target, threshold, least)
-    return docs(spark, sf_dir).select("doc_id", F.inline(found)).select("doc_id", "rule_id", F.round("confidence", 6).alias("confidence"))
+    words = docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(t)))
+    return unnest(words, heuristics.leaks(t, target, threshold, least, words=F.col("w")), "doc_id").select("doc_id", "rule_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query("language_leak_heuristic", leak_sql("en", 0.08, 3))

@@ -27,6 +27,11 @@ def pages(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def worded(spark, sf_dir: str) -> DataFrame:
+    """Documents with their tokens in w."""
+    return docs(spark, sf_dir).withColumn("w", T.once(T.tokens(t)))
+
+
 def lines(spark, sf_dir: str) -> DataFrame:
     """Lines of documents as blocks: doc_id, block_idx, text."""
     return docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_idx", "text"))
@@ -174,7 +179,7 @@ def preprocess_text(spark, sf_dir):
 
 @query("extract_tokens", f"SELECT doc_id, len(k) AS n, array_to_string(k[1:20], ' ') AS first_tokens FROM (SELECT doc_id, {duck.tokens('text')} AS k FROM documents)")
 def extract_tokens(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("k", T.tokens(t)).select("doc_id", long(F.size("k")).alias("n"), F.array_join(F.slice("k", 1, 20), " ").alias("first_tokens"))
+    return docs(spark, sf_dir).withColumn("k", T.once(T.tokens(t))).select("doc_id", long(F.size("k")).alias("n"), F.array_join(F.slice("k", 1, 20), " ").alias("first_tokens"))
 
 
 @query("token_counts", f"SELECT doc_id, block_idx, {duck.count_words('text')} AS tokens FROM ({duck.LINES}) WHERE {duck.strip('text')} <> ''")
@@ -184,7 +189,7 @@ def token_counts(spark, sf_dir):
 
 @query("stopword_ratio", f"SELECT doc_id, {', '.join(f'round({duck.share(chr(107), lexicon.STOPWORDS[x])}, 6) AS {x}' for x in lexicon.LANGUAGES)} FROM (SELECT doc_id, {duck.tokens('text')} AS k FROM documents)")
 def stopword_ratio(spark, sf_dir):
-    words = docs(spark, sf_dir).select("doc_id", T.tokens(t).alias("k"))
+    words = docs(spark, sf_dir).select("doc_id", T.once(T.tokens(t)).alias("k"))
     return words.select("doc_id", *[F.round(T.share_in(F.col("k"), lexicon.STOPWORDS[x]), 6).alias(x) for x in lexicon.LANGUAGES])
 
 
@@ -196,8 +201,8 @@ HINT_NAMES = ["es_stopwords", "en_stopwords", "nl_stopwords", "es_chars", "nl_ch
 
 @query("language_hints", f"SELECT doc_id, {', '.join(f'round({h}, 6) AS {h}' for h in HINT_NAMES)} FROM ({HINTS})")
 def language_hints(spark, sf_dir):
-    h = T.hints(t)
-    return docs(spark, sf_dir).select("doc_id", *[F.round(h[n], 6).alias(n) for n in HINT_NAMES])
+    h = T.hints(t, F.col("w"))
+    return worded(spark, sf_dir).select("doc_id", *[F.round(h[n], 6).alias(n) for n in HINT_NAMES])
 
 
 def scores_sql(stop: float, chars: float) -> str:
@@ -207,16 +212,16 @@ def scores_sql(stop: float, chars: float) -> str:
 @query("hint_alternatives", f"SELECT doc_id, lang, round(least(h, 0.48), 6) AS confidence FROM (SELECT doc_id, unnest(['es', 'en', 'nl']) AS lang, unnest([h_es, h_en, h_nl]) AS h FROM (SELECT doc_id, {scores_sql(0.5, 0.3)} FROM ({HINTS}))) WHERE h > 0.1")
 def hint_alternatives(spark, sf_dir):
     """Alternatives that hints give beside a detection of confidence 0.6: at most 0.8 times as sure."""
-    h = detect.hint_scores(T.hints(t), 0.5, 0.3)
-    rows = docs(spark, sf_dir).select("doc_id", F.inline(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])))
+    h = detect.hint_scores(T.hints(t, F.col("w")), 0.5, 0.3)
+    rows = worded(spark, sf_dir).select("doc_id", T.once(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])).alias("a")).select("doc_id", F.inline("a"))
     return rows.filter("h > 0.1").select("doc_id", "lang", F.round(F.least(F.col("h"), F.lit(0.6 * 0.8)), 6).alias("confidence"))
 
 
 @query("confidence_distribution", f"SELECT doc_id, lang, round(CASE WHEN lang = 'en' THEN 0.6 ELSE least(h, 0.48) END, 6)::DOUBLE AS confidence FROM (SELECT doc_id, unnest(['es', 'en', 'nl']) AS lang, unnest([h_es, h_en, h_nl]) AS h FROM (SELECT doc_id, {scores_sql(0.6, 0.4)} FROM ({HINTS}))) WHERE lang = 'en' OR h > 0.1")
 def confidence_distribution(spark, sf_dir):
     """Confidence of each language where English was detected with 0.6."""
-    h = detect.hint_scores(T.hints(t), 0.6, 0.4)
-    rows = docs(spark, sf_dir).select("doc_id", F.inline(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])))
+    h = detect.hint_scores(T.hints(t, F.col("w")), 0.6, 0.4)
+    rows = worded(spark, sf_dir).select("doc_id", T.once(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])).alias("a")).select("doc_id", F.inline("a"))
     main = F.col("lang") == "en"
     return rows.filter(main | (F.col("h") > 0.1)).select("doc_id", "lang", F.round(F.when(main, 0.6).otherwise(F.least(F.col("h"), F.lit(0.6 * 0.8))), 6).alias("confidence"))
 
@@ -233,9 +238,9 @@ def detect_block(spark, sf_dir):
 
 @query("detector_benchmark", f"SELECT d.lang AS expected, count(*) AS n, count(*) FILTER (d.lang = p.lang) AS correct, round(avg((d.lang = p.lang)::INT), 6) AS accuracy, round(avg(lang_confidence), 6) AS average_confidence FROM documents d JOIN ({duck.detect(DOCS, 'doc_id')}) p USING (doc_id) GROUP BY d.lang")
 def detector_benchmark(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").withColumn("p", detect.native(t))
-    hit = (F.col("lang") == F.col("p.lang")).cast("int")
-    return found.groupBy(F.col("lang").alias("expected")).agg(F.count(F.lit(1)).alias("n"), long(F.sum(hit)).alias("correct"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg("p.confidence"), 6).alias("average_confidence"))
+    found = detect.native(table(spark, sf_dir, "documents").select("text", F.col("lang").alias("expected")))
+    hit = (F.col("lang") == F.col("expected")).cast("int")
+    return found.groupBy("expected").agg(F.count(F.lit(1)).alias("n"), long(F.sum(hit)).alias("correct"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg("lang_confidence"), 6).alias("average_confidence"))
 
 
 @query("lang_distribution", f"WITH s AS ({duck.detect(duck.LINES, 'doc_id, block_idx')}) SELECT doc_id, lang, round(sum(lang_confidence) * 100 / sum(sum(lang_confidence)) OVER (PARTITION BY doc_id), 6) AS pct FROM s WHERE lang <> 'unknown' GROUP BY doc_id, lang")
