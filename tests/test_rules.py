@@ -12,55 +12,56 @@ from veriglot.config import AuditConfig, ConfigError, load, preset
 from veriglot.functions import text as T
 from veriglot.operators import grammar, heuristics, issues, placeholders, report
 
-t = F.col("text")
+def text():
+    return F.col("text")
 
 
-def one(spark, text, column):
-    return spark.createDataFrame([(text,)], "text string").select(column.alias("x")).first().x
+def one(spark, value, column):
+    return spark.createDataFrame([(value,)], "text string").select(column.alias("x")).first().x
 
 
-def places(spark, text, found):
-    return [(r.rule_id, r.s, r.e) for r in one(spark, text, found)]
+def places(spark, value, found):
+    return [(r.rule_id, r.s, r.e) for r in one(spark, value, found)]
 
 
 def test_placeholders(spark):
-    found = places(spark, "Hi {{name}} and ${x} %s", F.concat(placeholders.syntax(t), placeholders.mixed_styles(t)))
+    found = places(spark, "Hi {{name}} and ${x} %s", F.concat(placeholders.syntax(text()), placeholders.mixed_styles(text())))
     assert found == [("INVALID_VARIABLE_NAME", 3, 10), ("MIXED_BRACKET_STYLES", 3, 10), ("MIXED_PLACEHOLDER_STYLES", 0, 23)]
-    assert places(spark, "Use { } or {1st} or {}", placeholders.syntax(t)) == [("EMPTY_PLACEHOLDER", 4, 7), ("INVALID_VARIABLE_NAME", 11, 16)]
+    assert places(spark, "Use { } or {1st} or {}", placeholders.syntax(text())) == [("EMPTY_PLACEHOLDER", 4, 7), ("INVALID_VARIABLE_NAME", 11, 16)]
 
 
 def test_tags(spark):
-    assert places(spark, "<b>x</b> <span>y", placeholders.tag_pairs(t)) == [("UNMATCHED_CLOSING_TAG", 4, 8), ("UNMATCHED_OPENING_TAG", 9, 15)]
-    assert places(spark, "<i>x</i> <p><q>y</q></p>", placeholders.tag_pairs(t)) == [("UNMATCHED_CLOSING_TAG", 4, 8)]
+    assert places(spark, "<b>x</b> <span>y", placeholders.tag_pairs(text())) == [("UNMATCHED_CLOSING_TAG", 4, 8), ("UNMATCHED_OPENING_TAG", 9, 15)]
+    assert places(spark, "<i>x</i> <p><q>y</q></p>", placeholders.tag_pairs(text())) == [("UNMATCHED_CLOSING_TAG", 4, 8)]
 
 
-@pytest.mark.parametrize(("text", "target", "expected", "better"), [("Price €100 today", "es", (6, 11), "100 €"), ("Precio 100€ hoy", "en", (7, 11), "€100"), ("Kost 5 $ nu", "nl", (5, 8), "$5")])
-def test_currency(spark, text, target, expected, better):
-    (found,) = one(spark, text, placeholders.currency(t, target))
+@pytest.mark.parametrize(("value", "target", "expected", "better"), [("Price €100 today", "es", (6, 11), "100 €"), ("Precio 100€ hoy", "en", (7, 11), "€100"), ("Kost 5 $ nu", "nl", (5, 8), "$5")])
+def test_currency(spark, value, target, expected, better):
+    (found,) = one(spark, value, placeholders.currency(text(), target))
     assert (found.s, found.e, found.suggestion.replace("  ", " ")) == (*expected, better)
 
 
 def test_numbers(spark):
-    text = "1.234,56 and 2,345.67"
-    assert places(spark, text, placeholders.numbers_mixed(t, "en")) == []
-    assert places(spark, text, placeholders.numbers_foreign(t, "en")) == [("INCORRECT_NUMBER_FORMAT_EN", 0, 8)]
-    assert places(spark, text, placeholders.numbers_foreign(t, "nl")) == [("INCORRECT_NUMBER_FORMAT_NL", 13, 21)]
+    value = "1.234,56 and 2,345.67"
+    assert places(spark, value, placeholders.numbers_mixed(text(), "en")) == []
+    assert places(spark, value, placeholders.numbers_foreign(text(), "en")) == [("INCORRECT_NUMBER_FORMAT_EN", 0, 8)]
+    assert places(spark, value, placeholders.numbers_foreign(text(), "nl")) == [("INCORRECT_NUMBER_FORMAT_NL", 13, 21)]
 
 
 def test_spaces(spark):
-    assert [(x.s, x.e, x.message) for x in one(spark, "a  b   c", placeholders.spaces(t))] == [(1, 3, "2 spaces"), (4, 7, "3 spaces")]
-    assert [r for r, _, _ in places(spark, "a\tb c\r\nd\ne", placeholders.general(t))] == ["MIXED_TABS_SPACES", "MIXED_LINE_ENDINGS"]
+    assert [(x.s, x.e, x.message) for x in one(spark, "a  b   c", placeholders.spaces(text()))] == [(1, 3, "2 spaces"), (4, 7, "3 spaces")]
+    assert [r for r, _, _ in places(spark, "a\tb c\r\nd\ne", placeholders.general(text()))] == ["MIXED_TABS_SPACES", "MIXED_LINE_ENDINGS"]
 
 
 def test_heuristics(spark):
-    assert [p[1:] for p in places(spark, "End.Start here,ok", heuristics.missing_space(t))] == [(3, 5), (14, 16)]
-    assert [(x.s, x.e, x.suggestion) for x in one(spark, "READ THIS NOW please", heuristics.all_caps(t))] == [(0, 13, "Read This Now")]
-    assert places(spark, "Hola. Cómo estás? ¿Qué tal?", heuristics.inverted_marks(t)) == [("MISSING_SPANISH_QUESTION_MARK", 4, 17)]
-    assert places(spark, "Bien. Qué bueno!", heuristics.inverted_marks(t)) == [("MISSING_SPANISH_EXCLAMATION_MARK", 4, 16)]
+    assert [p[1:] for p in places(spark, "End.Start here,ok", heuristics.missing_space(text()))] == [(3, 5), (14, 16)]
+    assert [(x.s, x.e, x.suggestion) for x in one(spark, "READ THIS NOW please", heuristics.all_caps(text()))] == [(0, 13, "Read This Now")]
+    assert places(spark, "Hola. Cómo estás? ¿Qué tal?", heuristics.inverted_marks(text())) == [("MISSING_SPANISH_QUESTION_MARK", 4, 17)]
+    assert places(spark, "Bien. Qué bueno!", heuristics.inverted_marks(text())) == [("MISSING_SPANISH_EXCLAMATION_MARK", 4, 16)]
 
 
 def test_leaks(spark):
-    found = one(spark, "De kat zit op de mat en het is niet groot", heuristics.leaks(t, "en"))
+    found = one(spark, "De kat zit op de mat en het is niet groot", heuristics.leaks(text(), "en"))
     assert {x.rule_id: round(x.confidence, 6) for x in found} == {"LANGUAGE_LEAK_ES": 0.272727, "LANGUAGE_LEAK_NL": 0.709091}
     assert "De, op, de, en, het (+2 more)" in next(x.message for x in found if x.rule_id.endswith("NL"))
 
@@ -79,11 +80,11 @@ def test_score(spark):
 
 
 def test_gate_and_grammar(spark):
-    assert not one(spark, "https://a.b/c", report.gate(t)) and one(spark, "see https://a.b/c now", report.gate(t)) and not one(spark, None, report.gate(t))
+    assert not one(spark, "https://a.b/c", report.gate(text())) and one(spark, "see https://a.b/c now", report.gate(text())) and not one(spark, None, report.gate(text()))
     got = [spark.range(1).select(grammar.issue_type(F.lit(c)), grammar.severity(F.lit(c), F.lit(60)), grammar.confidence(F.lit(c), F.lit(None).cast("double"))).first() for c in ("TYPOS", "STYLE", "MISC")]
     assert [tuple(r) for r in got] == [("spelling", "error", 0.9), ("style", "info", 0.6), ("grammar", "warning", 0.8)]
-    assert one(spark, "A b. C d! e", grammar.sentences(t)) == ["A b.", "C d!", "e"]
-    chunks = one(spark, "Aaa aaa. Bbb bbb. Ccc ccc. ", grammar.chunks(t, 18))
+    assert one(spark, "A b. C d! e", grammar.sentences(text())) == ["A b.", "C d!", "e"]
+    chunks = one(spark, "Aaa aaa. Bbb bbb. Ccc ccc. ", grammar.chunks(text(), 18))
     assert [(c.start, c.text) for c in chunks] == [(0, "Aaa aaa. Bbb bbb."), (18, "Ccc ccc.")]
 
 
@@ -91,7 +92,7 @@ def test_gate_and_grammar(spark):
 @given(st.lists(st.text("ab {}.!AÉé\n", max_size=30), min_size=1, max_size=20))
 def test_places_are_those_of_python(spark, texts):
     for pattern in (r"\{([^}]*)\}", "  +", "[.!?,:;][a-zA-Z]"):
-        df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string").select("id", T.find_all(t, pattern).alias("x"))
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string").select("id", T.find_all(text(), pattern).alias("x"))
         got = {r.id: [(m.s, m.e, m.v) for m in r.x] for r in df.collect()}
         assert got == {i: [(*m.span(), m[0]) for m in re.finditer(pattern, x)] for i, x in enumerate(texts)}
 

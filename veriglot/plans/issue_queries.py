@@ -12,9 +12,8 @@ from ..operators import heuristics, issues, report
 from ..sources import html
 from . import duck
 from .registry import query
-from .text_queries import docs, lines, long, pages, table
+from .text_queries import docs, lines, long, pages, table, text
 
-t = F.col("text")
 EN = AuditConfig(target="en")
 
 # issues of a checker, made of lineitem: two verifiers often say the same of one place
@@ -91,8 +90,8 @@ CAPS = duck.find("SELECT doc_id, text FROM documents", "doc_id, text", "text", "
 
 @query("issue_context", f"SELECT doc_id, s, concat(CASE WHEN a > 0 THEN '...' ELSE '' END, substring(text, a + 1, b - a), CASE WHEN b < length(text) THEN '...' ELSE '' END) AS context FROM (SELECT *, greatest(0, s - 50) AS a, least(length(text), e + 50) AS b FROM ({CAPS}))")
 def issue_context(spark, sf_dir):
-    found = issues.unnest(docs(spark, sf_dir), heuristics.missing_space(t), "doc_id", "text")
-    return found.select("doc_id", long("s").alias("s"), T.context_window(t, F.col("s"), F.col("e")).alias("context"))
+    found = issues.unnest(docs(spark, sf_dir), heuristics.missing_space(text()), "doc_id", "text")
+    return found.select("doc_id", long("s").alias("s"), T.context_window(text(), F.col("s"), F.col("e")).alias("context"))
 
 
 # documents as pages, their lines as blocks
@@ -133,7 +132,7 @@ LEAKS = f"SELECT page_id, block_idx, 0 AS s, length(text) AS e, lang, lang_confi
 @query("page_language_leaks", f"SELECT page_id, block_idx, lang, round(confidence, 6) AS confidence, snippet FROM ({LEAKS})")
 def page_language_leaks(spark, sf_dir):
     found = report.detected(blocks(spark, sf_dir)).filter(~F.col("lang").isin("unknown", "en"))
-    snippet = F.when(F.length(t) > 100, F.concat(F.substring(t, 1, 100), F.lit("..."))).otherwise(t)
+    snippet = F.when(F.length(text()) > 100, F.concat(F.substring(text(), 1, 100), F.lit("..."))).otherwise(text())
     return found.select("page_id", long("block_idx").alias("block_idx"), "lang", F.round("lang_confidence", 6).alias("confidence"), snippet.alias("snippet"))
 
 
@@ -146,7 +145,7 @@ FOUND = f"""SELECT page_id, block_idx, 'language_leak' AS type, 'error' AS sever
 def simple_issues(spark, sf_dir) -> DataFrame:
     from ..operators import placeholders
 
-    rules = F.when(report.eligible(EN), F.concat(heuristics.missing_space(t), placeholders.spaces(t))).otherwise(issues.none())
+    rules = F.when(report.eligible(EN), F.concat(heuristics.missing_space(text()), placeholders.spaces(text()))).otherwise(issues.none())
     found = issues.unnest(report.detected(blocks(spark, sf_dir)), F.concat(report.block_leak(EN), rules), "page_id", "block_idx")
     return found.withColumn("severity", issues.severity(F.col("type"), F.col("rule_id")))
 
@@ -199,7 +198,7 @@ def max_errors_gate(spark, sf_dir):
 @query("csv_export_rows", f"SELECT concat('doc:', page_id) AS url, 'en' AS target_lang, 'language_leak' AS issue_type, 'error' AS severity, concat('Block is in ', lang) AS message, 'Translate to en' AS suggestion, snippet, concat('/block[', block_idx, ']') AS xpath, round(confidence, 6) AS confidence FROM ({LEAKS})")
 def csv_export_rows(spark, sf_dir):
     found = issues.unnest(report.detected(blocks(spark, sf_dir)), report.block_leak(EN), "page_id", "block_idx", "text").withColumn("severity", issues.severity(F.col("type"), F.col("rule_id")))
-    snippet = F.when(F.length(t) > 100, F.concat(F.substring(t, 1, 100), F.lit("..."))).otherwise(t)
+    snippet = F.when(F.length(text()) > 100, F.concat(F.substring(text(), 1, 100), F.lit("..."))).otherwise(text())
     found = found.withColumns({"snippet": snippet, "url": F.concat(F.lit("doc:"), F.col("page_id").cast("string")), "xpath": F.concat(F.lit("/block["), F.col("block_idx").cast("string"), F.lit("]")), "confidence": F.round("confidence", 6)})
     return report.csv_rows(found, "en")
 

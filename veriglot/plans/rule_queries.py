@@ -13,9 +13,8 @@ from ..operators.issues import unnest
 from ..operators.report import gate
 from . import duck
 from .registry import query
-from .text_queries import docs, long, table
+from .text_queries import docs, long, table, text
 
-t = F.col("text")
 
 #: Texts with placeholders, numbers and quotes, made of the columns of part; the same expression in both dialects.
 MADE = """SELECT p_partkey AS id, CASE p_partkey % 10
@@ -59,7 +58,7 @@ def all_families(spark, sf_dir, whitelist) -> DataFrame:
 
 
 def _named(family: str, whitelist) -> Column:
-    return F.transform(placeholders.matches(t, family, whitelist), lambda m: F.struct(F.lit(family).alias("family"), m["s"].alias("s"), m["e"].alias("e"), m["v"].alias("v"), placeholders.content(m["v"], family).alias("content")))
+    return F.transform(placeholders.matches(text(), family, whitelist), lambda m: F.struct(F.lit(family).alias("family"), m["s"].alias("s"), m["e"].alias("e"), m["v"].alias("v"), placeholders.content(m["v"], family).alias("content")))
 
 
 @query("find_placeholders", FAMILIES)
@@ -79,12 +78,12 @@ SYNTAX = f"""WITH p AS ({UNLISTED}) SELECT id, s, e, 'EMPTY_PLACEHOLDER' AS rule
 
 @query("placeholder_syntax", SYNTAX)
 def placeholder_syntax(spark, sf_dir):
-    return rows(made(spark, sf_dir), placeholders.syntax(t), "rule_id")
+    return rows(made(spark, sf_dir), placeholders.syntax(text()), "rule_id")
 
 
 @query("placeholder_mixed", f"SELECT id, string_agg(DISTINCT family, ', ' ORDER BY family) AS families FROM ({UNLISTED}) GROUP BY id HAVING count(DISTINCT family) > 2")
 def placeholder_mixed(spark, sf_dir):
-    used = placeholders.families(t)
+    used = placeholders.families(text())
     return made(spark, sf_dir).withColumn("f", T.once(used)).filter(F.size("f") > 2).select("id", F.array_join("f", ", ").alias("families"))
 
 
@@ -97,7 +96,7 @@ def placeholder_mixed(spark, sf_dir):
     SELECT id, wrong.s AS s, wrong.e AS e, 'UNMATCHED_CLOSING_TAG' AS rule_id FROM run WHERE wrong IS NOT NULL
     UNION ALL SELECT id, x.s, x.e, 'UNMATCHED_OPENING_TAG' FROM (SELECT id, unnest(open) AS x FROM (SELECT id, arg_max(open, i) AS open FROM run GROUP BY id))""")
 def tag_pairing(spark, sf_dir):
-    return rows(made(spark, sf_dir), placeholders.tag_pairs(t), "rule_id")
+    return rows(made(spark, sf_dir), placeholders.tag_pairs(text()), "rule_id")
 
 
 US, EU = find_made(lexicon.US_NUMBER), find_made(lexicon.EU_NUMBER)
@@ -105,12 +104,12 @@ US, EU = find_made(lexicon.US_NUMBER), find_made(lexicon.EU_NUMBER)
 
 @query("number_format_mixed", f"WITH us AS ({US}), eu AS (SELECT * FROM ({EU}) x WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.id = x.id AND us.s <= x.s AND x.s < us.e)) SELECT id, s, e, 'INCORRECT_NUMBER_FORMAT_EN' AS rule_id FROM eu WHERE id IN (SELECT id FROM us)")
 def number_format_mixed(spark, sf_dir):
-    return rows(made(spark, sf_dir), placeholders.numbers_mixed(t, "en"), "rule_id")
+    return rows(made(spark, sf_dir), placeholders.numbers_mixed(text(), "en"), "rule_id")
 
 
 @query("number_format_base", f"SELECT id, s, e, 'INCORRECT_NUMBER_FORMAT_EN' AS rule_id FROM ({find_made(lexicon.EU_IN_US)}) UNION ALL SELECT id, s, e, 'INCORRECT_NUMBER_FORMAT_ES' FROM ({find_made(lexicon.US_IN_EU)})")
 def number_format_base(spark, sf_dir):
-    return rows(made(spark, sf_dir), F.concat(placeholders.numbers_foreign(t, "en"), placeholders.numbers_foreign(t, "es")), "rule_id")
+    return rows(made(spark, sf_dir), F.concat(placeholders.numbers_foreign(text(), "en"), placeholders.numbers_foreign(text(), "es")), "rule_id")
 
 
 NUMBERS = "SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN '1.234,' WHEN 1 THEN '1,234.' WHEN 2 THEN '12,' ELSE '1.2.3,4,' END, p_size) AS v FROM part"
@@ -136,12 +135,12 @@ def currency_sql(target: str) -> str:
 
 @query("currency_placement", " UNION ALL ".join(currency_sql(x) for x in lexicon.LANGUAGES))
 def currency_placement(spark, sf_dir):
-    return rows(made(spark, sf_dir), F.concat(*[placeholders.currency(t, x) for x in lexicon.LANGUAGES]), "rule_id", "suggestion")
+    return rows(made(spark, sf_dir), F.concat(*[placeholders.currency(text(), x) for x in lexicon.LANGUAGES]), "rule_id", "suggestion")
 
 
 @query("straight_quotes", f"SELECT id, s, e, v FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM ({duck.find(MADE, 'id', 'text', chr(91) + chr(34) + chr(39) + chr(93))})) WHERE n >= 2")
 def straight_quotes(spark, sf_dir):
-    return rows(made(spark, sf_dir), placeholders.straight_quotes(t), "message").withColumn("v", F.substring("message", -1, 1)).drop("message")
+    return rows(made(spark, sf_dir), placeholders.straight_quotes(text()), "message").withColumn("v", F.substring("message", -1, 1)).drop("message")
 
 
 GENERAL = f"""SELECT id, s, e, 'MULTIPLE_SPACES' AS rule_id FROM ({find_made('  +')})
@@ -151,12 +150,12 @@ GENERAL = f"""SELECT id, s, e, 'MULTIPLE_SPACES' AS rule_id FROM ({find_made('
 
 @query("general_consistency", GENERAL)
 def general_consistency(spark, sf_dir):
-    return rows(made(spark, sf_dir), placeholders.general(t), "rule_id")
+    return rows(made(spark, sf_dir), placeholders.general(text()), "rule_id")
 
 
 @query("punctuation_spacing", f"SELECT id, s, e, 'MULTIPLE_SPACES' AS rule_id FROM ({find_made('  +')}) UNION ALL SELECT id, s, e, 'SPANISH_PUNCTUATION_SPACING' FROM ({find_made(' +[¿¡]')}) UNION ALL SELECT id, length(text) - length(tail), length(text), 'TRAILING_PUNCTUATION_SPACE' FROM (SELECT *, regexp_extract(text, '[.!?] +$') AS tail FROM ({MADE})) WHERE tail <> ''")
 def punctuation_spacing(spark, sf_dir):
-    return rows(made(spark, sf_dir), placeholders.punctuation_spacing(t, "es"), "rule_id")
+    return rows(made(spark, sf_dir), placeholders.punctuation_spacing(text(), "es"), "rule_id")
 
 
 BASE = {f: p for f, (p, _) in lexicon.PLACEHOLDERS.items()} | {"square_brackets": lexicon.SQUARE_BRACKETS}
@@ -165,7 +164,7 @@ BASE = {f: p for f, (p, _) in lexicon.PLACEHOLDERS.items()} | {"square_brackets"
 @query("base_placeholder_check", f"""SELECT id, 0::BIGINT AS s, length(text) AS e, 'MIXED_PLACEHOLDER_STYLES' AS rule_id FROM ({MADE}) WHERE {' + '.join(f'regexp_matches(text, {duck.quoted(p)})::INT' for p in BASE.values())} > 2
     UNION ALL SELECT id, s, e, 'NESTED_PLACEHOLDER' FROM ({find_made(BASE['curly_braces'])}) WHERE contains(v, '{{{{') UNION ALL SELECT id, s, e, 'EMPTY_PLACEHOLDER' FROM ({find_made(BASE['curly_braces'])} UNION ALL {find_made(BASE['square_brackets'])}) WHERE length(v) <= 2""")
 def base_placeholder_check(spark, sf_dir):
-    return rows(made(spark, sf_dir), placeholders.base_check(t), "rule_id")
+    return rows(made(spark, sf_dir), placeholders.base_check(text()), "rule_id")
 
 
 ALL = f"SELECT id, s, e, rule_id FROM ({SYNTAX}) UNION ALL SELECT id, s, e, rule_id FROM ({GENERAL}) UNION ALL SELECT id, s, e, rule_id FROM ({currency_sql('en')}) UNION ALL SELECT id, 0, length(text), 'MIXED_PLACEHOLDER_STYLES' FROM ({MADE}) WHERE id IN (SELECT id FROM ({UNLISTED}) GROUP BY id HAVING count(DISTINCT family) > 2)"
@@ -174,7 +173,7 @@ ALL = f"SELECT id, s, e, rule_id FROM ({SYNTAX}) UNION ALL SELECT id, s, e, rule
 @query("placeholder_all", f"SELECT rule_id, count(*) AS n FROM ({ALL}) GROUP BY rule_id")
 def placeholder_all(spark, sf_dir):
     """All rules for English in one projection; tag pairs have a query of their own."""
-    found = rows(made(spark, sf_dir), placeholders.check(t, "en"), "rule_id").filter(~F.col("rule_id").like("UNMATCHED%"))
+    found = rows(made(spark, sf_dir), placeholders.check(text(), "en"), "rule_id").filter(~F.col("rule_id").like("UNMATCHED%"))
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -185,15 +184,15 @@ WORDS = f"SELECT doc_id, text, {duck.heuristic_words('text')} AS words FROM docu
 
 @query("heuristic_words", f"SELECT doc_id, len(words) AS n, array_to_string(words[1:10], ' ') AS first_words FROM ({WORDS})")
 def heuristic_words(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(t))).select("doc_id", long(F.size("w")).alias("n"), F.array_join(F.slice("w", 1, 10), " ").alias("first_words"))
+    return docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(text()))).select("doc_id", long(F.size("w")).alias("n"), F.array_join(F.slice("w", 1, 10), " ").alias("first_words"))
 
 
 EVIDENCE = f"SELECT doc_id, {', '.join(f'{duck.evidence("text", "words", x)} AS {x}' for x in lexicon.LANGUAGES)}, len(words) AS n_words FROM ({WORDS})"
 
 
 def evidence(spark, sf_dir) -> DataFrame:
-    words = docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(t)))
-    return words.select("doc_id", *[T.evidence(t, F.col("w"), x).alias(x) for x in lexicon.LANGUAGES], F.size("w").alias("n_words"))
+    words = docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(text())))
+    return words.select("doc_id", *[T.evidence(text(), F.col("w"), x).alias(x) for x in lexicon.LANGUAGES], F.size("w").alias("n_words"))
 
 
 @query("language_evidence", f"SELECT doc_id, {', '.join(f'round({x}, 6) AS {x}' for x in lexicon.LANGUAGES)} FROM ({EVIDENCE})")
@@ -212,8 +211,8 @@ def leak_sql(target: str, threshold: float, least: int) -> str:
 
 
 def leak(spark, sf_dir, target: str, threshold: float, least: int) -> DataFrame:
-    words = docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(t)))
-    return unnest(words, heuristics.leaks(t, target, threshold, least, words=F.col("w")), "doc_id").select("doc_id", "rule_id", F.round("confidence", 6).alias("confidence"))
+    words = docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(text())))
+    return unnest(words, heuristics.leaks(text(), target, threshold, least, words=F.col("w")), "doc_id").select("doc_id", "rule_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query("language_leak_heuristic", leak_sql("en", 0.08, 3))
@@ -234,7 +233,7 @@ def leak_strict(spark, sf_dir):
 @query("sentence_capitalization", rf"""WITH x AS (SELECT doc_id, text, {duck.strip('s')} AS s FROM (SELECT doc_id, text, unnest(string_split_regex(text, '[.!?]+[\s\p{{Z}}]*')) AS s FROM documents)), w AS (SELECT *, regexp_extract(s, '^[^\s\p{{Z}}]+') AS word FROM x WHERE s <> '')
     SELECT doc_id, instr(text, s) - 1 AS s, instr(text, s) - 1 + length(word) AS e, upper(word[1]) || lower(word[2:]) AS suggestion FROM w WHERE regexp_matches(word, '^\p{{Ll}}') AND NOT list_contains({duck.in_list(lexicon.CAPITAL_EXCEPTIONS['en'])}, lower(word))""")
 def sentence_capitalization(spark, sf_dir):
-    return rows(docs(spark, sf_dir), heuristics.sentence_capitals(t, "en"), "suggestion", key="doc_id")
+    return rows(docs(spark, sf_dir), heuristics.sentence_capitals(text(), "en"), "suggestion", key="doc_id")
 
 
 #: A stand-in for letters outside ASCII keeps their places and makes `\\b` treat them as letters.
@@ -243,7 +242,7 @@ ASCII = "SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7f]', '_', 'g') AS text
 
 @query("all_caps_title", f"SELECT doc_id, s, e FROM ({duck.find(ASCII, 'doc_id', 'text', chr(92) + 'b[A-Z][A-Z' + chr(92) + 's]+[A-Z]' + chr(92) + 'b')}) WHERE {duck.count_words('v')} > 1")
 def all_caps_title(spark, sf_dir):
-    return rows(docs(spark, sf_dir), heuristics.all_caps(t), key="doc_id")
+    return rows(docs(spark, sf_dir), heuristics.all_caps(text()), key="doc_id")
 
 
 DOCS = "SELECT doc_id, text FROM documents"
@@ -251,7 +250,7 @@ DOCS = "SELECT doc_id, text FROM documents"
 
 @query("missing_space", f"SELECT doc_id, s, e, v[1] || ' ' || v[2] AS suggestion FROM ({duck.find(DOCS, 'doc_id', 'text', '[.!?,:;][a-zA-Z]')})")
 def missing_space(spark, sf_dir):
-    return rows(docs(spark, sf_dir), heuristics.missing_space(t), "suggestion", key="doc_id")
+    return rows(docs(spark, sf_dir), heuristics.missing_space(text()), "suggestion", key="doc_id")
 
 
 MARKS = [("¿", r"\?", "MISSING_SPANISH_QUESTION_MARK"), ("¡", "!", "MISSING_SPANISH_EXCLAMATION_MARK")]
@@ -261,20 +260,20 @@ MARKED = f"SELECT doc_id, text FROM documents UNION ALL SELECT -id, text FROM ({
 @query("spanish_inverted_marks", " UNION ALL ".join(f"SELECT doc_id, s, e, '{rule}' AS rule_id FROM ({duck.find(MARKED, 'doc_id', 'text', f'[^{a}]{duck.SPACE}*[A-ZÁÉÍÓÚÑÜ][^.!?]*{b}')})" for a, b, rule in MARKS))
 def spanish_inverted_marks(spark, sf_dir):
     both = docs(spark, sf_dir).unionAll(made(spark, sf_dir).select((-F.col("id")).alias("id"), "text"))
-    return rows(both, heuristics.inverted_marks(t), "rule_id", key="doc_id")
+    return rows(both, heuristics.inverted_marks(text()), "rule_id", key="doc_id")
 
 
 @query("inconsistent_quotes", f"SELECT id, array_to_string(list_sort(list_distinct(q)), ', ') AS kinds FROM (SELECT id, regexp_extract_all(concat(text, ' “', id, '”'), '[\"''“”]') AS q FROM ({MADE})) WHERE len(q) >= 4 AND len(list_distinct(q)) > 2")
 def inconsistent_quotes(spark, sf_dir):
     """With typographic quotes among the kinds."""
     df = made(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" “"), F.col("id").cast("string"), F.lit("”")))
-    return rows(df, heuristics.quote_kinds(t, "\"'“”"), "message").select("id", F.substring_index("message", ": ", -1).alias("kinds"))
+    return rows(df, heuristics.quote_kinds(text(), "\"'“”"), "message").select("id", F.substring_index("message", ": ", -1).alias("kinds"))
 
 
 @query("heading_case", "SELECT page_id, h1 FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages) WHERE regexp_matches(h1, '[a-z].*[A-Z]|[A-Z].*[a-z].*[A-Z]')")
 def heading_case(spark, sf_dir):
     heads = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("text"))
-    return heads.filter(F.size(heuristics.heading_case(t, F.lit("h1"))) > 0).select("page_id", F.col("text").alias("h1"))
+    return heads.filter(F.size(heuristics.heading_case(text(), F.lit("h1"))) > 0).select("page_id", F.col("text").alias("h1"))
 
 
 # verification gate and grammar adapter
@@ -285,7 +284,7 @@ GATED = f"SELECT id, CASE id % 4 WHEN 0 THEN 'https://a.b/c' WHEN 1 THEN concat(
 @query("verify_gate", rf"SELECT id, length({duck.strip('text')}) >= 3 AND (NOT regexp_matches({duck.strip('text')}, 'https?://\S+') OR length({duck.strip(f'regexp_replace({duck.strip("text")}, ' + duck.quoted('https?://' + chr(92) + 'S+') + ", '', 'g')")}) >= 3) AND (NOT regexp_matches({duck.strip('text')}, '\S+@\S+\.\S+') OR length({duck.strip(f'regexp_replace({duck.strip("text")}, ' + duck.quoted(chr(92) + 'S+@' + chr(92) + 'S+' + chr(92) + '.' + chr(92) + 'S+') + ", '', 'g')")}) >= 3) AS verify FROM ({GATED})")
 def verify_gate(spark, sf_dir):
     made(spark, sf_dir)
-    return spark.sql(GATED).select("id", gate(t).alias("verify"))
+    return spark.sql(GATED).select("id", gate(text()).alias("verify"))
 
 
 MATCHES = "SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'TYPOS' WHEN 1 THEN 'GRAMMAR' WHEN 2 THEN 'STYLE' WHEN 3 THEN 'TYPOGRAPHY' WHEN 4 THEN 'PUNCTUATION' WHEN 5 THEN 'CASING' WHEN 6 THEN 'REPETITION' WHEN 7 THEN 'MISC' ELSE 'OTHER' END AS category, o_custkey % 150 AS priority, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 100 / 100.0 END AS confidence FROM orders"
@@ -300,11 +299,11 @@ def lt_map(spark, sf_dir):
 
 @query("split_sentences", rf"SELECT doc_id, len(s) AS n, s[1] AS first, s[len(s)] AS last FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]+[\s\p{{Z}}]*|[^.!?]+$'), lambda x: {duck.strip('x')}), lambda x: x <> '') AS s FROM documents)")
 def split_sentences(spark, sf_dir):
-    s = docs(spark, sf_dir).withColumn("s", grammar.sentences(t))
+    s = docs(spark, sf_dir).withColumn("s", grammar.sentences(text()))
     return s.select("doc_id", long(F.size("s")).alias("n"), F.get("s", F.lit(0)).alias("first"), F.try_element_at("s", F.lit(-1)).alias("last"))
 
 
 @query("chunk_text")
 def chunk_text(spark, sf_dir):
     """Chunks of at most 2000 code points."""
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(grammar.chunks(t, 2000)).alias("i", "c")).select("doc_id", "i", "c.start", F.length("c.text").alias("n"))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(grammar.chunks(text(), 2000)).alias("i", "c")).select("doc_id", "i", "c.start", F.length("c.text").alias("n"))

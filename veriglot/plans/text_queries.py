@@ -12,7 +12,9 @@ from ..sources import html, tables
 from . import duck
 from .registry import query
 
-t = F.col("text")
+def text():
+    """The text column; made when a query runs, as columns need a session."""
+    return F.col("text")
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,7 @@ def pages(spark, sf_dir: str) -> DataFrame:
 
 def worded(spark, sf_dir: str) -> DataFrame:
     """Documents with their tokens in w."""
-    return docs(spark, sf_dir).withColumn("w", T.once(T.tokens(t)))
+    return docs(spark, sf_dir).withColumn("w", T.once(T.tokens(text())))
 
 
 def lines(spark, sf_dir: str) -> DataFrame:
@@ -140,12 +142,12 @@ def block_type_counts(spark, sf_dir):
 
 @query("visible_text_filter", f"SELECT doc_id, block_idx FROM ({duck.LINES}) WHERE length({duck.strip('text')}) >= 10 AND regexp_matches(text, '[a-zA-Z0-9À-ɏ]')")
 def visible_text_filter(spark, sf_dir):
-    return lines(spark, sf_dir).filter((F.length(T.strip(t)) >= 10) & t.rlike("[a-zA-Z0-9À-ɏ]")).select("doc_id", long("block_idx").alias("block_idx"))
+    return lines(spark, sf_dir).filter((F.length(T.strip(text())) >= 10) & text().rlike("[a-zA-Z0-9À-ɏ]")).select("doc_id", long("block_idx").alias("block_idx"))
 
 
 @query("normalize_text", f"SELECT doc_id, {duck.squeeze('text')} AS value FROM documents")
 def normalize_text(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.squeeze(t).alias("value"))
+    return docs(spark, sf_dir).select("doc_id", T.squeeze(text()).alias("value"))
 
 
 @query("block_offsets", f"SELECT doc_id, block_idx, (coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS offset_start FROM ({duck.LINES}) WHERE {duck.strip('text')} <> ''")
@@ -153,13 +155,13 @@ def block_offsets(spark, sf_dir):
     from pyspark.sql import Window
 
     before = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return lines(spark, sf_dir).filter(T.strip(t) != "").select("doc_id", long("block_idx").alias("block_idx"), F.coalesce(F.sum(long(F.length(t)) + 2).over(before), F.lit(0)).cast("long").alias("offset_start"))
+    return lines(spark, sf_dir).filter(T.strip(text()) != "").select("doc_id", long("block_idx").alias("block_idx"), F.coalesce(F.sum(long(F.length(text())) + 2).over(before), F.lit(0)).cast("long").alias("offset_start"))
 
 
 @query("text_position", "SELECT doc_id, s, s + length(part) AS e FROM (SELECT doc_id, part, CASE WHEN instr(substring(text, 41), part) > 0 THEN instr(substring(text, 41), part) + 39 ELSE 40 END AS s FROM (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'no such text' ELSE substring(text, 11 + (doc_id % 60)::INT, 12) END AS part FROM documents))")
 def text_position(spark, sf_dir):
-    part = F.when(F.col("doc_id") % 7 == 0, "no such text").otherwise(F.substring(t, (F.lit(11) + F.col("doc_id") % 60).cast("int"), F.lit(12)))
-    at = T.position(t, part, F.lit(40))
+    part = F.when(F.col("doc_id") % 7 == 0, "no such text").otherwise(F.substring(text(), (F.lit(11) + F.col("doc_id") % 60).cast("int"), F.lit(12)))
+    at = T.position(text(), part, F.lit(40))
     return docs(spark, sf_dir).select("doc_id", long(at).alias("s"), long(at + F.length(part)).alias("e"))
 
 
@@ -174,22 +176,22 @@ def extract_profile(spark, sf_dir):
 
 @query("preprocess_text", f"SELECT doc_id, {duck.preprocess('text')} AS value FROM documents")
 def preprocess_text(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.preprocess(t).alias("value"))
+    return docs(spark, sf_dir).select("doc_id", T.preprocess(text()).alias("value"))
 
 
 @query("extract_tokens", f"SELECT doc_id, len(k) AS n, array_to_string(k[1:20], ' ') AS first_tokens FROM (SELECT doc_id, {duck.tokens('text')} AS k FROM documents)")
 def extract_tokens(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("k", T.once(T.tokens(t))).select("doc_id", long(F.size("k")).alias("n"), F.array_join(F.slice("k", 1, 20), " ").alias("first_tokens"))
+    return docs(spark, sf_dir).withColumn("k", T.once(T.tokens(text()))).select("doc_id", long(F.size("k")).alias("n"), F.array_join(F.slice("k", 1, 20), " ").alias("first_tokens"))
 
 
 @query("token_counts", f"SELECT doc_id, block_idx, {duck.count_words('text')} AS tokens FROM ({duck.LINES}) WHERE {duck.strip('text')} <> ''")
 def token_counts(spark, sf_dir):
-    return lines(spark, sf_dir).filter(T.strip(t) != "").select("doc_id", long("block_idx").alias("block_idx"), T.count_words(t).alias("tokens"))
+    return lines(spark, sf_dir).filter(T.strip(text()) != "").select("doc_id", long("block_idx").alias("block_idx"), T.count_words(text()).alias("tokens"))
 
 
 @query("stopword_ratio", f"SELECT doc_id, {', '.join(f'round({duck.share(chr(107), lexicon.STOPWORDS[x])}, 6) AS {x}' for x in lexicon.LANGUAGES)} FROM (SELECT doc_id, {duck.tokens('text')} AS k FROM documents)")
 def stopword_ratio(spark, sf_dir):
-    words = docs(spark, sf_dir).select("doc_id", T.once(T.tokens(t)).alias("k"))
+    words = docs(spark, sf_dir).select("doc_id", T.once(T.tokens(text())).alias("k"))
     return words.select("doc_id", *[F.round(T.share_in(F.col("k"), lexicon.STOPWORDS[x]), 6).alias(x) for x in lexicon.LANGUAGES])
 
 
@@ -201,7 +203,7 @@ HINT_NAMES = ["es_stopwords", "en_stopwords", "nl_stopwords", "es_chars", "nl_ch
 
 @query("language_hints", f"SELECT doc_id, {', '.join(f'round({h}, 6) AS {h}' for h in HINT_NAMES)} FROM ({HINTS})")
 def language_hints(spark, sf_dir):
-    h = T.hints(t, F.col("w"))
+    h = T.hints(text(), F.col("w"))
     return worded(spark, sf_dir).select("doc_id", *[F.round(h[n], 6).alias(n) for n in HINT_NAMES])
 
 
@@ -212,7 +214,7 @@ def scores_sql(stop: float, chars: float) -> str:
 @query("hint_alternatives", f"SELECT doc_id, lang, round(least(h, 0.48), 6) AS confidence FROM (SELECT doc_id, unnest(['es', 'en', 'nl']) AS lang, unnest([h_es, h_en, h_nl]) AS h FROM (SELECT doc_id, {scores_sql(0.5, 0.3)} FROM ({HINTS}))) WHERE h > 0.1")
 def hint_alternatives(spark, sf_dir):
     """Alternatives that hints give beside a detection of confidence 0.6: at most 0.8 times as sure."""
-    h = detect.hint_scores(T.hints(t, F.col("w")), 0.5, 0.3)
+    h = detect.hint_scores(T.hints(text(), F.col("w")), 0.5, 0.3)
     rows = worded(spark, sf_dir).select("doc_id", T.once(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])).alias("a")).select("doc_id", F.inline("a"))
     return rows.filter("h > 0.1").select("doc_id", "lang", F.round(F.least(F.col("h"), F.lit(0.6 * 0.8)), 6).alias("confidence"))
 
@@ -220,7 +222,7 @@ def hint_alternatives(spark, sf_dir):
 @query("confidence_distribution", f"SELECT doc_id, lang, round(CASE WHEN lang = 'en' THEN 0.6 ELSE least(h, 0.48) END, 6)::DOUBLE AS confidence FROM (SELECT doc_id, unnest(['es', 'en', 'nl']) AS lang, unnest([h_es, h_en, h_nl]) AS h FROM (SELECT doc_id, {scores_sql(0.6, 0.4)} FROM ({HINTS}))) WHERE lang = 'en' OR h > 0.1")
 def confidence_distribution(spark, sf_dir):
     """Confidence of each language where English was detected with 0.6."""
-    h = detect.hint_scores(T.hints(t, F.col("w")), 0.6, 0.4)
+    h = detect.hint_scores(T.hints(text(), F.col("w")), 0.6, 0.4)
     rows = worded(spark, sf_dir).select("doc_id", T.once(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])).alias("a")).select("doc_id", F.inline("a"))
     main = F.col("lang") == "en"
     return rows.filter(main | (F.col("h") > 0.1)).select("doc_id", "lang", F.round(F.when(main, 0.6).otherwise(F.least(F.col("h"), F.lit(0.6 * 0.8))), 6).alias("confidence"))
@@ -257,7 +259,7 @@ def lang_distribution(spark, sf_dir):
 @query("detect_tokens")
 def detect_tokens(spark, sf_dir):
     """Up to 200 tokens of each document, drawn by hash, of at least three letters and in a language's list."""
-    words = F.transform(T.tokens(T.preprocess(t)), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("token")))
+    words = F.transform(T.tokens(T.preprocess(text())), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("token")))
     drawn = docs(spark, sf_dir).select("doc_id", F.explode(F.slice(F.array_sort(words), 1, 200)).alias("x")).select("doc_id", F.col("x.token").alias("token")).filter(F.length("token") >= 3)
     lang = F.coalesce(*[F.when(F.col("token").isin(*lexicon.STOPWORDS[x]), x) for x in lexicon.LANGUAGES], F.lit("unknown"))
     return drawn.groupBy("doc_id", lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
@@ -326,7 +328,7 @@ def update_weights(spark, sf_dir):
 
 @query("recommend_detector", "SELECT doc_id, 'composite' AS accurate, CASE WHEN length(text) < 1000 THEN 'langid' WHEN length(text) > 10000 THEN 'fasttext' ELSE 'composite' END AS fast FROM documents")
 def recommend_detector(spark, sf_dir):
-    n = F.length(t)
+    n = F.length(text())
     return docs(spark, sf_dir).select("doc_id", detect.recommended(n).alias("accurate"), detect.recommended(n, False, True).alias("fast"))
 
 
@@ -341,5 +343,5 @@ def supported_languages(spark, sf_dir):
 def whitelist_check(spark, sf_dir):
     """Whitelisted words of each document; the list is bounded by its file, the join is Spark's choice."""
     listed = spark.createDataFrame([(w,) for w in ("the", "online", "blog", "scum", "des")], "term string")
-    words = docs(spark, sf_dir).select("doc_id", F.explode(T.tokens(t)).alias("term"))
+    words = docs(spark, sf_dir).select("doc_id", F.explode(T.tokens(text())).alias("term"))
     return words.join(listed, "term", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
