@@ -25,6 +25,8 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: Ordinary words of identifiers, which join those of the documents.
+ORDINARY = """access action active admin agent async author batch block button cache category center char check close cluster column command commit config content context counter create customer data default delete device display domain download email engine event example factory field filter folder frame function group handle height history image import input instance item label last layout level library line list location logger matrix member method model monitor name number object option order owner package panel parameter password path payment period platform player policy position price process profile project provider public queue range region remote request resource result return root route schema score script search select sequence service session shape size stack state status storage string style system table task template text thread title total transaction type update upload value vector video view weight widget window worker""".split()
 #: Rows of documents whose words make identifiers for the sample, and strings of each label.
 SAMPLE_ROWS, SAMPLE_STRINGS = 500, 20_000
 THRESHOLD = 1.0
@@ -38,10 +40,9 @@ def random_strings(n: int, rng: random.Random) -> list[str]:
 
 def identifiers(words: list[str], n: int, rng: random.Random) -> list[str]:
     """Labelled ordinary: words joined the ways identifiers are, numbers and repeated characters."""
-    words = words or ["value", "index", "count", "name", "user", "page", "item", "list", "text", "line"]
     out = []
     for _ in range(n):
-        picked = rng.choices(words, k=rng.randint(1, 4))
+        picked = [rng.choice(rng.choice((words or ORDINARY, ORDINARY))) for _ in range(rng.randint(1, 4))]
         kind = rng.randrange(8)
         if kind == 6:
             out.append("".join(rng.choices("0123456789", k=rng.randint(12, 20))))
@@ -53,7 +54,10 @@ def identifiers(words: list[str], n: int, rng: random.Random) -> list[str]:
 
 
 class MarkovRatio:
-    """Order-2 models with add-one-half smoothing over ALPHABET and a start symbol."""
+    """Order-2 models over ALPHABET and a start symbol. An order's counts are mixed with PRIOR times the estimate of
+    the order below, so that characters which are rare anywhere stay improbable in contexts never seen."""
+
+    PRIOR = 2.0
 
     def __init__(self, secret: list[str], ordinary: list[str]):
         self.code = np.full(128, 0, np.int64)
@@ -64,8 +68,11 @@ class MarkovRatio:
     def _model(self, strings: list[str]) -> np.ndarray:
         codes, _ = self._codes(strings)
         cells = (codes[:-2] * self.size + codes[1:-1]) * self.size + codes[2:]
-        count = np.bincount(cells[codes[2:] > 0], minlength=self.size**3).reshape(-1, self.size) + 0.5
-        return np.log(count / count.sum(1, keepdims=True)).ravel().astype(np.float32)
+        count = np.bincount(cells[codes[2:] > 0], minlength=self.size**3).reshape(self.size, self.size, self.size)
+        below = np.full(self.size, 1 / self.size)
+        for order in (count.sum((0, 1)), count.sum(0), count):
+            below = (order + self.PRIOR * below) / (order.sum(-1, keepdims=True) + self.PRIOR)
+        return np.log(below).ravel().astype(np.float32)
 
     def _codes(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all strings, each after two start symbols, and where each begins."""
