@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_slices, materialise, small_batches, with_id
+from .common import drawn, map_slices, materialise, small_batches, with_id
 
 #: Rows to fit on and cells, at most; sub-vectors and codes of each; rows of a block and queries compared with it at a
 #: time; rows of a cell that are scored exactly for a query; recall wanted of the probed cells.
@@ -146,7 +146,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     total, schema = rows.count(), "query_id bigint, rank int, vec_id bigint, score double"
     if not total:
         return vectors.sparkSession.createDataFrame([], schema)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    picked = drawn(rows, total, sample).limit(2 * sample).toPandas()
     index = fit(np.stack(picked["v"].to_numpy()).astype(np.float32), total, k)
     dims = index.centroids.shape[1]
 

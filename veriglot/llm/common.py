@@ -37,6 +37,12 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def drawn(df: DataFrame, total: int, rows: int, seed: int = 7) -> DataFrame:
+    """A random sample of about `rows` of the `total` rows, drawn inside each partition: however many tasks there are,
+    together they keep no more, and copies of a row are drawn one by one."""
+    return df.filter(F.rand(seed) < rows / total) if total > rows else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the folder that all executors share; a local one only where none is set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import REMEMBERED, map_slices, packed_rows, text_or_empty, with_id
+from .common import REMEMBERED, drawn, map_slices, packed_rows, text_or_empty, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges (Unicode blocks) and the script of each range.
@@ -73,12 +73,10 @@ class Model:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Counts features by language over labelled rows, about `rows` of them at most, drawn by a hash of the text.
+    """Counts features by language over labelled rows, about `rows` of them, drawn at random.
     Rows without a label or text are passed over; without any labelled row the model has no language."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    total = labelled.count()
-    if total > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    labelled = drawn(labelled, labelled.count(), rows)
 
     def start():
         def columns(batch: pa.RecordBatch) -> list:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, packed_rows, text_or_empty, with_id
+from .common import drawn, map_slices, packed_rows, text_or_empty, with_id
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -91,9 +91,9 @@ class MarkovRatio:
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS, seed: int = 11) -> MarkovRatio:
     """Fits both models on labelled samples of bounded size: `strings` random strings, and as many identifiers made of
-    the words of `rows` documents (the first by hash; at most 400 words of each)."""
+    the words of about `rows` documents (400 words of each at most)."""
     words = F.slice(F.filter(F.regexp_extract_all(text_or_empty(text_col), F.lit(r"(\b[A-Za-z]{3,16}\b)")), lambda w: F.length(w) > 2), 1, 400)
-    picked = docs.select(text_or_empty(text_col).alias(text_col)).orderBy(F.xxhash64(text_col)).limit(rows).select(words.alias("words")).collect()
+    picked = docs.select(text_or_empty(text_col).alias(text_col)).transform(drawn, docs.count(), rows).limit(2 * rows).select(words.alias("words")).collect()
     rng = random.Random(seed)
     return MarkovRatio(random_strings(strings, rng), identifiers(sorted(w for r in picked for w in r.words), strings, rng))
 
