@@ -120,3 +120,17 @@ def test_config(tmp_path):
     for bad in (lambda: AuditConfig(target="fr"), lambda: preset("none"), lambda: load(str(tmp_path / "b.toml"))):
         with pytest.raises(ConfigError):
             bad()
+
+
+def test_labels_and_probes(spark):
+    from veriglot.operators.detect import parse_label
+    from veriglot.sources.tables import available
+
+    assert [one(spark, x, parse_label(text())) for x in ("__label__spa", "__label__en", "dut", "__label__xx")] == ["es", "en", "nl", "xx"]
+    assert [one(spark, x, available(text().cast("int"))) for x in ("200", "302", "404", None)] == [True, True, False, False]
+
+
+def test_whitelist_and_position(spark):
+    assert one(spark, "the online shop", heuristics.leaks(text(), "es", 0.0, 1, ("the",)))
+    assert one(spark, "ab cd ab", T.position(text(), F.lit("ab"), F.lit(1))) == 6 and one(spark, "ab", T.position(text(), F.lit("x"), F.lit(1))) == 1
+    assert one(spark, "see www.a.example and me@b.example  now 12", T.preprocess(text(), numbers=True)) == "see and now"

@@ -26,6 +26,16 @@ def native(df: DataFrame, text_col: str = "text", least: int = 20, sure: float =
     return staged.withColumns({"lang": F.when(known, lang).otherwise("unknown"), "lang_confidence": F.when(known, F.col("_sure")).otherwise(0.0)}).drop("_words", "_ratios", "_sure")
 
 
+#: Codes of model labels that stand for a supported language.
+LABELS = {"spa": "es", "eng": "en", "nld": "nl", "dut": "nl"}
+
+
+def parse_label(label: Column) -> Column:
+    """The language of a model's label, such as __label__eng; other codes stay as they are."""
+    code = F.regexp_replace(label, "^__label__", "")
+    return F.coalesce(F.create_map(*[F.lit(x) for p in LABELS.items() for x in p])[code], code)
+
+
 def restrict(lang: Column, confidence: Column, alternatives: Column) -> Column:
     """struct(lang, confidence): a language that isn't supported gives way to the first alternative that is."""
     supported = F.filter(alternatives, lambda a: a["lang"].isin(*lexicon.LANGUAGES))

@@ -39,6 +39,11 @@ def recommended_fetcher(url: Column) -> Column:
     return F.when(hit, "browser").otherwise("static")
 
 
+def available(status: Column) -> Column:
+    """Whether a probe's status says that a page is there: success or redirection."""
+    return F.coalesce(status.between(200, 399), F.lit(False))
+
+
 def backoff(attempt: int) -> int:
     """Seconds to wait before a further attempt."""
     return min(2**attempt, 3)
