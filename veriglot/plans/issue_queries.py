@@ -18,15 +18,15 @@ EN = AuditConfig(target="en")
 
 # issues of a checker, made of lineitem: two verifiers often say the same of one place
 
-MADE = """SELECT l_orderkey AS id, CAST(l_linenumber * 1000000 + l_partkey AS INT) AS seq, CASE l_suppkey % 3 WHEN 0 THEN 'languagetool' WHEN 1 THEN 'placeholder' ELSE 'heuristic' END AS source,
+MADE = """SELECT l_orderkey AS id, CAST(l_linenumber * 1000000 + l_partkey AS BIGINT) AS seq, CASE l_suppkey % 3 WHEN 0 THEN 'languagetool' WHEN 1 THEN 'placeholder' ELSE 'heuristic' END AS source,
     CASE l_partkey % 3 WHEN 0 THEN 'punctuation' WHEN 1 THEN 'spelling' ELSE 'style' END AS type, CASE WHEN l_suppkey % 5 = 0 THEN 'RULE_A' WHEN l_suppkey % 5 = 1 THEN 'RULE_B' ELSE 'RULE_C' END AS rule_id,
-    CASE l_linenumber % 2 WHEN 0 THEN 'Same Place' ELSE 'same place' END AS message, concat('fix ', l_suppkey % 4) AS suggestion, CAST(l_quantity AS INT) % 7 * 9 AS s, CAST(l_quantity AS INT) % 7 * 9 + 4 + CAST(l_quantity AS INT) % 3 * 6 AS e, CAST(l_quantity AS INT) % 4 / 4.0 AS confidence FROM lineitem"""
+    CASE l_linenumber % 2 WHEN 0 THEN 'Same Place' ELSE 'same place' END AS message, concat('fix ', l_suppkey % 4) AS suggestion, CAST(l_quantity AS BIGINT) % 7 * 9 AS s, CAST(l_quantity AS BIGINT) % 7 * 9 + 4 + CAST(l_quantity AS BIGINT) % 3 * 6 AS e, CAST(l_quantity AS BIGINT) % 4 / 4.0 AS confidence FROM lineitem"""
 
 
 def made(spark, sf_dir) -> DataFrame:
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     df = spark.sql(MADE)
-    return df.withColumns({"confidence": F.col("confidence").cast("double"), "seq": F.col("seq").cast("int")})
+    return df.withColumns({"confidence": F.col("confidence").cast("double")})
 
 
 def flat(df: DataFrame, *columns: str) -> DataFrame:
