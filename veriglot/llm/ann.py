@@ -172,10 +172,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             block, held = block + 1, 0
         first[cell], parts[cell] = block, max(1, -(-counts[cell] // BLOCK))
         block, held = block + parts[cell] - 1, held + counts[cell] if parts[cell] == 1 else BLOCK
-    of_block = {}
-    for cell in counts:
-        for p in range(parts[cell]):
-            of_block.setdefault(first[cell] + p, []).append(cell)
+    of_cell = {cell: range(first[cell], first[cell] + parts[cell]) for cell in counts}
     cuts = max(1, -(-n_queries // QUERIES))
     spark = vectors.sparkSession
     where = spark.createDataFrame([(c, first[c], parts[c]) for c in counts], "cell int, first int, parts int")
@@ -183,16 +180,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     dealt = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"), "id", "cell", "codes", "v")
 
     def ask():
-        members = {b: np.array(c) for b, c in of_block.items()}
-
         def columns(batch: pa.RecordBatch) -> list:
             near = np.argsort(-(matrix(batch.column(1)).astype(np.float32) @ index.centroids.T), 1)[:, : index.probes]
             out: tuple[list, list, list] = ([], [], [])
-            for i, cells in enumerate(near):
-                for b, own in members.items():
-                    if len(both := np.intersect1d(cells, own)):
-                        for x, y in zip(out, (b, i, both.tolist()), strict=True):
-                            x.append(y)
+            for i, cells in enumerate(near.tolist()):
+                probed: dict[int, list[int]] = {}
+                for cell in cells:
+                    for b in of_cell.get(cell, ()):
+                        probed.setdefault(b, []).append(cell)
+                for x, y in zip(out, (probed.keys(), [i] * len(probed), probed.values()), strict=True):
+                    x += y
             at = pa.array(out[1], pa.int64())
             return [out[0], batch.column(0).take(at), batch.column(1).take(at), out[2]]
 
