@@ -67,3 +67,12 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, SF)
         assert empty_out.count() == 0
+
+
+def test_clean(spark):
+    from veriglot.llm.common import clean, materialise, scratch_root
+
+    kept = materialise(spark.range(3).toDF("x"), "t")
+    assert kept.count() == 3
+    clean(spark)
+    assert not list(Path(scratch_root(spark).removeprefix("file:")).glob("*"))

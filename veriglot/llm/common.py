@@ -43,18 +43,23 @@ def drawn(df: DataFrame, total: int, rows: int, seed: int = 7) -> DataFrame:
     return df.filter(F.rand(seed) < rows / total) if total > rows else df
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the folder that all executors share; a local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "veriglot-scratch")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/veriglot-{name}-{uuid.uuid4().hex}"
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder in the one that all executors share; a local one only where none is set, as in
+    tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veriglot-scratch")
+    return f"{root.rstrip('/')}/veriglot-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this application wrote in between. Results not yet written read them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes a table in the shared folder and reads it back."""
-    path = scratch_path(df.sparkSession, name)
+    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
