@@ -42,6 +42,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = (before.isNull() | ~before.eqNullSafe(F.struct("id", "row"))).cast("long")
     streamed = salted.withColumn("first", first).groupBy("h1", "h2", "salt").agg(F.sum("first").alias("n"), F.max("id").alias("keeper"))
     repeated = streamed.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    repeated = materialise(repeated, "repeated")  # as a table of its own, so that a hot hash's partition can be split
     lost = lines.join(repeated.hint("merge"), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
