@@ -163,6 +163,7 @@ def _open_rows(rows: DataFrame, links: DataFrame | None) -> DataFrame:
         found = components(links)
         rows = rows.drop("component").join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    per = materialise(per, "open-buckets")  # as a table of its own, so that a hot bucket's partition can be split
     return rows.drop("size").join(per.select("key", "size").hint("merge"), "key")
 
 
@@ -177,7 +178,7 @@ def _star(rows: DataFrame, salt: int) -> DataFrame:
         rows = rows.join(rows.groupBy("id").agg((-F.count(F.lit(1))).alias("degree")).hint("merge"), "id")
     rank = {0: [], 1: ["degree"]}.get(salt, [F.xxhash64(F.lit(salt), "id").alias("h")])
     leaders = rows.groupBy("key").agg(F.min(F.struct(*rank, "id", "component")).alias("leader"))
-    met = rows.join(leaders.hint("merge"), "key").filter("component <> leader.component")
+    met = rows.join(materialise(leaders, "leaders").hint("merge"), "key").filter("component <> leader.component")
     return _ordered(met.select(F.col("id").alias("x"), F.col("leader.id").alias("y")))
 
 
@@ -274,6 +275,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = profile.join(ids.hint("merge"), "id", "left_semi")
     rows = reps.select("id", "n_shingles", F.explode("bands").alias("key"), F.col("id").alias("component"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialise(shared, "shared")
     rows = materialise(rows.join(shared.hint("merge"), "key"), "buckets")
     wanted = rows.select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
