@@ -25,7 +25,7 @@ SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
 #: Rows the classifier is fitted on at most, about; the switching penalty in nats; bytes of text whose
 #: words are labelled together.
-TRAIN_ROWS, PENALTY, SLICE = 20_000, 12.0, 6_000_000
+TRAIN_ROWS, PENALTY, SLICE = 20_000, 12.0, 4_000_000
 #: A script belongs to a language from this share of its letters.
 SCRIPT_SHARE = 0.02
 

@@ -336,6 +336,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = materialise(_occurrences(docs, id_col, text_col, length), "runs")
     keys = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("a1"), F.max("c1").alias("b1"), F.min("c2").alias("a2"), F.max("c2").alias("b2"))
     keys = keys.filter("n > 1").select("key", ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))).alias("mixed"))
+    keys = materialise(keys, "keys")  # as a table of its own, so that a hot key's partition can be split
     runs = materialise(runs.join(keys.hint("merge"), "key"), "shared-runs")
     mixed = runs.filter("mixed")
     one = mixed.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row", "lo", "hi", "at")).alias("where")).select("key", "c1", "c2", "n", "where.*")
