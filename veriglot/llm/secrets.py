@@ -20,7 +20,9 @@ from .common import drawn, map_slices, packed_rows, text_or_empty, with_id
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The shortest string that the models judge.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 HINTS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
@@ -110,6 +112,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What base spans leave of each candidate run, where that is at least LEAST characters."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for _, a, b in base:
+            if at < b and a < m.end():
+                out.append((at, a))
+                at = b
+        out.append((at, m.end()))
+    return [(a, b) for a, b in out if b - a >= LEAST]
+
+
 def coded(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -123,11 +138,11 @@ def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, id_c
         def columns(batch: pa.RecordBatch) -> list:
             texts = batch.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
-            found = [(i, m) for i, t in enumerate(texts) for m in CANDIDATE.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in base[i])]
+            found = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
             spans = [list(b) for b in base]
-            for (i, m), score in zip(found, model.score([m[0] for _, m in found]).tolist(), strict=True):
+            for (i, a, b), score in zip(found, model.score([texts[i][a:b] for i, a, b in found]).tolist(), strict=True):
                 if score >= threshold:
-                    spans[i].append(("random", *m.span()))
+                    spans[i].append(("random", a, b))
             spans = [sorted(s, key=lambda x: (x[1], KINDS.index(x[0]))) for s in spans]
             n = [[sum(k == kind for k, _, _ in b) for b in base] for kind in KINDS[:3]]
             return [batch.column(0), *n, [coded(b) for b in base], [coded(s) for s in spans], [redact(t, s) for t, s in zip(texts, spans, strict=True)]]
