@@ -269,6 +269,25 @@ def test_secrets_beside_base_spans(spark):
     assert secrets.candidates("a" * 40, [("hex", 0, 12), ("assign", 4, 8), ("hex", 20, 24)]) == [(24, 40)]
 
 
+def test_secrets_in_names_and_paths(spark):
+    model = secrets.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    rng = random.Random(7)
+    found = lambda x: model.places([x], secrets.THRESHOLD)[0]
+    for before, after in (("session_signing_material_value=", ""), ("client_secret_value=", ""), ("aws_secret_access_key=", ""), ("/usr/local/share/config/", "/download/index/page"), ("user_name=someone/key=", "/public")):
+        whole = 0
+        for _ in range(100):
+            value = "".join(rng.choices(secrets.ALPHABET[:62], k=16))
+            whole += any(a <= len(before) and len(before) + 16 <= b for a, b in found(before + value + after))
+        assert whole > 95
+    two = "session_signing_value=Zk3vQ9xL2mWp8RtYb5/usr/local/share/config/session/index/page=q7HdT4kVx9Bz2LmWc8"
+    assert len(found(two)) == 2 and found("=" * 400) == found("a") == []
+    names = [x for x in secrets.identifiers(["thousand", "operation", "invoice", "warehouse", "shipping", "currency"], 2000, rng) if len(x) >= 16]
+    joined = [f"{a}={b}/{c}" for a, b, c in zip(names, names[1:], names[2:])]
+    assert np.mean([bool(x) for x in model.places(names + joined, secrets.THRESHOLD)]) < 0.05
+    got = secrets.scan(table(spark, ["x session_signing_material_value=Zk3vQ9xL2mWp8RtY y"], repeat=False), model).first()
+    assert got.redacted == "x session_signing_material_value=[secret] y" and got.spans == "random:33:49"
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     lex = {"aa": "the of and ing tion ly".split(), "bb": "der die und keit lich ung".split(), "cc": "дом река город мир".split()}

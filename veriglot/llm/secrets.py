@@ -2,7 +2,7 @@
 
 A candidate is a run of characters that keys are made of. Its score is the mean log-likelihood ratio of each character
 given the two before it, under a model of random strings against a model of identifiers; both are trained here from
-labelled samples.
+labelled samples. In a run whose own score is low, as it joins names and paths to a value, windows are judged.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 HINTS = ("password", "passwd", "secret", "token", "api")
+#: No key holds "=" but at its end, so that it parts names from values.
+VALUE, SEGMENT = (re.compile(rf"[^{c}]{{{LEAST},}}") for c in ("=", "=/"))
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -32,6 +34,8 @@ ORDINARY = """access action active admin agent async author batch block button c
 #: Rows of documents whose words make identifiers for the sample, and strings of each label.
 SAMPLE_ROWS, SAMPLE_STRINGS = 500, 20_000
 THRESHOLD = 1.0
+#: A window is the best of many, so that its mean must be so many times the threshold.
+WINDOW = 2.0
 
 
 def random_strings(n: int, rng: random.Random) -> list[str]:
@@ -84,11 +88,55 @@ class MarkovRatio:
     def score(self, strings: list[str]) -> np.ndarray:
         if not strings:
             return np.zeros(0)
+        each, begin = self._each(strings)
+        return np.add.reduceat(each, begin) / np.array([len(s) for s in strings])
+
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ratios of all strings' characters, each string's followed by two zeros, and where each begins."""
         codes, begin = self._codes(strings)
         codes = np.append(codes, [0, 0])
         cells = (codes[:-2] * self.size + codes[1:-1]) * self.size + codes[2:]
-        each = np.where(codes[2:] > 0, self.ratio[cells], 0)
-        return np.add.reduceat(each, begin) / np.array([len(s) for s in strings])
+        return np.where(codes[2:] > 0, self.ratio[cells], 0), begin
+
+    def places(self, strings: list[str], threshold: float) -> list[list[tuple[int, int]]]:
+        """Where each string is random: all of it if its score is at least threshold, else the windows() of the values
+        between its "=", and segments between "=" and "/" whose own score is at least threshold."""
+        out = [[(0, len(s))] if x >= threshold else [] for s, x in zip(strings, self.score(strings).tolist(), strict=True)]
+        values = [(i, m.start(), m[0]) for i, s in enumerate(strings) if not out[i] for m in VALUE.finditer(s)]
+        if values:
+            each, begin = self._each([v for _, _, v in values])
+            for (i, at, v), b in zip(values, begin.tolist(), strict=True):
+                out[i] += [(at + lo, at + hi) for lo, hi in windows(v, each[b : b + len(v)].astype(np.float64), WINDOW * threshold)]
+        segments = [(i, *m.span()) for i, s in enumerate(strings) for m in SEGMENT.finditer(s) if not any(a < m.end() and m.start() < b for a, b in out[i])]
+        for (i, a, b), x in zip(segments, self.score([strings[i][a:b] for i, a, b in segments]).tolist(), strict=True):
+            if x >= threshold:
+                out[i].append((a, b))
+        return out
+
+
+def windows(value: str, each: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Where windows of at least LEAST characters have a mean of threshold or more: that with the largest sum above it,
+    with what beside it is rather random, out to the next "/"; then those in the rest. None is missed, as a window of
+    that mean has no negative sum."""
+    out, todo = [], [(0, len(value))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST:
+            continue
+        total = np.concatenate(([0.0], np.cumsum(each[lo:hi] - threshold)))
+        gain = total[LEAST:] - np.minimum.accumulate(total[:-LEAST])
+        end = int(gain.argmax())
+        if gain[end] < 0:
+            continue
+        a, b = lo + int(total[: end + 1].argmin()), lo + end + LEAST
+        left, right = np.cumsum(each[lo:a][::-1]), np.cumsum(each[b:hi])
+        a -= int(left.argmax()) + 1 if left.max(initial=0) > 0 else 0
+        b += int(right.argmax()) + 1 if right.max(initial=0) > 0 else 0
+        a, stop = max(lo, value.rfind("/", lo, a) + 1), value.find("/", b, hi)
+        b = hi if stop < 0 else stop
+        out.append((a, b))
+        todo += [(lo, a), (b, hi)]
+    return out
 
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS, seed: int = 11) -> MarkovRatio:
@@ -140,9 +188,8 @@ def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, id_c
             base = [base_spans(t) for t in texts]
             found = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
             spans = [list(b) for b in base]
-            for (i, a, b), score in zip(found, model.score([texts[i][a:b] for i, a, b in found]).tolist(), strict=True):
-                if score >= threshold:
-                    spans[i].append(("random", a, b))
+            for (i, a, b), places in zip(found, model.places([texts[i][a:b] for i, a, b in found], threshold), strict=True):
+                spans[i] += [("random", a + lo, a + hi) for lo, hi in places]
             spans = [sorted(s, key=lambda x: (x[1], KINDS.index(x[0]))) for s in spans]
             n = [[sum(k == kind for k, _, _ in b) for b in base] for kind in KINDS[:3]]
             return [batch.column(0), *n, [coded(b) for b in base], [coded(s) for s in spans], [redact(t, s) for t, s in zip(texts, spans, strict=True)]]
