@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veriglot.config import AuditConfig, ConfigError, load, preset
 from veriglot.functions import text as T
 from veriglot.operators import grammar, heuristics, issues, placeholders, report
+from veriglot.plans.queries import QUERIES
 
 def text():
     return F.col("text")
@@ -134,3 +135,11 @@ def test_whitelist_and_position(spark):
     assert one(spark, "the online shop", heuristics.leaks(text(), "es", 0.0, 1, ("the",)))
     assert one(spark, "ab cd ab", T.position(text(), F.lit("ab"), F.lit(1))) == 6 and one(spark, "ab", T.position(text(), F.lit("x"), F.lit(1))) == 1
     assert one(spark, "see www.a.example and me@b.example  now 12", T.preprocess(text(), numbers=True)) == "see and now"
+
+
+def test_detect_tokens_whole_text(spark, tmp_path):
+    texts = ["xx " * 3_400 + "the " * 3_400, "https://the.of/and the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.lang): r.n for r in QUERIES["detect_tokens"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, "en"), (1, "en"), (1, "unknown")} and 60 < got[0, "en"] < 140
+    assert got[1, "en"] == 3 and got[1, "unknown"] == 1

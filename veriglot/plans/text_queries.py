@@ -258,8 +258,8 @@ def lang_distribution(spark, sf_dir):
 
 @query("detect_tokens")
 def detect_tokens(spark, sf_dir):
-    """Up to 200 tokens of each document, drawn by hash, of at least three letters and in a language's list."""
-    words = F.transform(T.tokens(T.preprocess(text())), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("token")))
+    """Up to 200 tokens of each whole document, drawn by hash, of at least three letters and in a language's list."""
+    words = F.transform(T.tokens(text()), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("token")))
     drawn = docs(spark, sf_dir).select("doc_id", F.explode(F.slice(F.array_sort(words), 1, 200)).alias("x")).select("doc_id", F.col("x.token").alias("token")).filter(F.length("token") >= 3)
     lang = F.coalesce(*[F.when(F.col("token").isin(*lexicon.STOPWORDS[x]), x) for x in lexicon.LANGUAGES], F.lit("unknown"))
     return drawn.groupBy("doc_id", lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
