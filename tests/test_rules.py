@@ -1,6 +1,8 @@
 """Rules on small texts with places worked out by hand, and invariants."""
 
+import json
 import re
+from collections import Counter
 from dataclasses import replace
 
 import pytest
@@ -143,3 +145,17 @@ def test_detect_tokens_whole_text(spark, tmp_path):
     got = {(r.doc_id, r.lang): r.n for r in QUERIES["detect_tokens"](spark, str(tmp_path)).collect()}
     assert set(got) == {(0, "en"), (1, "en"), (1, "unknown")} and 60 < got[0, "en"] < 140
     assert got[1, "en"] == 3 and got[1, "unknown"] == 1
+
+
+def test_api_response_whole_audit(spark, tmp_path):
+    texts = ["This is the text of the page and it is in {{name}} and ${x} %s for you\nEl perro y la casa de la ciudad con los gatos", "This is the PRICE OF THE page and  it costs 5€ for you.And the rest <b>is here", "It is the one and only text of the page"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [] for i in range(3)}
+    for r in QUERIES["audit_documents"](spark, str(tmp_path)).collect():
+        want[r.page_id].append((r.block_idx, r.s, r.e, r.type, r.severity, r.rule_id, r.message))
+    assert {"placeholder", "punctuation", "language_leak"} <= {x[3] for x in want[0] + want[1]}
+    for r in QUERIES["api_response"](spark, str(tmp_path)).collect():
+        got = json.loads(r.response)
+        assert sorted(tuple(i[k] for k in ("block_idx", "start", "end", "type", "severity", "rule_id", "message")) for i in got["issues"]) == sorted(want[r.page_id])
+        assert got["total_issues"] == len(want[r.page_id]) and got["issues_by_type"] == Counter(x[3] for x in want[r.page_id])
+        assert got["by_severity"] == {"critical": 0, "error": 0, "warning": 0, "info": 0} | Counter(x[4] for x in want[r.page_id])

@@ -136,8 +136,12 @@ def supported_languages(spark) -> DataFrame:
     return spark.createDataFrame([(code, names[code]) for code in lexicon.LANGUAGES], "code string, name string")
 
 
-def api_response(stats: DataFrame, languages: DataFrame) -> DataFrame:
-    """page_id and the answer of an analysis as JSON."""
+def api_response(stats: DataFrame, languages: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id and the answer of an analysis as JSON, with all issues of audit()."""
     langs = languages.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", F.round("pct", 4).alias("pct"))))).alias("detected_languages"))
-    body = F.struct(F.col("issues").alias("total_issues"), F.struct("critical", "error", "warning", "info").alias("by_severity"), F.col("total_blocks").alias("total_text_blocks"), F.round(F.col("language_purity") * 100, 4).alias("target_language_percentage"), "overall_score", "detected_languages")
-    return stats.join(langs, "page_id", "left").select("page_id", F.to_json(body).alias("response"))
+    issue = F.struct("block_idx", F.col("s").alias("start"), F.col("e").alias("end"), "type", "severity", "rule_id", "message", "suggestion", "snippet", "confidence")
+    listed = found.groupBy("page_id").agg(F.array_sort(F.collect_list(issue)).alias("found"))
+    kinds = F.transform(F.array_sort(F.array_distinct("found.type")), lambda k: F.struct(k, F.size(F.filter("found", lambda i: i["type"] == k))))
+    by_type = F.coalesce(F.map_from_entries(kinds), F.expr("cast(map() as map<string, int>)")).alias("issues_by_type")
+    body = F.struct(F.col("issues").alias("total_issues"), F.struct("critical", "error", "warning", "info").alias("by_severity"), by_type, F.col("total_blocks").alias("total_text_blocks"), F.round(F.col("language_purity") * 100, 4).alias("target_language_percentage"), "overall_score", "detected_languages", F.coalesce("found", F.array()).alias("issues"))
+    return stats.join(langs, "page_id", "left").join(listed, "page_id", "left").select("page_id", F.to_json(body).alias("response"))

@@ -233,4 +233,6 @@ def audit_page_scores(spark, sf_dir):
 
 @query("api_response")
 def api_response(spark, sf_dir):
-    return report.api_response(stats(spark, sf_dir), report.page_languages(blocks(spark, sf_dir)))
+    lined = blocks(spark, sf_dir)
+    found = report.audit(lined, EN)
+    return report.api_response(report.page_stats(lined, found, EN), report.page_languages(lined), found)
