@@ -310,6 +310,14 @@ def test_language_id(spark):
     assert packed.select("doc.*").columns == df.columns and packed.count() == df.count()
 
 
+def test_rare_language(spark):
+    rows = [(i, "aa", "the hand of time and king") for i in range(8000)] + [(i, "cc", "дом река город мир") for i in range(8000, 8004)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(3)
+    model = language_id.train(df, rows=40)
+    assert model.languages == ["aa", "cc"]
+    assert language_id.identify(df.filter("lang = 'cc'"), model).filter("lang_pred = 'cc'").count() == 4
+
+
 def test_viterbi():
     rng = np.random.default_rng(0)
     for _ in range(50):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import REMEMBERED, drawn, map_slices, packed_rows, text_or_empty, with_id
+from .common import REMEMBERED, map_slices, packed_rows, text_or_empty, with_id
 
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges (Unicode blocks) and the script of each range.
@@ -26,6 +26,8 @@ BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
 #: Rows the classifier is fitted on at most, about; the switching penalty in nats; bytes of text whose
 #: words are labelled together.
 TRAIN_ROWS, PENALTY, SLICE = 20_000, 12.0, 4_000_000
+#: Rows that the sample holds of each label at least, where there are so many.
+LEAST = 200
 #: A script belongs to a language from this share of its letters.
 SCRIPT_SHARE = 0.02
 
@@ -73,10 +75,19 @@ class Model:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    """Counts features by language over labelled rows, about `rows` of them, drawn at random.
+    """Counts features by language over labelled rows, about `rows` of them, drawn at random; of a rare label about LEAST
+    rows, or all if there are fewer, so that it is learned (together no more than about `rows` again).
     Rows without a label or text are passed over; without any labelled row the model has no language."""
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    labelled = drawn(labelled, labelled.count(), rows)
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each label
+    total = sum(counts.values())
+    least = min(LEAST, max(1, rows // max(1, len(counts))))
+    if total > rows:
+        rare = {lang: least / n for lang, n in counts.items() if n * rows < least * total}
+        share = F.lit(rows / total)
+        if rare:
+            share = F.coalesce(F.create_map(*[F.lit(x) for pair in rare.items() for x in pair])[F.col("lang")], share)
+        labelled = labelled.filter(F.rand(7) < share)
 
     def start():
         def columns(batch: pa.RecordBatch) -> list:
