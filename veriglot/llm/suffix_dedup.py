@@ -5,7 +5,8 @@ the strings of one minimizer, its context, only need comparing with contexts of
 that occur several times are one text with a count. Buckets in which contexts differ are suffix-sorted, a block of
 buckets at a time: suffixes at cover positions are ranked first, then one suffix bucket after the other is sorted by
 its first V bytes, and longer ties are resolved by the ranks at the cover positions that both suffixes share. Memory
-is bounded by the block. Buckets of very many different contexts are dealt out anew by what their strings share.
+is bounded by the block. Buckets of very many different contexts are dealt out anew by what their strings share, so
+that no task sorts more than MOST contexts of a bucket; what differs after that is suffix-sorted as well.
 """
 
 from __future__ import annotations
@@ -149,18 +150,19 @@ def _names(order: np.ndarray, differs: np.ndarray) -> np.ndarray:
 
 class CoverRanks:
     """Ranks of the suffixes at cover positions, and names of their first 8 V bytes. Doubling goes on until the ranks
-    differ: ranks of bounded depth would make comparisons at different distances disagree."""
+    differ: ranks of bounded depth would make comparisons at different distances disagree. What follows the end counts
+    as less than any byte, a NUL included: of suffixes that agree so far, the one nearer to the end goes first."""
 
     def __init__(self, words: np.ndarray, size: int):
         cover = np.zeros(V, bool)
         cover[COVER] = True
         self.places = np.flatnonzero(cover[np.arange(size) % V])
         self.rank = np.zeros(len(words) + 1, np.int64)
-        keys = [words[self.places + 8 * k] for k in range(V // 8)]
+        keys = [words[self.places + 8 * k] for k in range(V // 8)] + [np.minimum(size - self.places, V)]
         order = np.lexsort(keys[::-1])
         self._set(order, np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0))
         self.names, step = self.rank, V
-        while self.rank.max(initial=0) < len(self.places):
+        while self.rank.max(initial=0) < len(self.places) and step < 2 * size:
             ahead = self.rank[np.minimum(self.places + step, len(self.rank) - 1)]
             pair = self.rank[self.places] * (len(self.places) + 1) + ahead
             order = np.argsort(pair, kind="stable")
@@ -314,8 +316,10 @@ def _decide(contexts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFr
     sized = contexts.join(per.hint("merge"), "key")
     found = _sorted_blocks(sized.filter(F.col("size") <= MOST), length)
     hot = sized.filter(F.col("size") > MOST)
-    if not widths or per.filter(F.col("size") > MOST).isEmpty():
+    if per.filter(F.col("size") > MOST).isEmpty():
         return found
+    if not widths:  # only strings that differ but share a 64-bit hash are left together
+        return found.unionByName(_sorted_blocks(hot, length))
     parts = materialise(_finer(hot, widths[0], length), "finer")
     one = parts.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), F.first("at").alias("at"), F.first("context").alias("context"))
     one = materialise(one, "finer-contexts")
@@ -354,7 +358,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary) for each row. Null texts are empty; a
-    text shorter than `length` loses nothing; rows of equal id and text repeat each other like any two texts."""
+    text shorter than `length` loses nothing; rows of equal id and text repeat each other like any two texts, null ids
+    included. Any byte may occur, NULs too; long texts are hashed CHUNK bytes at a time. An empty table gives none."""
     spans = repeated_ranges(docs, id_col, text_col, length)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
     both = texts.join(spans.withColumnsRenamed({"id": "i", "row": "r"}).hint("merge"), texts["id"].eqNullSafe(F.col("i")) & (texts["row"] == F.col("r")), "left").select("id", "text", "spans")
