@@ -3,24 +3,29 @@ product-quantised residuals, asymmetric distance tables and exact reranking.
 
 Centroids and codebooks are fitted on a sample of bounded size; every row is indexed. The share of cells to probe is
 set at fit time so that the sample's own neighbours are found with the wanted recall. Rows go to blocks of bounded
-size: small cells share a block, large ones (a vector that very many rows have) are spread over several.
+size: small cells share a block, large ones (a vector that very many rows have) are spread over several. A query goes
+to the blocks of its cells, which hold only codes, and comes back with its best rows by asymmetric distance. The best
+of all its blocks, RERANK rows a query, are one shortlist; only these meet the query again, as whole vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import drawn, map_slices, materialise, small_batches, with_id
 
 #: Rows to fit on and cells, at most; sub-vectors and codes of each; rows of a block and queries compared with it at a
-#: time; rows of a cell that are scored exactly for a query; recall wanted of the probed cells.
-SAMPLE, CELLS, PARTS, CODES, BLOCK, QUERIES, RERANK, RECALL = 20_000, 4096, 16, 256, 8192, 2048, 128, 0.985
+#: time; rows on a query's shortlist; recall wanted of the probed cells.
+SAMPLE, CELLS, PARTS, CODES, BLOCK, QUERIES, RERANK, RECALL = 20_000, 4096, 32, 256, 4096, 256, 100, 0.97
+#: A row that a block proposes: its id, a hash of its vector, its asymmetric distance.
+FOUND = np.dtype([("id", "<i8"), ("copy", "<i8"), ("score", "<f4")])
 
 
 @dataclass
@@ -88,44 +93,107 @@ def fit(sample: np.ndarray, rows: int, k: int = 20, recall: float = RECALL, seed
     return index
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row, best first, ties to smaller ids."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+def _among_copies(copy: np.ndarray) -> np.ndarray:
+    """How many equal values come before each."""
+    order = np.argsort(copy, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(copy[order]) != 0)) if len(copy) else np.zeros(0, np.int64)
+    out = np.empty(len(copy), np.int64)
+    out[order] = np.arange(len(copy)) - np.repeat(first, np.diff(np.append(first, len(copy))))
+    return out
 
 
-def _among_copies(x: np.ndarray) -> np.ndarray:
-    """How many equal rows come before each row."""
-    same = np.unique(x, axis=0, return_inverse=True)[1].ravel()
-    order = np.argsort(same, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(same[order]) > 0))
-    out = np.empty(len(x), np.int64)
-    out[order] = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-    return out
+class CodedBlock:
+    """Rows of a block by their codes. Of equal vectors, only the first k besides the query's own can be found."""
+
+    def __init__(self, index: Index, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, copy: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")  # equal distances then keep the order of ids
+        order = order[_among_copies(copy[order]) <= k]
+        self.index, self.ids, self.cells, self.codes, self.copy = index, ids[order], cells[order], codes[order], copy[order]
+
+    def propose(self, q_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, most: int) -> list[bytes]:
+        """Of each query (float32 rows of q; probed: queries x cells) the `most` best rows as FOUND records."""
+        tables = np.ascontiguousarray(self.index.tables(q).transpose(1, 2, 0))
+        toward, probed = np.ascontiguousarray((q @ self.index.centroids.T).T), np.ascontiguousarray(probed.T)
+        near = np.empty((len(self.ids), len(q)), np.float32)
+        for a in range(0, len(self.ids), 256):  # what is summed up stays in the cache
+            cells, codes = self.cells[a : a + 256], self.codes[a : a + 256]
+            total = tables[0][codes[:, 0]]
+            for m in range(1, codes.shape[1]):
+                total += tables[m][codes[:, m]]
+            near[a : a + 256] = np.where(probed[cells], toward[cells] + self.index.scales[cells, None] * total, -np.inf)
+        near = np.ascontiguousarray(near.T)
+        near[q_ids[:, None] == self.ids[None]] = -np.inf
+        least = np.partition(near, -most, axis=1)[:, -most] if near.shape[1] > most else np.full(len(q), -np.inf, np.float32)
+        out = []
+        for row, limit in zip(near, least, strict=True):
+            at = np.flatnonzero((row >= limit) & (row > -np.inf))
+            if len(at) > most:
+                above = row[at] > limit
+                at = np.sort(np.append(at[above], at[~above][: most - above.sum()]))
+            found = np.empty(len(at), FOUND)
+            found["id"], found["copy"], found["score"] = self.ids[at], self.copy[at], row[at]
+            out.append(found.tobytes())
+        return out
+
+
+def shortlist(found: np.ndarray, k: int, most: int) -> np.ndarray:
+    """Places in found (FOUND records of all blocks) of the `most` best by distance, ties to smaller ids; of equal
+    vectors the first k + 1 only, so that copies don't crowd out the rest."""
+    order = np.lexsort((found["id"], -found["score"]))
+    return order[_among_copies(found["copy"][order]) <= k][:most]
+
+
+ROW = "block int, asks boolean, id bigint, cell int, codes binary, copy bigint, v array<double>, wanted binary"
+
+
+def _in_blocks(held: DataFrame, asking: DataFrame, schema: str, prepare: Callable[[pa.Table], Callable[[pa.Table], list]]) -> DataFrame:
+    """Rows of a block, of bounded number, meet the queries that come to it, QUERIES at a time: both are dealt out by
+    block and sorted so that rows come first. prepare(rows) returns the function from queries to output columns."""
+    out = [f.name for f in StructType.fromDDL(schema)]
+    fields = [f for f in StructType.fromDDL(ROW)]
+
+    def shaped(df: DataFrame, asks: bool) -> DataFrame:
+        df = df.withColumn("asks", F.lit(asks))
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, ready = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key = table.column("block").to_numpy().astype(np.int64) * 2 + table.column("asks").to_numpy()
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                if key[a] // 2 != block:
+                    block, rows, ready = key[a] // 2, [], None
+                part = table.slice(a, b - a)
+                if not key[a] % 2:
+                    rows.append(part)
+                elif rows:
+                    ready = ready or prepare(pa.concat_tables(rows))
+                    for i in range(0, part.num_rows, QUERIES):
+                        yield pa.RecordBatch.from_arrays(ready(part.slice(i, QUERIES)), out)
+
+    small_batches(held.sparkSession)
+    both = shaped(held, False).unionAll(shaped(asking, True))
+    return both.repartition("block").sortWithinPartitions("block", "asks", "id").mapInArrow(run, schema)
+
+
+def deal_cells(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell and how many blocks it has: up to BLOCK rows each, small cells together."""
+    first, parts, block, held = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // BLOCK)), 0, 0
+    for cell, n in enumerate(counts.tolist()):
+        if held and held + n > BLOCK:
+            block, held = block + 1, 0
+        first[cell] = block
+        block, held = block + int(parts[cell]) - 1, held + n if parts[cell] == 1 else BLOCK
+    return first, parts
 
 
-def scan_block(index: Index, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of a block for each query: ids and exact scores, -inf where there are fewer. probed: queries x
-    cells, whether the query looks there."""
-    found, score = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -np.inf)
-    tables, toward = index.tables(q.astype(np.float32)), q.astype(np.float32) @ index.centroids.T
-    for cell in np.unique(cells):
-        rows, asks = np.flatnonzero(cells == cell), np.flatnonzero(probed[:, cell])
-        rows = rows[np.argsort(ids[rows], kind="stable")]  # equal scores then keep the order of ids
-        rows = rows[_among_copies(x[rows]) <= k]  # of equal vectors, only the first k besides the query's own can be found
-        for part in np.array_split(asks, len(asks) * max(len(rows), min(len(rows), rerank) * x.shape[1]) // 4_000_000 + 1):
-            if not len(part):
-                continue
-            near = np.zeros((len(part), len(rows)), np.float32)
-            for m in range(codes.shape[1]):
-                near += tables[part, m][:, codes[rows, m]]
-            near = toward[part, cell][:, None] + index.scales[cell] * near
-            near[q_ids[part][:, None] == ids[rows][None]] = -np.inf
-            top = np.argsort(-near, 1, kind="stable")[:, :rerank]
-            exact = np.einsum("qd,qrd->qr", q[part], x[rows[top]])
-            exact[np.take_along_axis(near, top, 1) == -np.inf] = -np.inf
-            found[part], score[part] = _best(np.concatenate([found[part], ids[rows[top]]], 1), np.concatenate([score[part], exact], 1), k)
-    return found, score
+def probe(index: Index, q: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
+    """Cells that each query looks into: index.probes, or more until they hold `least` rows."""
+    near = np.argsort(-(q @ index.centroids.T), axis=1)
+    reach = (counts[near].cumsum(1) < least).sum(1) + 1
+    return [order[: max(index.probes, n)] for order, n in zip(near, reach.tolist(), strict=True)]
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -140,79 +208,103 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id and score (inner product in double precision on the original vectors) of the k nearest
-    rows found for each query row; is_query is a condition on id. Rows that share a query's id are its own and no
-    candidates. Rows that don't take part (see _clean) neither ask nor are found; without rows nothing comes out."""
+    rows found for each query row, nearest first, ties to smaller ids; is_query is a condition on id. Rows that share a
+    query's id are its own and no candidates; other rows of a repeated id are candidates of their own, and a query id
+    that repeats asks once, with the smallest of its vectors. With fewer than k candidates all come out. Rows that
+    don't take part (see _clean) neither ask nor are found; without rows nothing comes out."""
     rows = materialise(_clean(vectors, id_col, vector_col), "vectors")
     total, schema = rows.count(), "query_id bigint, rank int, vec_id bigint, score double"
     if not total:
         return vectors.sparkSession.createDataFrame([], schema)
     picked = drawn(rows, total, sample).limit(2 * sample).toPandas()
     index = fit(np.stack(picked["v"].to_numpy()).astype(np.float32), total, k)
-    dims = index.centroids.shape[1]
+    dims, spark = index.centroids.shape[1], vectors.sparkSession
 
-    def matrix(column: pa.Array) -> np.ndarray:
+    def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return np.asarray(column.flatten(), np.float64).reshape(-1, dims)
 
     def place():
         def columns(batch: pa.RecordBatch) -> list:
             x = matrix(batch.column(1)).astype(np.float32)
             cells = index.cells(x)
-            return [batch.column(0), cells, [c.tobytes() for c in index.codes(x, cells)], batch.column(1)]
+            return [batch.column(0), batch.column(1), cells, [c.tobytes() for c in index.codes(x, cells)]]
 
         return columns
 
     raw = rows.select("id", "v")
-    placed = map_slices(raw, with_id(raw, "id", "cell int, codes binary, v array<double>"), None, place)
-    placed = materialise(placed, "placed")
-    n_queries = rows.filter(is_query).count()
-    counts = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row for each cell, CELLS at most
-    first, parts, block, held = {}, {}, 0, 0
-    for cell in sorted(counts):
-        if held and held + counts[cell] > BLOCK:
-            block, held = block + 1, 0
-        first[cell], parts[cell] = block, max(1, -(-counts[cell] // BLOCK))
-        block, held = block + parts[cell] - 1, held + counts[cell] if parts[cell] == 1 else BLOCK
-    of_cell = {cell: range(first[cell], first[cell] + parts[cell]) for cell in counts}
-    cuts = max(1, -(-n_queries // QUERIES))
-    spark = vectors.sparkSession
-    where = spark.createDataFrame([(c, first[c], parts[c]) for c in counts], "cell int, first int, parts int")
+    placed = map_slices(raw, with_id(raw, "id", "v array<double>, cell int, codes binary"), None, place)
+    placed = materialise(placed.withColumn("copy", F.xxhash64("v")), "placed")
+    counts = np.zeros(len(index.centroids), np.int64)
+    for r in placed.groupBy("cell").count().collect():  # a row for each cell, CELLS at most
+        counts[r.cell] = r["count"]
+    first, parts = deal_cells(counts)
+    where = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, first int, parts int")
     dealt = placed.join(F.broadcast(where), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int"))
-    dealt = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"), "id", "cell", "codes", "v")
+    queries = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
 
     def ask():
         def columns(batch: pa.RecordBatch) -> list:
-            near = np.argsort(-(matrix(batch.column(1)).astype(np.float32) @ index.centroids.T), 1)[:, : index.probes]
             out: tuple[list, list, list] = ([], [], [])
-            for i, cells in enumerate(near.tolist()):
-                probed: dict[int, list[int]] = {}
-                for cell in cells:
-                    for b in of_cell.get(cell, ()):
-                        probed.setdefault(b, []).append(cell)
-                for x, y in zip(out, (probed.keys(), [i] * len(probed), probed.values()), strict=True):
+            for i, cells in enumerate(probe(index, matrix(batch.column(1)).astype(np.float32), counts, rerank + 1)):
+                probed = np.zeros(len(counts), bool)
+                probed[cells] = True
+                blocks = np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells if counts[c]])).tolist()
+                for x, y in zip(out, (blocks, [i] * len(blocks), [np.packbits(probed).tobytes()] * len(blocks)), strict=True):
                     x += y
             at = pa.array(out[1], pa.int64())
             return [out[0], batch.column(0).take(at), batch.column(1).take(at), out[2]]
 
         return columns
 
-    asked = map_slices(rows.filter(is_query), StructType.fromDDL("block int, id bigint, v array<double>, cells array<int>"), None, ask)
-    asked = asked.withColumn("cut", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(cuts)).cast("int"))
+    asked = map_slices(queries, StructType.fromDDL("block int, id bigint, v array<double>, wanted binary"), None, ask)
 
-    def search(table: pa.Table, queries: pa.Table) -> pa.Table:
-        kinds = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
-        if not table.num_rows or not queries.num_rows:
-            return kinds.empty_table()
-        get = lambda t, c: t.column(c).combine_chunks()
+    def coded(table: pa.Table) -> Callable[[pa.Table], list]:
         codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        probed = np.zeros((queries.num_rows, len(index.centroids)), bool)
-        for i, cells in enumerate(queries.column("cells").to_pylist()):
-            probed[i, cells] = True
-        found, score = scan_block(index, get(table, "id").to_numpy(), get(table, "cell").to_numpy(), codes, matrix(get(table, "v")), get(queries, "id").to_numpy(), matrix(get(queries, "v")), probed, k, rerank)
-        full = score > -np.inf
-        return pa.table([get(queries, "id"), [f[m].tolist() for f, m in zip(found, full, strict=True)], [s[m].tolist() for s, m in zip(score, full, strict=True)]], schema=kinds)
-
-    small_batches(spark)
-    best = dealt.groupBy("block", "cut").cogroup(asked.groupBy("block", "cut")).applyInArrow(search, StructType.fromDDL("query_id bigint, ids array<bigint>, scores array<double>"))
-    pair = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
-    merged = best.groupBy("query_id").agg(F.flatten(F.collect_list(pair)).alias("all"))
-    return merged.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+        block = CodedBlock(index, *(table.column(c).to_numpy() for c in ("id", "cell")), codes, table.column("copy").to_numpy(), k)
+
+        def propose(part: pa.Table) -> list:
+            probed = np.unpackbits(np.frombuffer(b"".join(part.column("wanted").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)[:, : len(counts)].astype(bool)
+            found = block.propose(part.column("id").to_numpy(), matrix(part.column("v")).astype(np.float32), probed, rerank)
+            return [part.column("block").combine_chunks(), part.column("id").combine_chunks(), pa.array(found, pa.binary())]
+
+        return propose
+
+    proposed = _in_blocks(dealt.select("block", "id", "cell", "codes", "copy"), asked, "block int, id bigint, found binary", coded)
+    gathered = proposed.groupBy("id").agg(F.collect_list(F.struct("block", "found")).alias("all")).join(queries.hint("merge"), "id")
+
+    def choose():
+        def columns(batch: pa.RecordBatch) -> list:
+            out: tuple[list, list, list] = ([], [], [])
+            for i, every in enumerate(batch.column(2).to_pylist()):
+                found = np.concatenate([np.frombuffer(x["found"], FOUND) for x in every])
+                block = np.repeat([x["block"] for x in every], [len(x["found"]) // FOUND.itemsize for x in every])
+                best = shortlist(found, k, rerank)
+                for b in np.unique(block[best]).tolist():
+                    for x, y in zip(out, (b, i, np.unique(found["id"][best[block[best] == b]]).tobytes()), strict=True):
+                        x.append(y)
+            at = pa.array(out[1], pa.int64())
+            return [out[0], batch.column(0).take(at), batch.column(1).take(at), out[2]]
+
+        return columns
+
+    wanted = map_slices(gathered.select("id", "v", "all"), StructType.fromDDL("block int, id bigint, v array<double>, wanted binary"), None, choose)
+
+    def exact(table: pa.Table) -> Callable[[pa.Table], list]:
+        ids, x = table.column("id").to_numpy(), matrix(table.column("v"))  # in the order of ids
+
+        def measure(part: pa.Table) -> list:
+            out: tuple[list, list, list] = ([], [], [])
+            for q, y, want in zip(part.column("id").to_pylist(), matrix(part.column("v")), part.column("wanted").to_pylist(), strict=True):
+                want = np.frombuffer(want, np.int64)
+                a, b = np.searchsorted(ids, want, "left"), np.searchsorted(ids, want, "right")
+                at = np.concatenate([np.arange(*p) for p in zip(a.tolist(), b.tolist(), strict=True)])
+                for z, w in zip(out, (np.full(len(at), q), ids[at], np.einsum("rd,d->r", x[at], y)), strict=True):
+                    z.append(w)
+            return [pa.array(np.concatenate(z)) for z in out]
+
+        return measure
+
+    scored = _in_blocks(dealt.select("block", "id", "v"), wanted, "query_id bigint, vec_id bigint, score double", exact)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
