@@ -8,6 +8,7 @@ come from a hash table of pairs, and both matrices are compacted by one column.
 from __future__ import annotations
 
 import base64
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -108,11 +109,11 @@ class RowMerger:
 
 
 class BytePairCodec:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, file: bytes, pattern: str):
+        """file: what the rank file holds."""
         import regex
 
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file.splitlines())}
         if max(self.ranks.values()) >= 1 << 16:
             raise ValueError("a pair's key holds ids below 65536 only")
         self.pieces = regex.compile(pattern)
@@ -180,11 +181,13 @@ class BytePairCodec:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every whole text. Null and empty texts have no
-    ids; ids of documents may be null or repeated, each row is encoded by itself; other columns are not looked at."""
+    """id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every whole text, however long: a slice holds one
+    text at least. Null and empty texts have no ids; ids of documents may be null or repeated, each row is encoded by
+    itself; other columns are not looked at; an empty table gives none. The rank file is read on the driver."""
+    file = Path(path).read_bytes()
 
     def start():
-        codec = BytePairCodec(path, pattern)
+        codec = BytePairCodec(file, pattern)
 
         def columns(batch: pa.RecordBatch) -> list:
             ids = codec.encode(batch.column(1).to_pylist())
@@ -197,9 +200,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Adds decoded (binary) to the rows of encode(). The bytes are returned as they are, UTF-8 or not."""
+    file = Path(path).read_bytes()
 
     def start():
-        codec = BytePairCodec(path, pattern)
+        codec = BytePairCodec(file, pattern)
         return lambda batch: [batch.column(0), batch.column(1), batch.column(2), [codec.decode(x or b"") for x in batch.column(2).to_pylist()]]
 
     return map_slices(encoded.select(id_col, "n_tokens", "ids"), with_id(encoded, id_col, "n_tokens bigint, ids binary, decoded binary"), 2, start)

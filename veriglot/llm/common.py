@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +21,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 2_000_000
 #: Rows and bytes of an Arrow batch; the JVM and Python hold several batches for each task.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16_000_000
+BATCH_KEYS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 #: Words that a worker remembers results for, in each of two generations.
 REMEMBERED = 120_000
 
@@ -44,14 +46,26 @@ def drawn(df: DataFrame, total: int, rows: int, seed: int = 7) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder in the one that all executors share; a local one only where none is set, as in
-    tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "veriglot-scratch")
+    """This application's folder in the one that all executors share: spark.checkpoint.dir, else what setCheckpointDir()
+    was given. Without either, a local folder serves a local session only; elsewhere executors would not see it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "veriglot-scratch")
     return f"{root.rstrip('/')}/veriglot-{spark.sparkContext.applicationId}"
 
 
 def clean(spark: SparkSession) -> None:
-    """Deletes all tables that operators of this application wrote in between. Results not yet written read them."""
+    """Deletes all tables that operators of this application wrote in between, and sets back the session's Arrow
+    settings. Results not yet written read these tables and count on these settings."""
+    for key in BATCH_KEYS:
+        held = spark.conf.get(f"veriglot.before.{key}", None)
+        if held == "none":
+            spark.conf.unset(key)
+        elif held is not None:
+            spark.conf.set(key, held)
+        spark.conf.unset(f"veriglot.before.{key}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -84,17 +98,18 @@ class Memory(dict):
         return new.difference(back)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], weigh: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Cuts batches where column number `weigh` (string or binary) would exceed `most` bytes."""
+def sliced(batches: Iterator[pa.RecordBatch], weigh: int | tuple[int, ...], most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts batches where column number `weigh` (string or binary), or several together, would exceed `most` bytes."""
     import pyarrow.compute as pc
 
     for batch in batches:
         first, held = 0, 0
-        for i, n in enumerate(pc.binary_length(batch.column(weigh)).to_pylist()):
-            if held and held + (n or 0) > most:
+        sizes = (pc.fill_null(pc.binary_length(batch.column(c)), 0).to_pylist() for c in ((weigh,) if isinstance(weigh, int) else weigh))
+        for i, n in enumerate(map(sum, zip(*sizes, strict=True))):
+            if held and held + n > most:
                 yield batch.slice(first, i - first)
                 first, held = i, 0
-            held += n or 0
+            held += n
         if first < batch.num_rows:
             yield batch.slice(first)
 
@@ -110,12 +125,17 @@ def packed_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by rows and, where Spark knows the setting, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Arrow batches of this session are cut by rows and by bytes, more finely than before if not already so: results
+    are computed when the caller asks for them, so the settings have to stay until then. clean() sets them back."""
+    for key, most in zip(BATCH_KEYS, (BATCH_ROWS, BATCH_BYTES), strict=True):
+        held = spark.conf.get(key, None)
+        now = int(re.sub(r"\D", "", held or "") or 0)
+        if not 0 < now <= most or re.search("[kmgt]", str(held).lower()):
+            spark.conf.set(f"veriglot.before.{key}", "none" if held is None else held)
+            spark.conf.set(key, most)
 
 
-def map_slices(df: DataFrame, schema: StructType, weigh: int | None, start: Callable[[], Callable[[pa.RecordBatch], list]], most: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, schema: StructType, weigh: int | tuple[int, ...] | None, start: Callable[[], Callable[[pa.RecordBatch], list]], most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size (weigh None: over batches as they come). start() runs once in each task and returns the function that makes the
     output columns of a slice."""
     out = to_arrow_schema(schema)

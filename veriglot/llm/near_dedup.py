@@ -28,7 +28,8 @@ BANDS, ROWS = 32, 4
 EXTRA, LEAST = 64, 108
 SKETCH = BANDS * ROWS + EXTRA
 #: Buckets above this size get further leaders, and then their members' full sets are compared in blocks of BLOCK.
-LARGE, BLOCK, LEADER_ROUNDS = 16, 1500, 2
+#: A block's members have BLOCK_SHINGLES shingles together on average, if that makes it smaller.
+LARGE, BLOCK, BLOCK_SHINGLES, LEADER_ROUNDS = 16, 1500, 1_500_000, 2
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -139,7 +140,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return columns
 
-    return map_slices(both, pairs.select("a", "b").schema, 1, start)
+    return map_slices(both, pairs.select("a", "b").schema, (1, 3), start)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,9 +163,9 @@ def _open_rows(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is not None:
         found = components(links)
         rows = rows.drop("component").join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("load"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     per = materialise(per, "open-buckets")  # as a table of its own, so that a hot bucket's partition can be split
-    return rows.drop("size").join(per.select("key", "size").hint("merge"), "key")
+    return rows.drop("size", "load").join(per.select("key", "size", "load").hint("merge"), "key")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -234,7 +235,7 @@ def links_in_blocks(i: int, j: int, block: np.ndarray, ids: np.ndarray, comp: np
 def _in_buckets(rows: DataFrame, payload: DataFrame, compare) -> DataFrame:
     """Pairs that compare() finds in each bucket of rows, or in each pair of its blocks; payload: id and bytes."""
     rows = rows.join(payload.hint("merge"), "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("load") / BLOCK_SHINGLES))).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "payload")
@@ -268,7 +269,7 @@ def _in_buckets(rows: DataFrame, payload: DataFrame, compare) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links, itself included) and kept for each row. Null and
     wordless texts have no shingle and no link. Rows that share an id are one node; rows with a null id take no part
-    and keep a null component."""
+    and keep a null component. Texts of any length count whole; an empty table gives none."""
     profile = materialise(_profile(docs, id_col, text_col), "profile")
     classes = materialise(profile.filter("id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
     ids = classes.select(F.col("rep").alias("id")).distinct()
@@ -305,11 +306,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bridges = reach.join(doubled.hint("merge"), "id").join(classes.hint("merge"), "set_hash").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = components(links.unionAll(bridges))
     home = classes.join(found.hint("merge"), classes["rep"] == found["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = profile.join(home.hint("merge"), "set_hash", "left").withColumn("component_id", F.coalesce("component", "id"))
+    out = profile.join(home.hint("merge"), "set_hash", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group, with all their columns."""
+    """The rows of docs whose id is the smallest of their group, with all their columns, whatever their names. Rows
+    with a null id, and rows without words, stay; rows that repeat an id that stays all stay."""
     groups = near_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("lost")).distinct()
     return packed_rows(docs, text_col).join(groups.hint("merge"), F.col(f"doc.{id_col}") == F.col("lost"), "left_anti").select("doc.*")

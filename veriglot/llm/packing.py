@@ -8,6 +8,7 @@ left over is cut at powers of two, so that only whole sequences or powers of two
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from .byte_bpe import RowMerger
 from .common import Memory, map_slices, text_or_empty, with_id
 
 CAPACITY = 2048
-#: Mean number of documents in a group; a group is packed by one task.
-GROUP_DOCS = 2000
+#: Mean number of documents and of bytes of their texts in a group, at most; a group is packed by one task.
+GROUP_DOCS, GROUP_BYTES = 2000, 8_000_000
 
 
 class ChunkSplitter:
@@ -45,7 +46,8 @@ class ChunkTokenizer:
     """Ids of chunks, as bytes. Letters below 256 are merged in matrices by the file's merges; ASCII signs behind
     them, and all other chunks, are left to the library."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: str):
+        """file: what the tokenizer's JSON file holds."""
         import json
         import os
         import re
@@ -53,11 +55,10 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(file)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids are held in 16 bits")
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+        model = json.loads(file)["model"]
         vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         pairs = np.array([vocab[a] << 16 | vocab[b] for a, b in merges], np.int64)
         self.merger = RowMerger(pairs, np.arange(len(pairs), dtype=np.int32), np.array([vocab[a + b] for a, b in merges], np.int32))
@@ -101,10 +102,13 @@ def byte_signs() -> list[str]:
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (binary, little-endian unsigned 16-bit) of each whole text, followed by end_id. The tokenizer's
-    pieces never span white space, so each distinct chunk between white space is tokenised once and remembered."""
+    pieces never span white space, so each distinct chunk between white space is tokenised once and remembered. Null
+    and empty texts have end_id alone; ids of documents may be null or repeated, each row is tokenised by itself; an
+    empty table gives none. The tokenizer's file is read on the driver."""
+    file = Path(path).read_text("utf-8")
 
     def start():
-        chunks_of, ids_of, known = ChunkSplitter(), ChunkTokenizer(path), Memory()
+        chunks_of, ids_of, known = ChunkSplitter(), ChunkTokenizer(file), Memory()
         end = np.uint16(end_id).tobytes()
 
         def columns(batch: pa.RecordBatch) -> list:
@@ -204,11 +208,16 @@ def next_gap(bins: list[list]) -> list | None:
     return next((b for b in reversed(bins) if b[0]), None)
 
 
-def pack_groups(tokens: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
+def size_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Number of documents and bytes of their texts, for pack_groups()."""
+    return tuple(docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first())
+
+
+def pack_groups(tokens: DataFrame, n_docs: int, n_bytes: int = 0, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (the piece).
-    Groups are drawn by a hash of id and ids; repeated rows are documents of their own. n_docs only sets the number of
-    groups."""
-    groups = max(1, -(-n_docs // group_docs))
+    Groups are drawn by a hash of id and ids; repeated rows are documents of their own. n_docs and n_bytes only set the
+    number of groups."""
+    groups = max(1, -(-n_docs // group_docs), -(-n_bytes // GROUP_BYTES))
     schema = with_id(tokens, id_col, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:

@@ -59,7 +59,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     tokens = packing.tokenise(docs, tokenizer_file("word_bpe_49k.json"))
-    return packing.pack_groups(tokens, docs.count()).drop("ids")
+    return packing.pack_groups(tokens, *packing.size_of(docs)).drop("ids")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
