@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,14 @@ from pyspark.sql import functions as F
 from .. import lexicon
 
 SPANS = "array<struct<s: int, e: int, v: string>>"
+#: Matches whose places are summed up together: sums over all of a text's matches would copy them again for each.
+CHUNK = 128
+#: Fixed value: all that counts as white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+#: An e-mail address and all that clings to it, from the start of a run without white space to its end.
+EMAIL = r"(?<!\S)\S[^\s@]*+@\S+\.\S+"
 
 
 def once(c: Column) -> Column:
@@ -18,52 +27,84 @@ def once(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def replace_if(t: Column, signs: tuple[str, ...], pattern: str, to: str) -> Column:
+    """Replaces a pattern in texts that hold one of the signs, without which it can't match."""
+    return bind(t, lambda v: F.when(reduce(Column.__or__, [v.contains(s) for s in signs]), F.regexp_replace(v, pattern, to)).otherwise(v))
+
+
 def strip(t: Column) -> Column:
     """Takes white space of any kind off both ends."""
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    return F.btrim(t, F.lit(SPACES))
 
 
 def squeeze(t: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    """Runs of white space become one space; none at the ends. Single spaces are left alone."""
+    return F.trim(F.regexp_replace(t, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def count_words(t: Column) -> Column:
-    return F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")).cast("long")
+    return bind(squeeze(t), lambda v: F.when(v == "", 0).otherwise(F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit(""))) + 1)).cast("long")
+
+
+def count_chars(t: Column, kind: str) -> Column:
+    """How many characters of a class a text has, by what is left without them."""
+    return F.length(t) - F.length(F.regexp_replace(t, f"{kind}+", ""))
 
 
 def find_all(t: Column, pattern: str) -> Column:
-    """Matches of a pattern that never matches nothing: their places follow from the gaps that split() leaves."""
-    pieces = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
+    """Matches of a pattern that never matches nothing: their places follow from the gaps that split() leaves, added up
+    in chunks of CHUNK matches and then over the chunks."""
+    none = F.expr(f"cast(array() as {SPANS})")
+    pieces = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("v"))  # a last piece without v
+
+    def places(some: Column) -> Column:
+        """End and places of pieces, counted from the first one's gap."""
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + F.length(x["gap"])
+            e = s + F.length(x["v"])
+            return F.struct(F.coalesce(e, acc["at"]).alias("at"), F.when(e.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))))).alias("out"))
+
+        return F.aggregate(some, start, step)
+
+    def in_chunks(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(CHUNK)), lambda i: places(F.slice(all_, i, F.lit(CHUNK))))
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            moved = F.transform(p["out"], lambda m: F.struct((m["s"] + acc["at"]).alias("s"), (m["e"] + acc["at"]).alias("e"), m["v"].alias("v")))
+            return F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+        return F.aggregate(parts, start, step, lambda acc: F.flatten(acc["out"]))
 
-    found = F.aggregate(F.filter(pieces, lambda x: x["v"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(t.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    found = bind(pieces, lambda p: F.when(F.size(p) <= CHUNK, places(p)["out"]).otherwise(in_chunks(p)))
+    return F.when(t.rlike(pattern), found).otherwise(none)
 
 
 def preprocess(t: Column, numbers: bool = False, longest: int = 10_000) -> Column:
     """Text for a language detector: without URLs and e-mail addresses, white space squeezed, cut at `longest`."""
-    for pattern in (r"https?://\S+", r"www\.\S+", r"\S+@\S+\.\S+", *([r"\b\d+\b"] if numbers else [])):
-        t = F.regexp_replace(squeeze(t) if pattern.startswith("https") else t, f"(?U){pattern}", "")
-    return F.substring(squeeze(t), 1, longest)
+    t = squeeze(t)
+    for sign, pattern in (("http", r"https?://\S+"), ("www.", r"www\.\S+"), ("@", EMAIL)):
+        t = replace_if(t, (sign,), f"(?U){pattern}", "")
+    return F.substring(squeeze(F.regexp_replace(t, r"(?U)\b\d+\b", "") if numbers else t), 1, longest)
 
 
 def tokens(t: Column) -> Column:
     """Lower-case words of at least two letters; words in capitals only up to three."""
-    words = F.regexp_extract_all(t, F.lit("[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+"), F.lit(0))
-    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ((F.upper(w) != w) | (F.length(w) <= 3)))
-    return F.transform(kept, F.lower)
+    letter, capital = "[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]", "[A-ZÁÉÍÓÚÜÑ]"
+    words = F.regexp_extract_all(t, F.lit(f"(?<!{letter})(?!{capital}{{4,}}+(?!{letter})){letter}{{2,}}+"), F.lit(0))
+    return F.transform(words, F.lower)
 
 
 def share_in(words: Column, listed: list[str]) -> Column:
-    """Share of words in a list; 0 without words."""
-    known = F.array(*map(F.lit, listed))
-    return F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: F.array_contains(known, w))).cast("double"), F.size(words)), F.lit(0.0))
+    """Share of words in a list; 0 without words. Catalyst makes a hash set of the list."""
+    return F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: w.isin(*listed))).cast("double"), F.size(words)), F.lit(0.0))
 
 
 def stopword_ratio(t: Column, lang: str) -> Column:
@@ -85,21 +126,23 @@ def hints(t: Column, words: Column | None = None) -> dict[str, Column]:
 
 def heuristic_words(t: Column) -> Column:
     """Words of at least two letters, without acronyms, terms with digits, parts of URLs and e-mail addresses."""
-    for pattern in (r"\b[A-Z]{2,}\b", r"\b\w*[0-9]\w*\b", r"\b(?:https?|www|\.com|\.org|\.net)\b", r"\b[a-zA-Z]+@[a-zA-Z]+\.[a-zA-Z]+\b"):
-        t = F.regexp_replace(t, f"(?U){pattern}", " ")
-    return F.regexp_extract_all(t, F.lit(r"(?U)\b[a-zA-ZáéíóúüñÁÉÍÓÚÜÑëïöüÿ]{2,}\b"), F.lit(0))
+    t = F.regexp_replace(t, r"(?U)\b(?:[A-Z]{2,}+\b|[^\W0-9]*+[0-9]\w*+)", " ")
+    t = replace_if(t, ("http", "www", ".com", ".org", ".net"), r"(?U)\b(?:https?|www|\.com|\.org|\.net)\b", " ")
+    t = replace_if(t, ("@",), r"(?U)\b[a-zA-Z]++@[a-zA-Z]++\.[a-zA-Z]++\b", " ")
+    return F.regexp_extract_all(t, F.lit(r"(?U)\b[a-zA-ZáéíóúüñÁÉÍÓÚÜÑëïöüÿ]{2,}+\b"), F.lit(0))
 
 
 def evidence_words(words: Column, lang: str, whitelist: list[str] | tuple[str, ...] = tuple(lexicon.EVIDENCE_WHITELIST)) -> Column:
     listed = [w for w in lexicon.EVIDENCE_WORDS[lang] if w not in {x.lower() for x in whitelist}]
-    known = F.array(*map(F.lit, listed))
-    return F.filter(words, lambda w: F.array_contains(known, F.lower(w)))
+    return F.filter(words, lambda w: F.lower(w).isin(*listed))
 
 
 def evidence_patterns(t: Column, lang: str) -> Column:
-    """How many article phrases and typical endings a text has."""
-    articles = rf"(?U)\b(?:{'|'.join(lexicon.ARTICLES[lang])})\s+\w+"
-    endings = rf"(?U)\b\w+(?:{'|'.join(lexicon.ENDINGS[lang])})\b"
+    """How many article phrases and typical endings (behind at least one letter of the word) a text has."""
+    one_of = lambda words: f"(?:{'|'.join(words)})"
+    first = lambda words: f"(?=[{''.join(sorted({w[0] for w in words}))}])"  # noqa: E731  most places fail here already
+    articles = rf"(?U){first(lexicon.ARTICLES[lang])}\b{one_of(lexicon.ARTICLES[lang])}\s+\w"
+    endings = rf"(?U){first(lexicon.ENDINGS[lang])}(?<=\w){one_of(lexicon.ENDINGS[lang])}\b"
     counts = [F.regexp_count(t, F.lit(p)) for p in (articles, endings, *([r"(?U)\bij\b"] if lang == "nl" else []))]
     return reduce(Column.__add__, counts)
 
@@ -108,7 +151,8 @@ def evidence(t: Column, words: Column, lang: str, whitelist=tuple(lexicon.EVIDEN
     """0.3 times the share of typical characters, 0.5 times that of listed words, 0.2 times patterns a word; null
     without words."""
     n = F.size(words)
-    chars = F.regexp_count(t, F.lit(lexicon.EVIDENCE_CHARS[lang])) / F.greatest(F.length(t), F.lit(1))
+    kind = lexicon.EVIDENCE_CHARS[lang]
+    chars = (F.regexp_count(t, F.lit(kind)) if "|" in kind else count_chars(t, kind)) / F.greatest(F.length(t), F.lit(1))
     score = chars * 0.3 + F.size(evidence_words(words, lang, whitelist)) / F.greatest(n, F.lit(1)) * 0.5 + evidence_patterns(t, lang) / F.greatest(n, F.lit(1)) * 0.2
     return F.when(n > 0, score)
 

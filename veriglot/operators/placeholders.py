@@ -14,9 +14,8 @@ SOURCE = "placeholder"
 
 def matches(t: Column, family: str, whitelist=tuple(lexicon.PLACEHOLDER_WHITELIST)) -> Column:
     """Places of a family, without whitelisted ones."""
-    listed = F.array(*map(F.lit, whitelist)) if whitelist else None
     found = find_all(t, lexicon.PLACEHOLDERS[family][0])
-    return F.filter(found, lambda m: ~F.array_contains(listed, m["v"])) if whitelist else found
+    return F.filter(found, lambda m: ~m["v"].isin(*whitelist)) if whitelist else found
 
 
 def content(v: Column, family: str) -> Column:

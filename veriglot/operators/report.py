@@ -15,7 +15,7 @@ def gate(t: Column, least: int = 3) -> Column:
     """Whether a text is worth verifying: long enough, and more than an URL or an e-mail address."""
     bare = T.strip(t)
     ok = F.length(bare) >= least
-    for pattern in (r"(?U)https?://\S+", r"(?U)\S+@\S+\.\S+"):
+    for pattern in (r"(?U)https?://\S+", f"(?U){T.EMAIL}"):
         ok = ok & (~bare.rlike(pattern) | (F.length(T.strip(F.regexp_replace(bare, pattern, ""))) >= least))
     return F.coalesce(ok, F.lit(False))
 

@@ -22,11 +22,11 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pages(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return tables.spread(table(spark, sf_dir, "pages"))
 
 
 def worded(spark, sf_dir: str) -> DataFrame:
@@ -240,7 +240,7 @@ def detect_block(spark, sf_dir):
 
 @query("detector_benchmark", f"SELECT d.lang AS expected, count(*) AS n, count(*) FILTER (d.lang = p.lang) AS correct, round(avg((d.lang = p.lang)::INT), 6) AS accuracy, round(avg(lang_confidence), 6) AS average_confidence FROM documents d JOIN ({duck.detect(DOCS, 'doc_id')}) p USING (doc_id) GROUP BY d.lang")
 def detector_benchmark(spark, sf_dir):
-    found = detect.native(table(spark, sf_dir, "documents").select("text", F.col("lang").alias("expected")))
+    found = detect.native(tables.spread(table(spark, sf_dir, "documents").select("text", F.col("lang").alias("expected"))))
     hit = (F.col("lang") == F.col("expected")).cast("int")
     return found.groupBy("expected").agg(F.count(F.lit(1)).alias("n"), long(F.sum(hit)).alias("correct"), F.round(F.avg(hit), 6).alias("accuracy"), F.round(F.avg("lang_confidence"), 6).alias("average_confidence"))
 

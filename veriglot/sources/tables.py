@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from .. import lexicon
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores where its files have fewer splits than there are cores, for work that costs far more
+    than moving the rows. Tables of many files or row groups stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """url: lines of a text file without blank ones and comments."""
     return spark.read.text(path).select(F.trim("value").alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
