@@ -56,35 +56,21 @@ def count_chars(t: Column, kind: str) -> Column:
     return F.length(t) - F.length(F.regexp_replace(t, f"{kind}+", ""))
 
 
+#: Places of a chunk of pieces, counted from the first one's gap, and then of all chunks. SQL text, as each rule would
+#: otherwise make hundreds of column objects.
+IN_CHUNK = f"""aggregate(slice(p, i, {CHUNK}), named_struct('at', 0, 'out', cast(array() as {SPANS})), (acc, x) -> named_struct(
+    'at', coalesce(acc.at + length(x.gap) + length(x.v), acc.at),
+    'out', if(x.v is null, acc.out, concat(acc.out, array(named_struct('s', acc.at + length(x.gap), 'e', acc.at + length(x.gap) + length(x.v), 'v', x.v))))))"""
+PLACES = f"""p -> aggregate(transform(sequence(1, size(p), {CHUNK}), i -> {IN_CHUNK}), named_struct('at', 0, 'out', cast(array() as array<{SPANS}>)), (acc, c) -> named_struct(
+    'at', acc.at + c.at, 'out', concat(acc.out, array(transform(c.out, m -> named_struct('s', m.s + acc.at, 'e', m.e + acc.at, 'v', m.v))))), acc -> flatten(acc.out))"""
+
+
 def find_all(t: Column, pattern: str) -> Column:
     """Matches of a pattern that never matches nothing: their places follow from the gaps that split() leaves, added up
     in chunks of CHUNK matches and then over the chunks."""
-    none = F.expr(f"cast(array() as {SPANS})")
     pieces = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("v"))  # a last piece without v
-
-    def places(some: Column) -> Column:
-        """End and places of pieces, counted from the first one's gap."""
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + F.length(x["gap"])
-            e = s + F.length(x["v"])
-            return F.struct(F.coalesce(e, acc["at"]).alias("at"), F.when(e.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))))).alias("out"))
-
-        return F.aggregate(some, start, step)
-
-    def in_chunks(all_: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(CHUNK)), lambda i: places(F.slice(all_, i, F.lit(CHUNK))))
-        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out"))
-
-        def step(acc: Column, p: Column) -> Column:
-            moved = F.transform(p["out"], lambda m: F.struct((m["s"] + acc["at"]).alias("s"), (m["e"] + acc["at"]).alias("e"), m["v"].alias("v")))
-            return F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
-
-        return F.aggregate(parts, start, step, lambda acc: F.flatten(acc["out"]))
-
-    found = bind(pieces, lambda p: F.when(F.size(p) <= CHUNK, places(p)["out"]).otherwise(in_chunks(p)))
-    return F.when(t.rlike(pattern), found).otherwise(none)
+    found = F.get(F.call_function("transform", F.array(pieces), F.expr(PLACES)), F.lit(0))
+    return F.when(t.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
 def preprocess(t: Column, numbers: bool = False, longest: int = 10_000) -> Column:
@@ -102,9 +88,19 @@ def tokens(t: Column) -> Column:
     return F.transform(words, F.lower)
 
 
+def quoted(text: str) -> str:
+    """A text as a literal of SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def only(array: Column, of: str, listed: list[str] | tuple[str, ...], without: bool = False) -> Column:
+    """Elements x of an array for which the SQL expression `of` is in a list, or isn't."""
+    return F.call_function("filter", array, F.expr(f"x -> {of} {'not ' if without else ''}in ({', '.join(map(quoted, listed))})")) if listed else array if without else F.slice(array, 1, 0)
+
+
 def share_in(words: Column, listed: list[str]) -> Column:
     """Share of words in a list; 0 without words. Catalyst makes a hash set of the list."""
-    return F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: w.isin(*listed))).cast("double"), F.size(words)), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.size(only(words, "x", listed)).cast("double"), F.size(words)), F.lit(0.0))
 
 
 def stopword_ratio(t: Column, lang: str) -> Column:
@@ -134,7 +130,7 @@ def heuristic_words(t: Column) -> Column:
 
 def evidence_words(words: Column, lang: str, whitelist: list[str] | tuple[str, ...] = tuple(lexicon.EVIDENCE_WHITELIST)) -> Column:
     listed = [w for w in lexicon.EVIDENCE_WORDS[lang] if w not in {x.lower() for x in whitelist}]
-    return F.filter(words, lambda w: F.lower(w).isin(*listed))
+    return only(words, "lower(x)", listed)
 
 
 def evidence_patterns(t: Column, lang: str) -> Column:

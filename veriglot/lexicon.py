@@ -51,4 +51,4 @@ BLOCK_TYPES = {
     "label": ["label", "legend"], "interactive": ["button", "input"], "paragraph": ["p"], "section": ["article", "section", "main"],
 }
 SCRIPT_HINTS = ["spa.", "app.", "dashboard.", "admin.", "react", "vue", "angular", "ember", ".js", "client-side", "frontend"]
-IGNORED = ("script", "style", "noscript", "meta", "link", "head", ".visually-hidden", ".sr-only")
+IGNORED = ("script", "style", "noscript", "meta", "link", "head", ".visually-hidden", ".sr-only", '[aria-hidden="true"]', '[style*="display: none"]', '[style*="visibility: hidden"]')

@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import lexicon
 from ..functions import text as T
 
 WEIGHTS = {"fasttext": 1.5}
+ALTERNATIVES = "array<struct<lang: string, confidence: double>>"
+NO_ALTERNATIVES = f"cast(array() as {ALTERNATIVES})"
+
+
+def model(df: DataFrame, predict: Callable[[list[str]], list[tuple[str, float]]], text_col: str = "text", least: int = 20, sure: float = 0.5, most: int = 3) -> DataFrame:
+    """native() with a model in place of stopwords. predict(text) returns labels with their probability, the likeliest
+    first; it is called on executors, after load() of whatever it needs. A language that isn't supported gives way to
+    the first supported one."""
+    import pyarrow as pa
+
+    kinds = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64())]))
+    rows = df.withColumns({"_text": T.preprocess(F.col(text_col)), "_row": F.struct(*[F.col(f"`{c}`") for c in df.columns])}).select("_row", "_text")
+
+    def run(batches):
+        for batch in batches:
+            found = [[{"lang": lang, "confidence": float(p)} for lang, p in predict(t)] if t else [] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kinds)], ["_row", "_found"])
+
+    made = rows.mapInArrow(run, StructType([rows.schema["_row"], *StructType.fromDDL(f"_found {ALTERNATIVES}").fields]))
+    labels = F.transform("_found", lambda a: F.struct(parse_label(a["lang"]).alias("lang"), a["confidence"].alias("confidence")))
+    made = made.withColumn("_found", T.once(labels)).withColumn("_first", F.get("_found", F.lit(0))).withColumn("_rest", F.slice("_found", 2, most))
+    best = made.withColumn("_best", T.once(restrict(F.col("_first.lang"), F.col("_first.confidence"), F.col("_rest")))).select("_row.*", "_best", "_rest")
+    known = F.coalesce((F.length(T.strip(F.col(text_col))) >= least) & (F.col("_best.confidence") >= sure), F.lit(False))
+    return best.withColumns({"lang": F.when(known, F.col("_best.lang")).otherwise("unknown"), "lang_confidence": F.when(known, F.col("_best.confidence")).otherwise(0.0), "alternatives": F.coalesce("_rest", F.expr(NO_ALTERNATIVES))}).drop("_best", "_rest")
 
 
 def native(df: DataFrame, text_col: str = "text", least: int = 20, sure: float = 0.5) -> DataFrame:
-    """df with lang and lang_confidence: the language of largest stopword ratio (ties es, en, nl) and its share of all
-    ratios; unknown for short texts, without stopwords or below `sure`."""
+    """df with lang, lang_confidence and alternatives: the language of largest stopword ratio (ties es, en, nl) and its
+    share of all ratios, unknown for short texts, without stopwords or below `sure`; and the other languages that have
+    a share, the surest first (array of lang and confidence)."""
     t = F.col(text_col)
     staged = df.withColumn("_words", T.once(T.tokens(T.preprocess(t))))
     staged = staged.withColumn("_ratios", T.once(F.array(*[T.share_in(F.col("_words"), lexicon.STOPWORDS[lang]) for lang in lexicon.LANGUAGES])))
@@ -23,7 +51,10 @@ def native(df: DataFrame, text_col: str = "text", least: int = 20, sure: float =
     ok = (F.length(T.strip(t)) >= least) & (total > 0)
     staged = staged.withColumn("_sure", T.once(F.when(ok, F.try_divide(best, total))))
     known = F.coalesce(F.col("_sure") >= sure, F.lit(False))
-    return staged.withColumns({"lang": F.when(known, lang).otherwise("unknown"), "lang_confidence": F.when(known, F.col("_sure")).otherwise(0.0)}).drop("_words", "_ratios", "_sure")
+    shares = F.array(*[F.struct((-F.try_divide(ratio[i], total)).alias("c"), F.lit(x).alias("lang")) for i, x in enumerate(lexicon.LANGUAGES)])
+    others = T.bind(lang, lambda best_: F.filter(shares, lambda a: (a["c"] < 0) & (a["lang"] != best_)))
+    alternatives = F.when(ok, F.transform(F.array_sort(others), lambda a: F.struct(a["lang"].alias("lang"), (-a["c"]).alias("confidence")))).otherwise(F.expr(NO_ALTERNATIVES))
+    return staged.withColumns({"lang": F.when(known, lang).otherwise("unknown"), "lang_confidence": F.when(known, F.col("_sure")).otherwise(0.0), "alternatives": alternatives}).drop("_words", "_ratios", "_sure")
 
 
 #: Codes of model labels that stand for a supported language.
@@ -50,18 +81,18 @@ def hint_scores(hints: dict[str, Column], stop: float, chars: float) -> dict[str
 
 
 def three_votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, ord, detector, lang, confidence: votes of the stopword detector, of character hints and of heuristic
-    evidence; a detector without evidence doesn't vote."""
+    """id, ord, detector, lang, confidence, alternatives: votes of the stopword detector, of character hints and of
+    heuristic evidence; a detector without evidence doesn't vote, and only the first one has alternatives."""
     staged = native(docs.select(id_col, text_col), text_col).withColumns({"_heard": T.once(T.heuristic_words(F.col(text_col))), "_tokens": T.once(T.tokens(F.col(text_col)))})
     t, words = F.col(text_col), F.col("_heard")
     h = T.hints(t, F.col("_tokens"))
     es, nl, en = (F.coalesce(h[k], F.lit(0.0)) for k in ("es_chars", "nl_chars", "en_ascii"))
-    chars = F.struct(F.lit(2).alias("ord"), F.lit("hints").alias("detector"), F.when((es >= nl) & (es > 0), "es").when(nl > 0, "nl").when(en > 0, "en").otherwise("unknown").alias("lang"), F.least(F.lit(1.0), F.greatest(es, nl, en) * 5).alias("confidence"))
+    chars = F.struct(F.lit(2).alias("ord"), F.lit("hints").alias("detector"), F.when((es >= nl) & (es > 0), "es").when(nl > 0, "nl").when(en > 0, "en").otherwise("unknown").alias("lang"), F.least(F.lit(1.0), F.greatest(es, nl, en) * 5).alias("confidence"), F.expr(NO_ALTERNATIVES).alias("alternatives"))
     staged = staged.withColumn("_scores", T.once(F.array(*[F.coalesce(T.evidence(t, words, lang), F.lit(0.0)) for lang in lexicon.LANGUAGES])))
     score = {lang: F.col("_scores")[i] for i, lang in enumerate(lexicon.LANGUAGES)}
     best = F.greatest(*score.values())
-    heard = F.struct(F.lit(3).alias("ord"), F.lit("heuristic").alias("detector"), F.when(best <= 0, "unknown").when(score["es"] == best, "es").when(score["en"] == best, "en").otherwise("nl").alias("lang"), F.least(F.lit(1.0), best * 2).alias("confidence"))
-    first = F.struct(F.lit(1).alias("ord"), F.lit("stopwords").alias("detector"), F.col("lang"), F.col("lang_confidence").alias("confidence"))
+    heard = F.struct(F.lit(3).alias("ord"), F.lit("heuristic").alias("detector"), F.when(best <= 0, "unknown").when(score["es"] == best, "es").when(score["en"] == best, "en").otherwise("nl").alias("lang"), F.least(F.lit(1.0), best * 2).alias("confidence"), F.expr(NO_ALTERNATIVES).alias("alternatives"))
+    first = F.struct(F.lit(1).alias("ord"), F.lit("stopwords").alias("detector"), F.col("lang"), F.col("lang_confidence").alias("confidence"), "alternatives")
     return staged.select(F.col(id_col).alias("id"), T.once(F.array(first, chars, heard)).alias("v")).select("id", F.inline("v")).filter("lang <> 'unknown'")
 
 
@@ -78,17 +109,29 @@ def vote_weighted(votes: DataFrame, weights: dict[str, float] | None = None) ->
 
 def vote_majority(votes: DataFrame) -> DataFrame:
     """The language of most votes, ties to the higher mean confidence and then the earlier detector; with the share of
-    votes it got."""
+    votes it got and, as alternatives, the three surest other languages (ties by name)."""
     per = votes.groupBy("id", "lang").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.min("ord").alias("ord"))
     best = F.max_by(F.struct("lang", "confidence", "n"), F.struct("n", "confidence", (-F.col("ord")).alias("o")))
-    return per.groupBy("id").agg(best.alias("best"), F.sum("n").alias("votes")).select("id", "best.lang", "best.confidence", (F.col("best.n") / F.col("votes")).alias("consensus"))
+    all_ = F.collect_list(F.struct((-F.col("confidence")).alias("c"), "lang")).alias("all")
+    found = per.groupBy("id").agg(best.alias("best"), F.sum("n").alias("votes"), all_)
+    return found.select("id", "best.lang", "best.confidence", (F.col("best.n") / F.col("votes")).alias("consensus"), _surest(F.filter("all", lambda v: v["lang"] != F.col("best.lang"))).alias("alternatives"))
+
+
+def _surest(all_: Column, most: int = 3) -> Column:
+    """Alternatives from structs of c (less the confidence) and lang."""
+    return F.transform(F.slice(F.array_sort(all_), 1, most), lambda v: F.struct(v["lang"].alias("lang"), (-v["c"]).alias("confidence")))
 
 
 def vote_best(votes: DataFrame) -> DataFrame:
-    """The single surest vote, ties to the earlier detector, and the surest other language as alternative."""
-    first = votes.groupBy("id").agg(F.max_by(F.struct("lang", "confidence", "ord"), F.struct("confidence", (-F.col("ord")).alias("o"))).alias("best"), F.collect_list(F.struct("confidence", (-F.col("ord")).alias("o"), "lang")).alias("all"))
-    rest = F.filter("all", lambda v: v["o"] != -F.col("best.ord"))
-    return first.select("id", "best.lang", "best.confidence", F.array_max(rest)["lang"].alias("alternative"))
+    """The single surest vote, ties to the earlier detector; as alternatives, the three surest languages of the other
+    votes and of all votes' own alternatives (ties by name), each with the best confidence that it got there."""
+    best = F.max_by(F.struct("lang", "confidence", "ord"), F.struct("confidence", (-F.col("ord")).alias("o")))
+    first = votes.groupBy("id").agg(best.alias("best"), F.collect_list(F.struct("ord", "lang", "confidence", "alternatives")).alias("all"))
+    others = F.filter("all", lambda v: v["ord"] != F.col("best.ord"))
+    said = F.concat(F.transform(others, lambda v: F.struct(v["lang"].alias("lang"), v["confidence"].alias("confidence"))), F.flatten(F.transform("all", lambda v: v["alternatives"])))
+    staged = first.withColumn("said", T.once(said))
+    top = F.transform(F.array_distinct(F.transform("said", lambda v: v["lang"])), lambda x: F.struct((-F.array_max(F.transform(F.filter("said", lambda v: v["lang"] == x), lambda v: v["confidence"]))).alias("c"), x.alias("lang")))
+    return staged.select("id", "best.lang", "best.confidence", _surest(top).alias("alternatives"))
 
 
 def detector_stats(votes: DataFrame) -> DataFrame:

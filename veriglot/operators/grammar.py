@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
@@ -25,6 +25,41 @@ def confidence(category: Column, match: Column) -> Column:
     return F.least(F.lit(1.0), F.when(match.isNull(), base).otherwise((base + match) / 2))
 
 
+def code(lang: str) -> str:
+    """The code that a checker calls a target language by."""
+    return lexicon.GRAMMAR_CODES[lang]
+
+
+def match_issues(matches: DataFrame, target: str) -> DataFrame:
+    """Issues of a checker's matches, for audit(grammar=...): page_id, block_idx, seq and the columns of the rules'
+    issues. matches: page_id, block_idx, offset, length, category, rule_id, message, replacements, and priority and
+    confidence where there are any. The first replacement is the suggestion. What a match leaves out is category MISC,
+    rule UNKNOWN_RULE, offset 0, length 1; severity follows later from the type, as for all rules, own_severity is the
+    checker's. seq counts a block's matches by place and rule."""
+    code(target)
+    c = F.coalesce("category", F.lit("MISC"))
+    own = lambda name, kind, other=None: F.col(name).cast(kind) if name in matches.columns else F.lit(other).cast(kind)
+    s = F.coalesce(own("offset", "int"), F.lit(0))
+    e = s + F.coalesce(own("length", "int"), F.lit(1))
+    rule, said = F.coalesce(own("rule_id", "string"), F.lit("UNKNOWN_RULE")), F.coalesce(own("message", "string"), F.lit("Grammar issue"))
+    suggestion = F.get("replacements", F.lit(0)) if "replacements" in matches.columns else F.lit(None).cast("string")
+    made = matches.select("page_id", "block_idx", F.lit("languagetool").alias("source"), issue_type(c).alias("type"), rule.alias("rule_id"), said.alias("message"), suggestion.alias("suggestion"), s.alias("s"), e.alias("e"), confidence(c, own("confidence", "double")).cast("double").alias("confidence"), severity(c, F.coalesce(own("priority", "int"), F.lit(0))).alias("own_severity"))
+    order = Window.partitionBy("page_id", "block_idx").orderBy("s", "e", "rule_id", "message")
+    return made.withColumn("seq", F.row_number().over(order) - 1)
+
+
+def facet(issues: DataFrame, kind: str) -> DataFrame:
+    """Only the grammar, spelling or style issues of match_issues()."""
+    if kind not in ("grammar", "spelling", "style"):
+        raise ValueError(f"no such facet: {kind}")
+    return issues.filter(F.col("type") == kind)
+
+
+def match_stats(issues: DataFrame) -> DataFrame:
+    """Per type and the checker's severity: issues, rules and mean confidence."""
+    return issues.groupBy("type", "own_severity").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("rule_id").alias("rules"), F.avg("confidence").alias("confidence"))
+
+
 def sentences(t: Column) -> Column:
     """Sentences with their closing signs, stripped; what has no closing sign comes last."""
     return F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?U)[^.!?]*[.!?]+\s*|[^.!?]+$"), F.lit(0)), T.strip), lambda s: s != "")

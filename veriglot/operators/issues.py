@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from ..functions.text import once
+from ..functions.text import bind, once
 
 ISSUE = "struct<source: string, type: string, rule_id: string, message: string, suggestion: string, s: int, e: int, confidence: double>"
 NONE = f"cast(array() as array<{ISSUE}>)"
 
 
 def issue(source: str, kind: str, rule: Column | str, message: Column | str, suggestion: Column | str | None, s: Column, e: Column, confidence: Column | float) -> Column:
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    sure = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
-    return F.struct(F.lit(source).alias("source"), F.lit(kind).alias("type"), as_column(rule).alias("rule_id"), as_column(message).alias("message"), as_column(suggestion).alias("suggestion"), s.cast("int").alias("s"), e.cast("int").alias("e"), sure.cast("double").alias("confidence"))
+    return F.struct(*[x if isinstance(x, Column) else F.lit(x) for x in (source, kind, rule, message, suggestion, s, e, confidence)]).cast(ISSUE)
 
 
 def unnest(df: DataFrame, found: Column, *keep: str) -> DataFrame:
@@ -53,6 +53,67 @@ def priority(source: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for p in lexicon.VERIFIER_PRIORITY.items() for x in p])[source], F.lit(lexicon.DEFAULT_PRIORITY))
 
 
+ROW = ISSUE.replace("confidence: double>", "confidence: double, seq: int>")
+
+
+def numbered(found: Column) -> Column:
+    """The array's issues with their place in it as seq."""
+    return F.transform(found, lambda i, n: F.struct(*[i[c].alias(c) for c in ("source", "type", "rule_id", "message", "suggestion", "s", "e", "confidence")], n.alias("seq")))
+
+
+def _texts(of: Column, field: str) -> Column:
+    """Distinct values of a field, sorted, without nulls."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(of, lambda i: i[field]), lambda v: v.isNotNull())))
+
+
+def _with(i: Column, **changed: Column) -> Column:
+    return F.struct(*[changed.get(c, i[c]).alias(c) for c in ("source", "type", "rule_id", "message", "suggestion", "s", "e", "confidence", "seq")])
+
+
+def _groups(ordered: Column, begins: Callable[[Column, Column], Column], made: Callable[[Column], Column]) -> Column:
+    """made() of each run of an array; a run begins where begins(previous, this) holds."""
+
+    def of(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(a)), lambda n: (n == 1) | begins(F.get(a, n - 2), F.get(a, n - 1)))
+
+        def runs(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(a) + 1))
+            return F.transform(F.zip_with(at, ends, lambda x, y: F.slice(a, x, y - x)), made)
+
+        return bind(starts, runs)
+
+    return bind(ordered, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.expr(f"cast(array() as array<{ROW}>)")))
+
+
+def dedup_array(found: Column) -> Column:
+    """dedup() of the numbered issues of one block."""
+    key = F.transform(found, lambda i: F.struct(i["s"].alias("s"), i["e"].alias("e"), i["type"].alias("type"), F.lower(i["message"]).alias("low"), (-i["confidence"]).alias("c"), (-priority(i["source"])).alias("p"), i["seq"].alias("seq"), i.alias("i")))
+    other = lambda x, y: (x["s"] != y["s"]) | (x["e"] != y["e"]) | ~x["type"].eqNullSafe(y["type"]) | ~x["low"].eqNullSafe(y["low"])
+
+    def best(group: Column) -> Column:
+        joined = bind(_texts(F.transform(group, lambda x: x["i"]), "suggestion"), lambda all_: F.when(F.size(all_) > 1, F.array_join(all_, "; ")))
+        several = bind(group[0]["i"], lambda i: _with(i, suggestion=F.coalesce(joined, i["suggestion"])))
+        return F.when(F.size(group) == 1, group[0]["i"]).otherwise(several)
+
+    return _groups(F.array_sort(key), other, best)
+
+
+def merge_array(found: Column, near: int = 50) -> Column:
+    """merge() of the numbered issues of one block."""
+    key = F.transform(found, lambda i: F.struct(i["s"].alias("s"), i["e"].alias("e"), i["seq"].alias("seq"), i.alias("i")))
+    other = lambda x, y: ~F.coalesce((y["s"] <= x["e"]) & (y["i"]["type"] == x["i"]["type"]) & (y["s"] - x["s"] < near), F.lit(False))
+
+    def joined(group: Column) -> Column:
+        own = F.transform(group, lambda x: x["i"])
+        best = F.array_max(F.transform(group, lambda x: F.struct(x["i"]["confidence"].alias("c"), (-x["seq"]).alias("q"), x["i"].alias("i"))))["i"]
+        message = bind(_texts(own, "message"), lambda m: F.when(F.size(m) > 1, F.concat(F.lit("Multiple issues: "), F.array_join(m, "; "))))
+        suggestion = bind(_texts(own, "suggestion"), lambda m: F.when(F.size(m) > 0, F.array_join(m, "; ")))
+        several = bind(best, lambda i: _with(i, message=F.coalesce(message, i["message"]), suggestion=F.coalesce(suggestion, i["suggestion"]), s=group[0]["s"], e=F.array_max(F.transform(own, lambda o: o["e"]))))
+        return F.when(F.size(group) == 1, group[0]["i"]).otherwise(several)
+
+    return _groups(F.array_sort(key), other, joined)
+
+
 def dedup(issues: DataFrame, keys: list[str]) -> DataFrame:
     """One issue for each place, type and message (whatever its case) of a block: the surest, then that of the verifier
     of highest priority, then the first by seq. Different suggestions of a group are joined in order."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from ..functions.text import find_all
+from ..functions.text import find_all, only
 from .issues import ISSUE, issue, none, one_if
 
 SOURCE = "placeholder"
@@ -15,7 +15,7 @@ SOURCE = "placeholder"
 def matches(t: Column, family: str, whitelist=tuple(lexicon.PLACEHOLDER_WHITELIST)) -> Column:
     """Places of a family, without whitelisted ones."""
     found = find_all(t, lexicon.PLACEHOLDERS[family][0])
-    return F.filter(found, lambda m: ~m["v"].isin(*whitelist)) if whitelist else found
+    return only(found, "x.v", whitelist, without=True)
 
 
 def content(v: Column, family: str) -> Column:

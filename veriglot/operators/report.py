@@ -20,9 +20,10 @@ def gate(t: Column, least: int = 3) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def detected(blocks: DataFrame) -> DataFrame:
-    """Blocks that aren't blank, with lang, lang_confidence and tokens."""
-    return detect.native(blocks.filter(T.strip(F.col("text")) != "")).withColumn("tokens", T.count_words(F.col("text")))
+def detected(blocks: DataFrame, config: AuditConfig | None = None) -> DataFrame:
+    """Blocks that aren't blank, with lang, lang_confidence, alternatives and tokens."""
+    config = config or AuditConfig()
+    return detect.native(blocks.filter(T.strip(F.col("text")) != ""), "text", config.min_detect_chars, config.min_confidence).withColumn("tokens", T.count_words(F.col("text")))
 
 
 def eligible(config: AuditConfig) -> Column:
@@ -37,48 +38,94 @@ def block_leak(config: AuditConfig) -> Column:
     return issues.one_if(~F.col("lang").isin("unknown", config.target), found)
 
 
-def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None) -> DataFrame:
-    """Issues of blocks (page_id, block_idx, text, tag_name if there is one), de-duplicated and merged inside each
-    block: page_id, block_idx, s, e, type, severity, source, rule_id, message, suggestion, confidence, snippet. All
-    rules are one projection; only the two groupings by block shuffle. grammar: issues of a checker with the columns of
-    the rules' issues and page_id, block_idx, seq."""
+KEYS = ["page_id", "block_idx"]
+
+
+def _rules(config: AuditConfig, tag: Column | None) -> Column:
     t = F.col("text")
-    tag = F.col("tag_name") if "tag_name" in blocks.columns else None
-    rules = F.when(eligible(config) & gate(t), F.concat(placeholders.check(t, config.target, config.check_quotes), heuristics.check(t, config, tag, F.col("_words")))).otherwise(issues.none())
-    keys = ["page_id", "block_idx"]
-    known = detected(blocks).withColumn("_words", T.once(F.when(eligible(config), T.heuristic_words(t))))  # once for all rules
-    base = known.select(*keys, "text", T.once(F.concat(block_leak(config), rules)).alias("found"))
-    flat = base.select(*keys, F.posexplode("found").alias("seq", "i")).select(*keys, "seq", "i.*")
+    checked = F.concat(placeholders.check(t, config.target, config.check_quotes), heuristics.check(t, config, tag, F.col("_words")))
+    return F.concat(block_leak(config), F.when(eligible(config) & gate(t), checked).otherwise(issues.none()))
+
+
+def audited(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None, rules: Column | None = None) -> DataFrame:
+    """Blocks that aren't blank (page_id, block_idx, text, tag_name if there is one) with lang, lang_confidence, tokens
+    and found: the issues of the block (see ISSUE) with seq, severity, snippet and context, de-duplicated and merged.
+    A block's issues are one array, so that nothing is shuffled and each text is read once. grammar: issues of a
+    checker (see grammar.match_issues) with page_id, block_idx, seq; they meet their blocks in the only join there is,
+    and come after those of the rules. rules: a column to use in place of all rules; it is taken as it is."""
+    t, tag = F.col("text"), F.col("tag_name") if "tag_name" in blocks.columns else None
+    known = detected(blocks, config).withColumn("_words", T.once(F.when(eligible(config), T.heuristic_words(t))))  # once for all rules
+    raw = known.withColumn("found", T.once(_rules(config, tag) if rules is None else rules))
     if grammar is not None:
-        flat = flat.unionByName(grammar)
-    flat = flat.filter(issues.allowed(F.col("rule_id"), config.ignore_rules, config.enable_rules))
-    flat = issues.dedup(flat, keys) if config.dedup else flat
-    flat = issues.merge(flat, keys) if config.merge else flat
-    flat = flat.withColumn("severity", issues.severity(F.col("type"), F.col("rule_id"), dict(config.severity)))
-    return flat.join(blocks.select(*keys, "text"), keys).withColumn("snippet", F.when(F.col("e") - F.col("s") > 100, F.concat(F.expr("substring(text, s + 1, 100)"), F.lit("..."))).otherwise(F.expr("substring(text, s + 1, e - s)"))).withColumn("context", T.context_window(F.col("text"), F.col("s"), F.col("e"))).drop("text", "n_merged")
+        fields = [c.split(":")[0].strip() for c in issues.ISSUE.removeprefix("struct<").removesuffix(">").split(", ")]
+        per = grammar.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).cast(issues.ISSUE).alias("i")))).alias("_more"))
+        raw = raw.join(per.hint("merge"), KEYS, "left").withColumn("found", T.once(F.concat("found", F.coalesce(F.transform("_more", lambda m: m["i"]), issues.none()))))
+    kept = F.filter(issues.numbered(F.col("found")), lambda i: issues.allowed(i["rule_id"], config.ignore_rules, config.enable_rules))
+    if rules is None:
+        kept = issues.dedup_array(kept) if config.dedup else kept
+        kept = issues.merge_array(kept) if config.merge else kept
+    raw = raw.withColumn("found", T.once(kept))
+
+    def reported(i: Column) -> Column:
+        s, e = i["s"], i["e"]
+        snippet = F.when(e - s > 100, F.concat(F.substring(t, s + 1, F.lit(100)), F.lit("..."))).otherwise(F.substring(t, s + 1, e - s))
+        return F.struct(*[i[c].alias(c) for c in ("s", "e", "type", "source", "rule_id", "message", "suggestion", "confidence", "seq")], issues.severity(i["type"], i["rule_id"], dict(config.severity)).alias("severity"), snippet.alias("snippet"), T.context_window(t, s, e).alias("context"))
+
+    return raw.withColumn("found", T.once(F.transform("found", reported))).drop("_words", "_more")
+
+
+def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None) -> DataFrame:
+    """A row for each issue that audited() finds: page_id, block_idx, s, e, type, severity, source, rule_id, message,
+    suggestion, confidence, seq, snippet, context."""
+    return audited(blocks, config, grammar).select(*KEYS, F.inline("found"))
 
 
 def overall(critical: Column, errors: Column, warnings: Column, blocks: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.least((critical * 0.5 + errors * 0.2 + warnings * 0.05) / F.greatest(F.lit(1), blocks), F.lit(1.0)))
 
 
+SEVERITIES = ("critical", "error", "warning", "info")
+
+
+def _totals(config: AuditConfig, columns: list[str]) -> list[Column]:
+    """Aggregates of a page's detected blocks; html_bytes where the extractor gave it."""
+    sizes = [F.max("html_bytes").alias("html_size_bytes")] if "html_bytes" in columns else []
+    return [F.count(F.lit(1)).alias("total_blocks"), F.sum("tokens").alias("total_tokens"), F.sum(F.when(F.col("lang") == config.target, F.col("tokens")).otherwise(0)).alias("target_tokens"), (F.sum(F.length("text") + 2) - 2).alias("total_chars"), *sizes]
+
+
+def _scored(pages: DataFrame) -> DataFrame:
+    out = pages.withColumn("overall_score", overall(F.col("critical"), F.col("error"), F.col("warning"), F.col("total_blocks")))
+    return out.withColumn("language_purity", F.coalesce(F.try_divide(F.col("target_tokens").cast("double"), F.col("total_tokens")), F.lit(0.0)))
+
+
+def _severities() -> list[Column]:
+    """Aggregates of the arrays of issues: how many there are of each severity."""
+    return [F.sum(F.size(F.filter(F.col("found.severity"), equals(s)))).alias(s) for s in SEVERITIES]
+
+
+def equals(value: str):
+    return lambda x: x == value
+
+
+def score_pages(checked: DataFrame, config: AuditConfig) -> DataFrame:
+    """page_id, totals, counts by severity, overall_score and purity for each page of audited() blocks. Issues are
+    counted in their arrays, and blocks are added up before the only shuffle."""
+    per = [F.sum(F.size("found")).alias("issues"), *_severities()]
+    return _scored(checked.groupBy("page_id").agg(*_totals(config, checked.columns), *per))
+
+
 def page_stats(blocks: DataFrame, found: DataFrame, config: AuditConfig) -> DataFrame:
-    """page_id, totals, counts by severity, overall_score and purity for each page with a block. Issues are counted by
-    page before they meet the pages."""
-    known = detected(blocks)
-    pages = known.groupBy("page_id").agg(F.count(F.lit(1)).alias("total_blocks"), F.sum("tokens").alias("total_tokens"), F.sum(F.when(F.col("lang") == config.target, F.col("tokens")).otherwise(0)).alias("target_tokens"), F.sum(F.length("text") + 2).alias("chars"))
-    per = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("issues"), *[F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in ("critical", "error", "warning", "info")])
-    out = pages.join(per, "page_id", "left").fillna(0, ["issues", "critical", "error", "warning", "info"])
-    out = out.withColumn("overall_score", overall(F.col("critical"), F.col("error"), F.col("warning"), F.col("total_blocks")))
-    purity = F.coalesce(F.try_divide(F.col("target_tokens").cast("double"), F.col("total_tokens")), F.lit(0.0))
-    return out.withColumn("language_purity", purity).withColumn("total_chars", F.col("chars") - 2).drop("chars")
-
-
-def page_languages(blocks: DataFrame) -> DataFrame:
+    """score_pages() where issues are a table of their own. They are counted by page before they meet the pages."""
+    known = detected(blocks, config)
+    per = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("issues"), *[F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in SEVERITIES])
+    return _scored(known.groupBy("page_id").agg(*_totals(config, known.columns)).join(per.hint("merge"), "page_id", "left").fillna(0, ["issues", *SEVERITIES]))
+
+
+def page_languages(blocks: DataFrame, config: AuditConfig | None = None) -> DataFrame:
     """page_id, lang, tokens, pct and rank of each language, `unknown` included."""
     from pyspark.sql import Window
 
-    per = detected(blocks).groupBy("page_id", "lang").agg(F.sum("tokens").alias("tokens"))
+    per = detected(blocks, config).groupBy("page_id", "lang").agg(F.sum("tokens").alias("tokens"))
     page = Window.partitionBy("page_id")
     per = per.withColumn("pct", F.coalesce(F.try_divide(F.col("tokens") * 100.0, F.sum("tokens").over(page)), F.lit(0.0)))
     return per.withColumn("rank", F.row_number().over(page.orderBy(F.desc("tokens"), "lang")))
@@ -136,12 +183,14 @@ def supported_languages(spark) -> DataFrame:
     return spark.createDataFrame([(code, names[code]) for code in lexicon.LANGUAGES], "code string, name string")
 
 
-def api_response(stats: DataFrame, languages: DataFrame, found: DataFrame) -> DataFrame:
-    """page_id and the answer of an analysis as JSON, with all issues of audit()."""
-    langs = languages.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", F.round("pct", 4).alias("pct"))))).alias("detected_languages"))
-    issue = F.struct("block_idx", F.col("s").alias("start"), F.col("e").alias("end"), "type", "severity", "rule_id", "message", "suggestion", "snippet", "confidence")
-    listed = found.groupBy("page_id").agg(F.array_sort(F.collect_list(issue)).alias("found"))
-    kinds = F.transform(F.array_sort(F.array_distinct("found.type")), lambda k: F.struct(k, F.size(F.filter("found", lambda i: i["type"] == k))))
-    by_type = F.coalesce(F.map_from_entries(kinds), F.expr("cast(map() as map<string, int>)")).alias("issues_by_type")
-    body = F.struct(F.col("issues").alias("total_issues"), F.struct("critical", "error", "warning", "info").alias("by_severity"), by_type, F.col("total_blocks").alias("total_text_blocks"), F.round(F.col("language_purity") * 100, 4).alias("target_language_percentage"), "overall_score", "detected_languages", F.coalesce("found", F.array()).alias("issues"))
-    return stats.join(langs, "page_id", "left").join(listed, "page_id", "left").select("page_id", F.to_json(body).alias("response"))
+def api_response(checked: DataFrame, config: AuditConfig) -> DataFrame:
+    """page_id and the answer of an analysis as JSON, with all issues of audited() blocks. A page is one row of the
+    answer, so its issues come together."""
+    issue = lambda i: F.struct("block_idx", i["s"].alias("start"), i["e"].alias("end"), *[i[c].alias(c) for c in ("type", "severity", "rule_id", "message", "suggestion", "snippet", "confidence")])
+    langs = [F.sum(F.when(F.col("lang") == x, F.col("tokens"))).alias(f"_{x}") for x in (*lexicon.LANGUAGES, "unknown")]
+    pages = _scored(checked.withColumn("_listed", T.once(F.transform("found", issue))).groupBy("page_id").agg(*_totals(config, checked.columns), *_severities(), *langs, F.array_sort(F.flatten(F.collect_list("_listed"))).alias("found")))
+    share = lambda x: F.round(F.coalesce(F.try_divide(F.col(f"_{x}") * 100.0, F.col("total_tokens")), F.lit(0.0)), 4)
+    languages = F.map_from_entries(F.filter(F.array(*[F.when(F.col(f"_{x}").isNotNull(), F.struct(F.lit(x).alias("lang"), share(x).alias("pct"))) for x in sorted((*lexicon.LANGUAGES, "unknown"))]), lambda p: p.isNotNull()))
+    kinds = F.map_from_entries(F.transform(F.array_sort(F.array_distinct("found.type")), lambda k: F.struct(k, F.size(F.filter("found", lambda i: i["type"] == k)))))
+    body = F.struct(F.size("found").alias("total_issues"), F.struct(*SEVERITIES).alias("by_severity"), kinds.alias("issues_by_type"), F.col("total_blocks").alias("total_text_blocks"), F.round(F.col("language_purity") * 100, 4).alias("target_language_percentage"), "overall_score", languages.alias("detected_languages"), F.col("found").alias("issues"))
+    return pages.select("page_id", F.to_json(body).alias("response"))

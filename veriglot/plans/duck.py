@@ -46,10 +46,11 @@ def share(words: str, listed) -> str:
 
 
 def detect(source: str, keys: str) -> str:
-    """keys, text, tokens, lang and lang_confidence of a source's blocks that aren't blank."""
+    """keys, text, tokens, lang, lang_confidence and alternatives of a source's blocks that aren't blank."""
     ratios = ", ".join(f"{share('toks', lexicon.STOPWORDS[lang])} AS r_{lang}" for lang in lexicon.LANGUAGES)
     return f"""
-        SELECT {keys}, text, tokens, CASE WHEN sure THEN best_lang ELSE 'unknown' END AS lang, CASE WHEN sure THEN best / total ELSE 0 END AS lang_confidence
+        SELECT {keys}, text, tokens, CASE WHEN sure THEN best_lang ELSE 'unknown' END AS lang, CASE WHEN sure THEN best / total ELSE 0 END AS lang_confidence,
+            CASE WHEN length({strip('text')}) >= 20 AND total > 0 THEN list_sort(list_filter([{", ".join(f"{{'c': -r_{x} / total, 'lang': '{x}'}}" for x in lexicon.LANGUAGES)}], lambda a: a.c < 0 AND a.lang <> best_lang)) ELSE [] END AS alternatives
         FROM (SELECT *, coalesce(length({strip('text')}) >= 20 AND total > 0 AND best / nullif(total, 0) >= 0.5, FALSE) AS sure FROM (
             SELECT *, r_es + r_en + r_nl AS total, greatest(r_es, r_en, r_nl) AS best, CASE WHEN r_es = greatest(r_es, r_en, r_nl) THEN 'es' WHEN r_en = greatest(r_es, r_en, r_nl) THEN 'en' ELSE 'nl' END AS best_lang
             FROM (SELECT {keys}, text, {count_words('text')} AS tokens, {ratios} FROM (SELECT {keys}, text, {tokens(preprocess('text'))} AS toks FROM ({source}) WHERE {strip('text')} <> ''))))

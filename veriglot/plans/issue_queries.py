@@ -142,12 +142,16 @@ FOUND = f"""SELECT page_id, block_idx, 'language_leak' AS type, 'error' AS sever
     UNION ALL SELECT page_id, block_idx, 'punctuation', 'warning' FROM ({duck.find(f"SELECT * FROM ({DETECTED}) WHERE {GATED}", 'page_id, block_idx', 'text', '  +')})"""
 
 
-def simple_issues(spark, sf_dir) -> DataFrame:
+def simple(spark, sf_dir) -> DataFrame:
+    """Blocks with issues of these three kinds."""
     from ..operators import placeholders
 
     rules = F.when(report.eligible(EN), F.concat(heuristics.missing_space(text()), placeholders.spaces(text()))).otherwise(issues.none())
-    found = issues.unnest(report.detected(blocks(spark, sf_dir)), F.concat(report.block_leak(EN), rules), "page_id", "block_idx")
-    return found.withColumn("severity", issues.severity(F.col("type"), F.col("rule_id")))
+    return report.audited(blocks(spark, sf_dir), EN, rules=F.concat(report.block_leak(EN), rules))
+
+
+def simple_issues(spark, sf_dir) -> DataFrame:
+    return simple(spark, sf_dir).select("page_id", "block_idx", F.inline("found"))
 
 
 @query("issues_by_type", f"SELECT page_id, type, count(*) AS n FROM ({FOUND}) GROUP BY page_id, type")
@@ -167,7 +171,7 @@ STATS = f"""SELECT page_id, total_blocks, total_tokens, total_chars, coalesce(is
 
 
 def stats(spark, sf_dir) -> DataFrame:
-    return report.page_stats(blocks(spark, sf_dir), simple_issues(spark, sf_dir), EN)
+    return report.score_pages(simple(spark, sf_dir), EN)
 
 
 @query("page_scores", f"SELECT page_id, issues, error, warning, round(overall_score, 6) AS overall_score, round(language_purity, 6) AS language_purity FROM ({STATS})")
@@ -227,12 +231,9 @@ def audit_pages(spark, sf_dir):
 
 @query("audit_page_scores")
 def audit_page_scores(spark, sf_dir):
-    found = html.extract_blocks(pages(spark, sf_dir))
-    return report.page_stats(found, report.audit(found, EN), EN)
+    return report.score_pages(report.audited(html.extract_blocks(pages(spark, sf_dir)), EN), EN)
 
 
 @query("api_response")
 def api_response(spark, sf_dir):
-    lined = blocks(spark, sf_dir)
-    found = report.audit(lined, EN)
-    return report.api_response(report.page_stats(lined, found, EN), report.page_languages(lined), found)
+    return report.api_response(report.audited(blocks(spark, sf_dir), EN), EN)

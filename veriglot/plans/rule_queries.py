@@ -87,14 +87,17 @@ def placeholder_mixed(spark, sf_dir):
     return made(spark, sf_dir).withColumn("f", T.once(used)).filter(F.size("f") > 2).select("id", F.array_join("f", ", ").alias("families"))
 
 
-@query("tag_pairing", f"""WITH RECURSIVE tags AS (SELECT id, s, e, {duck.strip('content')} AS name, row_number() OVER (PARTITION BY id ORDER BY s) AS i FROM ({UNLISTED}) WHERE family = 'angle_brackets'),
+TAG_PAIRS = f"""WITH RECURSIVE tags AS (SELECT id, s, e, {duck.strip('content')} AS name, row_number() OVER (PARTITION BY id ORDER BY s) AS i FROM ({UNLISTED}) WHERE family = 'angle_brackets'),
     run AS (SELECT DISTINCT id, 0::BIGINT AS i, []::STRUCT(s BIGINT, e BIGINT, v VARCHAR)[] AS open, NULL::STRUCT(s BIGINT, e BIGINT, v VARCHAR) AS wrong FROM tags
         UNION ALL SELECT r.id, t.i,
             CASE WHEN starts_with(name, '/') THEN CASE WHEN len(open) > 0 AND open[len(open)].v = substring(name, 2) THEN open[1:len(open) - 1] ELSE open END WHEN ends_with(name, '/') THEN open ELSE list_append(open, {{'s': t.s, 'e': t.e, 'v': name}}) END,
             CASE WHEN starts_with(name, '/') AND NOT coalesce(len(open) > 0 AND open[len(open)].v = substring(name, 2), FALSE) THEN {{'s': t.s, 'e': t.e, 'v': substring(name, 2)}} END
         FROM run r JOIN tags t ON t.id = r.id AND t.i = r.i + 1)
     SELECT id, wrong.s AS s, wrong.e AS e, 'UNMATCHED_CLOSING_TAG' AS rule_id FROM run WHERE wrong IS NOT NULL
-    UNION ALL SELECT id, x.s, x.e, 'UNMATCHED_OPENING_TAG' FROM (SELECT id, unnest(open) AS x FROM (SELECT id, arg_max(open, i) AS open FROM run GROUP BY id))""")
+    UNION ALL SELECT id, x.s, x.e, 'UNMATCHED_OPENING_TAG' FROM (SELECT id, unnest(open) AS x FROM (SELECT id, arg_max(open, i) AS open FROM run GROUP BY id))"""
+
+
+@query("tag_pairing", TAG_PAIRS)
 def tag_pairing(spark, sf_dir):
     return rows(made(spark, sf_dir), placeholders.tag_pairs(text()), "rule_id")
 
@@ -167,13 +170,13 @@ def base_placeholder_check(spark, sf_dir):
     return rows(made(spark, sf_dir), placeholders.base_check(text()), "rule_id")
 
 
-ALL = f"SELECT id, s, e, rule_id FROM ({SYNTAX}) UNION ALL SELECT id, s, e, rule_id FROM ({GENERAL}) UNION ALL SELECT id, s, e, rule_id FROM ({currency_sql('en')}) UNION ALL SELECT id, 0, length(text), 'MIXED_PLACEHOLDER_STYLES' FROM ({MADE}) WHERE id IN (SELECT id FROM ({UNLISTED}) GROUP BY id HAVING count(DISTINCT family) > 2)"
+ALL = f"SELECT id, s, e, rule_id FROM ({SYNTAX}) UNION ALL SELECT id, s, e, rule_id FROM ({GENERAL}) UNION ALL SELECT id, s, e, rule_id FROM ({currency_sql('en')}) UNION ALL SELECT id, 0, length(text), 'MIXED_PLACEHOLDER_STYLES' FROM ({MADE}) WHERE id IN (SELECT id FROM ({UNLISTED}) GROUP BY id HAVING count(DISTINCT family) > 2) UNION ALL SELECT id, s, e, rule_id FROM ({TAG_PAIRS})"
 
 
 @query("placeholder_all", f"SELECT rule_id, count(*) AS n FROM ({ALL}) GROUP BY rule_id")
 def placeholder_all(spark, sf_dir):
-    """All rules for English in one projection; tag pairs have a query of their own."""
-    found = rows(made(spark, sf_dir), placeholders.check(text(), "en"), "rule_id").filter(~F.col("rule_id").like("UNMATCHED%"))
+    """All rules for English in one projection."""
+    found = rows(made(spark, sf_dir), placeholders.check(text(), "en"), "rule_id")
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -182,9 +185,10 @@ def placeholder_all(spark, sf_dir):
 WORDS = f"SELECT doc_id, text, {duck.heuristic_words('text')} AS words FROM documents"
 
 
-@query("heuristic_words", f"SELECT doc_id, len(words) AS n, array_to_string(words[1:10], ' ') AS first_words FROM ({WORDS})")
+@query("heuristic_words", f"SELECT doc_id, len(words) AS n, md5(array_to_string(words, ' ')) AS words FROM ({WORDS})")
 def heuristic_words(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(text()))).select("doc_id", long(F.size("w")).alias("n"), F.array_join(F.slice("w", 1, 10), " ").alias("first_words"))
+    """A digest of all words."""
+    return docs(spark, sf_dir).withColumn("w", T.once(T.heuristic_words(text()))).select("doc_id", long(F.size("w")).alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
 
 
 EVIDENCE = f"SELECT doc_id, {', '.join(f'{duck.evidence("text", "words", x)} AS {x}' for x in lexicon.LANGUAGES)}, len(words) AS n_words FROM ({WORDS})"
@@ -270,10 +274,11 @@ def inconsistent_quotes(spark, sf_dir):
     return rows(df, heuristics.quote_kinds(text(), "\"'“”"), "message").select("id", F.substring_index("message", ": ", -1).alias("kinds"))
 
 
-@query("heading_case", "SELECT page_id, h1 FROM (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages) WHERE regexp_matches(h1, '[a-z].*[A-Z]|[A-Z].*[a-z].*[A-Z]')")
+@query("heading_case", "SELECT page_id, pos, heading FROM (SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS heading FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1) AS h FROM pages)) WHERE regexp_matches(heading, '[a-z].*[A-Z]|[A-Z].*[a-z].*[A-Z]')")
 def heading_case(spark, sf_dir):
-    heads = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("text"))
-    return heads.filter(F.size(heuristics.heading_case(text(), F.lit("h1"))) > 0).select("page_id", F.col("text").alias("h1"))
+    """All plain headings of each page."""
+    heads = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h[1-6]>([^<]*)</h[1-6]>"), F.lit(1))).alias("pos", "text"))
+    return heads.filter(F.size(heuristics.heading_case(text(), F.lit("h1"))) > 0).select("page_id", long("pos").alias("pos"), F.col("text").alias("heading"))
 
 
 # verification gate and grammar adapter
@@ -297,10 +302,50 @@ def lt_map(spark, sf_dir):
     return spark.sql(MATCHES).select("id", grammar.issue_type(c).alias("type"), grammar.severity(c, F.col("priority")).alias("severity"), F.round(grammar.confidence(c, F.col("confidence").cast("double")), 6).alias("confidence"))
 
 
-@query("split_sentences", rf"SELECT doc_id, len(s) AS n, s[1] AS first, s[len(s)] AS last FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]+[\s\p{{Z}}]*|[^.!?]+$'), lambda x: {duck.strip('x')}), lambda x: x <> '') AS s FROM documents)")
+@query("split_sentences", rf"SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS sentences FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]+[\s\p{{Z}}]*|[^.!?]+$'), lambda x: {duck.strip('x')}), lambda x: x <> '') AS s FROM documents)")
 def split_sentences(spark, sf_dir):
-    s = docs(spark, sf_dir).withColumn("s", grammar.sentences(text()))
-    return s.select("doc_id", long(F.size("s")).alias("n"), F.get("s", F.lit(0)).alias("first"), F.try_element_at("s", F.lit(-1)).alias("last"))
+    """A digest of all sentences."""
+    s = docs(spark, sf_dir).withColumn("s", T.once(grammar.sentences(text())))
+    return s.select("doc_id", long(F.size("s")).alias("n"), F.md5(F.array_join("s", "\n").cast("binary")).alias("sentences"))
+
+
+#: A checker's matches on blocks, some without rule, length or replacement.
+FOUND = """SELECT o_custkey AS page_id, CAST(o_orderkey % 5 AS INT) AS block_idx, CAST(o_orderkey % 40 AS INT) AS place, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey % 6 AS INT) END AS length,
+    CASE o_orderkey % 10 WHEN 0 THEN 'TYPOS' WHEN 1 THEN 'GRAMMAR' WHEN 2 THEN 'STYLE' WHEN 3 THEN 'TYPOGRAPHY' WHEN 4 THEN 'PUNCTUATION' WHEN 5 THEN 'CASING' WHEN 6 THEN 'REPETITION' WHEN 7 THEN 'MISC' WHEN 8 THEN 'OTHER' END AS category,
+    CASE WHEN o_orderkey % 11 > 0 THEN concat('RULE_', o_orderkey) END AS rule_id, concat('Match ', o_orderkey) AS message, CASE WHEN o_orderkey % 3 > 0 THEN concat('fix ', o_orderkey % 13) END AS better, CAST(o_orderkey % 150 AS INT) AS priority,
+    CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 100 AS DOUBLE) / 100 END AS confidence FROM orders"""
+TYPES = f"CASE {' '.join(f'WHEN category = {duck.quoted(k)} THEN {duck.quoted(v)}' for k, v in lexicon.GRAMMAR_TYPES.items())} ELSE 'grammar' END"
+MATCHED = f"""SELECT page_id, block_idx, {TYPES} AS type, coalesce(rule_id, 'UNKNOWN_RULE') AS rule_id, message, better AS suggestion, place AS s, place + coalesce(length, 1) AS e,
+    CASE WHEN category = 'TYPOS' THEN 'error' WHEN category IN ('GRAMMAR', 'PUNCTUATION', 'CASING') THEN 'warning' WHEN category IN ('STYLE', 'TYPOGRAPHY', 'REPETITION', 'REDUNDANCY') THEN 'info' WHEN priority >= 100 THEN 'error' WHEN priority >= 50 THEN 'warning' ELSE 'info' END AS own_severity,
+    least(1, CASE WHEN confidence IS NULL THEN base ELSE (base + confidence) / 2 END) AS confidence FROM (SELECT *, (CASE WHEN category = 'TYPOS' THEN 0.9 WHEN category IN ('STYLE', 'TYPOGRAPHY') THEN 0.6 ELSE 0.8 END)::DOUBLE AS base FROM ({FOUND}))"""
+
+
+def matched(spark, sf_dir, target: str = "en") -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    found = spark.sql(FOUND).withColumnRenamed("place", "offset")
+    return grammar.match_issues(found.withColumn("replacements", F.when(F.col("better").isNotNull(), F.array("better", F.lit("other")))), target)
+
+
+@query("grammar_issues", f"SELECT page_id, block_idx::BIGINT AS block_idx, type, rule_id, message, suggestion, s::BIGINT AS s, e::BIGINT AS e, own_severity, round(confidence, 6)::DOUBLE AS confidence, row_number() OVER (PARTITION BY page_id, block_idx ORDER BY s, e, rule_id, message) - 1 AS seq FROM ({MATCHED})")
+def grammar_issues(spark, sf_dir):
+    found = matched(spark, sf_dir).withColumns({c: long(c) for c in ("block_idx", "s", "e", "seq")})
+    return found.withColumn("confidence", F.round("confidence", 6)).drop("source")
+
+
+@query("grammar_facets", " UNION ALL ".join(f"SELECT '{x}' AS facet, count(*) AS n FROM ({MATCHED}) WHERE type = '{x}'" for x in ("grammar", "spelling", "style")))
+def grammar_facets(spark, sf_dir):
+    found = matched(spark, sf_dir).withColumn("facet", F.col("type")).filter(F.col("facet").isin("grammar", "spelling", "style"))
+    return found.groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("grammar_stats", f"SELECT type, own_severity, count(*) AS issues, count(DISTINCT rule_id) AS rules, round(avg(confidence), 6) AS confidence FROM ({MATCHED}) GROUP BY type, own_severity")
+def grammar_stats(spark, sf_dir):
+    return grammar.match_stats(matched(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("grammar_codes", f"SELECT * FROM (VALUES {', '.join(f'({duck.quoted(k)}, {duck.quoted(v)})' for k, v in lexicon.GRAMMAR_CODES.items())}) v(lang, code)")
+def grammar_codes(spark, sf_dir):
+    return spark.createDataFrame([(x, grammar.code(x)) for x in lexicon.LANGUAGES], "lang string, code string")
 
 
 @query("chunk_text")

@@ -112,6 +112,12 @@ def extract_blocks(spark, sf_dir):
     return html.extract_blocks(pages(spark, sf_dir))
 
 
+@query("parse_failures", "SELECT page_id, '' AS error FROM pages WHERE FALSE")
+def parse_failures(spark, sf_dir):
+    """Pages that the parser gives up on; the given ones all parse."""
+    return html.parse_failures(pages(spark, sf_dir))
+
+
 @query("extract_metadata")
 def extract_metadata(spark, sf_dir):
     return html.extract_meta(pages(spark, sf_dir))
@@ -179,9 +185,10 @@ def preprocess_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.preprocess(text()).alias("value"))
 
 
-@query("extract_tokens", f"SELECT doc_id, len(k) AS n, array_to_string(k[1:20], ' ') AS first_tokens FROM (SELECT doc_id, {duck.tokens('text')} AS k FROM documents)")
+@query("extract_tokens", f"SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS tokens FROM (SELECT doc_id, {duck.tokens('text')} AS k FROM documents)")
 def extract_tokens(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("k", T.once(T.tokens(text()))).select("doc_id", long(F.size("k")).alias("n"), F.array_join(F.slice("k", 1, 20), " ").alias("first_tokens"))
+    """A digest of all tokens."""
+    return docs(spark, sf_dir).withColumn("k", T.once(T.tokens(text()))).select("doc_id", long(F.size("k")).alias("n"), F.md5(F.array_join("k", " ").cast("binary")).alias("tokens"))
 
 
 @query("token_counts", f"SELECT doc_id, block_idx, {duck.count_words('text')} AS tokens FROM ({duck.LINES}) WHERE {duck.strip('text')} <> ''")
@@ -238,6 +245,19 @@ def detect_block(spark, sf_dir):
     return detected(lines(spark, sf_dir)).select("doc_id", long("block_idx").alias("block_idx"), "lang", F.round("lang_confidence", 6).alias("confidence"))
 
 
+@query("detect_alternatives", f"SELECT doc_id, block_idx, generate_subscripts(alternatives, 1) AS rank, unnest(alternatives).lang AS lang, round(-unnest(alternatives).c, 6) AS confidence FROM ({duck.detect(duck.LINES, 'doc_id, block_idx')})")
+def detect_alternatives(spark, sf_dir):
+    """The other languages that a line may be in, the surest first."""
+    from ..operators.report import detected
+
+    return ranked(detected(lines(spark, sf_dir)), "doc_id", long("block_idx").alias("block_idx"))
+
+
+def ranked(df: DataFrame, *keys) -> DataFrame:
+    """A row for each alternative."""
+    return df.select(*keys, F.posexplode("alternatives").alias("i", "a")).withColumns({"rank": long(F.col("i") + 1), "lang": F.col("a.lang"), "confidence": F.round("a.confidence", 6)}).drop("i", "a")
+
+
 @query("detector_benchmark", f"SELECT d.lang AS expected, count(*) AS n, count(*) FILTER (d.lang = p.lang) AS correct, round(avg((d.lang = p.lang)::INT), 6) AS accuracy, round(avg(lang_confidence), 6) AS average_confidence FROM documents d JOIN ({duck.detect(DOCS, 'doc_id')}) p USING (doc_id) GROUP BY d.lang")
 def detector_benchmark(spark, sf_dir):
     found = detect.native(tables.spread(table(spark, sf_dir, "documents").select("text", F.col("lang").alias("expected"))))
@@ -256,10 +276,12 @@ def lang_distribution(spark, sf_dir):
     return per.select("doc_id", "lang", F.round(F.col("c") * 100 / F.sum("c").over(Window.partitionBy("doc_id")), 6).alias("pct"))
 
 
-@query("detect_tokens")
+@query("detect_tokens", f"""WITH t AS (SELECT doc_id, unnest(k) AS token, unnest(range(len(k))) AS i FROM (SELECT doc_id, {duck.tokens('text')} AS k FROM documents)),
+    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5(token || ':' || i), token) AS r FROM t) WHERE r <= 200 AND length(token) >= 3)
+    SELECT doc_id, CASE {' '.join(f"WHEN list_contains({duck.in_list(lexicon.STOPWORDS[x])}, token) THEN '{x}'" for x in lexicon.LANGUAGES)} ELSE 'unknown' END AS lang, count(*) AS n FROM d GROUP BY ALL""")
 def detect_tokens(spark, sf_dir):
     """Up to 200 tokens of each whole document, drawn by hash, of at least three letters and in a language's list."""
-    words = F.transform(T.tokens(text()), lambda w, i: F.struct(F.xxhash64(w, i).alias("h"), w.alias("token")))
+    words = F.transform(T.tokens(text()), lambda w, i: F.struct(F.md5(F.concat(w, F.lit(":"), i.cast("string")).cast("binary")).alias("h"), w.alias("token")))
     drawn = docs(spark, sf_dir).select("doc_id", F.explode(F.slice(F.array_sort(words), 1, 200)).alias("x")).select("doc_id", F.col("x.token").alias("token")).filter(F.length("token") >= 3)
     lang = F.coalesce(*[F.when(F.col("token").isin(*lexicon.STOPWORDS[x]), x) for x in lexicon.LANGUAGES], F.lit("unknown"))
     return drawn.groupBy("doc_id", lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
@@ -306,14 +328,28 @@ def vote_majority(spark, sf_dir):
     return detect.vote_majority(votes(spark, sf_dir)).select("id", "lang", F.round("confidence", 6).alias("confidence"))
 
 
+@query("vote_majority_alternatives", f"{VOTES}, m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, c DESC, o) AS k FROM ({MAJORITY})) SELECT id, row_number() OVER (PARTITION BY id ORDER BY c DESC, lang) AS rank, lang, round(c, 6) AS confidence FROM m WHERE k > 1")
+def vote_majority_alternatives(spark, sf_dir):
+    return ranked(detect.vote_majority(votes(spark, sf_dir)), "id")
+
+
 @query("vote_consensus", f"{VOTES} SELECT id, round(max(n) / sum(n)::DOUBLE, 6) AS consensus FROM ({MAJORITY}) GROUP BY id")
 def vote_consensus(spark, sf_dir):
     return detect.vote_majority(votes(spark, sf_dir)).select("id", F.round("consensus", 6).alias("consensus"))
 
 
-@query("vote_best", f"{VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, ord) AS k FROM votes) SELECT id, max(lang) FILTER (k = 1) AS lang, round(max(confidence) FILTER (k = 1), 6) AS confidence, max(lang) FILTER (k = 2) AS alternative FROM r GROUP BY id")
+RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, ord) AS k FROM votes)"
+
+
+@query("vote_best", f"{VOTES}, {RANKED} SELECT id, lang, round(confidence, 6) AS confidence FROM r WHERE k = 1")
 def vote_best(spark, sf_dir):
-    return detect.vote_best(votes(spark, sf_dir)).select("id", "lang", F.round("confidence", 6).alias("confidence"), "alternative")
+    return detect.vote_best(votes(spark, sf_dir)).select("id", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+@query("vote_best_alternatives", f"""{VOTES}, {RANKED}, a AS (SELECT id, lang, confidence FROM r WHERE k > 1 UNION ALL SELECT doc_id, x.lang, -x.c FROM (SELECT doc_id, unnest(alternatives) AS x FROM own WHERE lang <> 'unknown'))
+    SELECT id, rank, lang, round(c, 6) AS confidence FROM (SELECT id, lang, max(confidence) AS c, row_number() OVER (PARTITION BY id ORDER BY max(confidence) DESC, lang) AS rank FROM a GROUP BY id, lang) WHERE rank <= 3""")
+def vote_best_alternatives(spark, sf_dir):
+    return ranked(detect.vote_best(votes(spark, sf_dir)), "id")
 
 
 @query("detector_stats", f"{VOTES} SELECT detector, count(*) AS detections, round(sum(confidence), 4) AS total, round(avg(confidence), 6) AS average FROM votes GROUP BY detector")

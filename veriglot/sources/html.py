@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import lexicon
+from ..config import AuditConfig, parse_selector
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 VISIBLE = re.compile("[a-zA-Z0-9À-ɏ]")
@@ -24,6 +26,8 @@ class Node:
     attrs: dict[str, str]
     parent: Node | None
     children: list[Node | str | Comment] = field(default_factory=list)
+    nth: int = 1  # among its parent's children of the same tag
+    tags: dict[str, int] = field(default_factory=dict)  # how many children of each tag it has
 
 
 class Comment(str):
@@ -41,6 +45,7 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node.nth = self.at.tags[tag] = self.at.tags.get(tag, 0) + 1
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -85,18 +90,28 @@ def all_text(node: Node) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=64)
+def tests(selectors: tuple[str, ...]) -> list[Callable[[Node], bool]]:
+    """A test of a node for each selector. A class is found as a whole word of one of the node's classes."""
+
+    def test(kind: str, name: str, how: str = "", value: str = "") -> Callable[[Node], bool]:
+        if kind == "class":
+            whole = re.compile(rf"\b{re.escape(name)}\b")
+            return lambda n: "class" in n.attrs and any(map(whole.search, n.attrs["class"].split()))
+        if kind == "id":
+            return lambda n: n.attrs.get("id") == name
+        if kind == "tag":
+            return lambda n: n.tag == name
+        compare = {"": lambda v: True, "=": lambda v: v == value, "*=": lambda v: value in v, "^=": lambda v: v.startswith(value), "$=": lambda v: v.endswith(value), "~=": lambda v: value in v.split()}[how]
+        return lambda n: name in n.attrs and (not how or how == "=" or value != "") and compare(n.attrs[name])
+
+    return [test(*parse_selector(s)) for s in selectors]
+
+
 def ignored(node: Node, selectors: tuple[str, ...] = lexicon.IGNORED) -> bool:
-    """By tag, class or id selector, inline style or aria-hidden; the element itself is tested."""
-    classes = node.attrs.get("class", "").split()
-    for s in selectors:
-        if s[0] == ".":
-            if any(re.search(rf"\b{re.escape(s[1:])}\b", c) for c in classes):
-                return True
-        elif s[0] == "#":
-            if node.attrs.get("id") == s[1:]:
-                return True
-        elif node.tag == s.lower():
-            return True
+    """By tag, class, id or attribute selector, inline style or aria-hidden; the element itself is tested."""
+    if any(holds(node) for holds in tests(selectors)):
+        return True
     return bool(HIDDEN.search(node.attrs.get("style", ""))) or node.attrs.get("aria-hidden") == "true"
 
 
@@ -123,8 +138,7 @@ def own_text(node: Node, least: int, selectors: tuple[str, ...]) -> str:
 def xpath(node: Node) -> str:
     parts = []
     while node is not None and node.parent is not None:
-        same = [c for c in node.parent.children if isinstance(c, Node) and c.tag == node.tag]
-        part = f"{node.tag}[{1 + next(i for i, c in enumerate(same) if c is node)}]" if len(same) > 1 else node.tag
+        part = f"{node.tag}[{node.nth}]" if node.parent.tags[node.tag] > 1 else node.tag
         if node.attrs.get("id"):
             part = f"{node.tag}[@id='{node.attrs['id']}']"
         elif node.attrs.get("class"):
@@ -197,23 +211,53 @@ def page_images(html: str | None) -> list[tuple]:
     return [(n.attrs.get("src"), n.attrs["alt"].strip(), n.attrs.get("title"), xpath(n)) for n in walk(Tree(html or "").root) if n.tag == "img" and n.attrs.get("alt", "").strip()]
 
 
+def failure(html: str | None) -> str | None:
+    """What the parser says of markup that it can't read."""
+    try:
+        Tree(html or "")
+    except (AssertionError, ValueError, RecursionError) as error:
+        return f"{type(error).__name__}: {error}"
+    return None
+
+
 def _generate(pages: DataFrame, names: list[str], kinds: list[pa.DataType], schema: str, rows: Callable[[str | None], list[tuple]]) -> DataFrame:
-    """page_id with each row that `rows` makes of its html."""
+    """page_id with each row that `rows` makes of its html. A page that can't be parsed has no row and stops no other
+    page; parse_failures() lists such pages."""
+
+    def made_of(html: str | None) -> list[tuple]:
+        try:
+            return rows(html)
+        except (AssertionError, ValueError, RecursionError):
+            if failure(html) is None:  # not the markup's fault
+                raise
+            return []
 
     def run(batches):
         for batch in batches:
-            made = [(page, *row) for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in rows(html)]
+            made = [(page, *row) for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in made_of(html)]
             columns = list(zip(*made, strict=True)) or [()] * (len(names) + 1)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *kinds], strict=True)], ["page_id", *names])
 
     return pages.select(pages["page_id"].cast("long"), "html").mapInArrow(run, f"page_id bigint, {schema}")
 
 
+def parse_failures(pages: DataFrame) -> DataFrame:
+    """page_id and error of pages whose markup can't be parsed."""
+    return _generate(pages, ["error"], [pa.string()], "error string", lambda html: [(x,)] if (x := failure(html)) else [])
+
+
+def configured_blocks(pages: DataFrame, config: AuditConfig) -> DataFrame:
+    """extract_blocks() by an audit's settings."""
+    return extract_blocks(pages, config.min_block_chars, config.ignore_selectors)
+
+
 def extract_blocks(pages: DataFrame, least: int = 10, selectors: tuple[str, ...] = lexicon.IGNORED) -> DataFrame:
+    """A row for each text block of a page; html_bytes is the size of the page."""
+    tests(selectors)
     text = pa.string()
     return _generate(
-        pages, ["block_idx", "text", "xpath", "tag_name", "attributes", "block_type", "offset_start", "offset_end"], [pa.int32(), text, text, text, pa.map_(text, text), text, pa.int32(), pa.int32()],
-        "block_idx int, text string, xpath string, tag_name string, attributes map<string, string>, block_type string, offset_start int, offset_end int", lambda html: page_blocks(html, least, selectors),
+        pages, ["block_idx", "text", "xpath", "tag_name", "attributes", "block_type", "offset_start", "offset_end", "html_bytes"], [pa.int32(), text, text, text, pa.map_(text, text), text, pa.int32(), pa.int32(), pa.int64()],
+        "block_idx int, text string, xpath string, tag_name string, attributes map<string, string>, block_type string, offset_start int, offset_end int, html_bytes bigint", lambda html: [(*b, len(html.encode())) for b in page_blocks(html, least, selectors)],
     )
 
 

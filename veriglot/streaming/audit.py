@@ -16,9 +16,9 @@ def page_stream(spark: SparkSession, folder: str, schema: str = "page_id bigint,
 
 
 def audit_stream(pages: DataFrame, config: AuditConfig, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch's issues to a Parquet folder. Issues are grouped by block, and a page comes whole, so a
-    batch is complete for all it holds."""
-    blocks = html.extract_blocks(pages)
+    """Appends each micro-batch's issues to a Parquet folder. A block's issues are found, de-duplicated and merged in
+    its own row."""
+    blocks = html.configured_blocks(pages, config)
 
     def write(batch: DataFrame, _: int) -> None:
         report.audit(batch, config).write.mode("append").parquet(out)
