@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, suffix_dedup
+from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, quality, secrets, suffix_dedup
 from .common import UPPER, documents
 
 
@@ -72,7 +72,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op5_lm_score, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
+    base = F.lit(quality.mask(1)).cast("long")
+    return judged.withColumn("base_failed", F.col("failed").bitwiseAND(base) != 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op5_lm_score, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan, op11_quality_rules)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": f"""
@@ -92,4 +98,24 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_sha256, coalesce(any_value(keep_bitmap), '') AS keep_bitmap
         FROM j LEFT JOIN b USING (doc_id) GROUP BY doc_id
     """,
+    "op11_quality_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+             w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+                          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+             u AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w),
+             g AS (SELECT doc_id, pos, word, lag(word) OVER o AS before, {" || ' ' || ".join("word" if i == 0 else f"lead(word, {i}) OVER o" for i in range(quality.WINDOW))} AS gram
+                   FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+             t AS (SELECT doc_id, pos, word = before AS stutters, gram IS NOT NULL AND count(gram) OVER (PARTITION BY doc_id, gram) > 1 AS twice FROM g),
+             c AS (SELECT doc_id, stutters, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {quality.WINDOW - 1} PRECEDING AND CURRENT ROW) AS covered FROM t),
+             r AS (SELECT doc_id, count(*) FILTER (covered) AS n_repeat_words, count(*) FILTER (stutters) AS n_stutters FROM c GROUP BY doc_id),
+             m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_word_lines,
+                          len(list_filter(lines, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines,
+                          len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines,
+                          len(list_filter(words, lambda x: regexp_matches(x, '\\pL'))) AS n_letter_words,
+                          len(list_filter({list(quality.FUNCTION_WORDS)}, lambda x: list_contains(words, x))) AS n_function_words, coalesce(n_stutters, 0) AS n_stutters
+                   FROM w LEFT JOIN r USING (doc_id)),
+             f AS (SELECT *, {" + ".join(f"CASE WHEN {rule.fails} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES))} AS failed FROM m)
+        SELECT *, {quality.LATEST} AS policy, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed & {quality.mask()} = 0 AS kept FROM f
+    """,
 }
