@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, quality, secrets, suffix_dedup
+from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, periodic, quality, secrets, suffix_dedup
 from .common import UPPER, documents
 
 
@@ -78,7 +78,26 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("base_failed", F.col("failed").bitwiseAND(base) != 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op5_lm_score, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan, op11_quality_rules)}
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and the text whose words from a on repeat with period p, in every tenth document by crc32 of its id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.array_remove(F.split(F.regexp_replace("text", r"[\x09-\x0D]", " "), " ", -1), "").alias("words"))
+    sized = words.withColumns({"n": F.size("words"), "a": (F.col("g") % F.greatest(F.size("words"), F.lit(1))).cast("int")})
+    sized = sized.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = (F.col("h") % 10 == 0) & (F.col("n") > 0)
+    return sized.select("doc_id", F.when(planted, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_runs(documents(spark, sf_dir)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    runs = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *periodic.greatest(), F.sha2(runs.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op5_lm_score, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan, op11_quality_rules, op12_periodic_runs)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": f"""
