@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, periodic, quality, secrets, suffix_dedup
+from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, lm_score, merkle, near_dedup, packing, periodic, quality, secrets, suffix_dedup
 from .common import UPPER, documents
 
 
@@ -97,7 +97,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *periodic.greatest(), F.sha2(runs.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op5_lm_score, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan, op11_quality_rules, op12_periodic_runs)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    claimed = F.when(tampered, F.unhex(merkle.leaf(*rest, F.replace("text", F.lit("\n")))))
+    proved = merkle.manifest(documents(spark, sf_dir), merkle.leaf(*rest, F.col("text")), carried={"claimed": claimed})
+    proved = proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), merkle.fold(F.coalesce(F.lower(F.hex("claimed")), F.col("leaf")), F.col("steps")).alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_ann_search, op3_exact_dedup, op4_language_id, op5_lm_score, op6_line_dedup, op7_suffix_dedup, op8_packing, op9_near_dedup, op10_secret_scan, op11_quality_rules, op12_periodic_runs, op13_merkle_manifest)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": f"""
@@ -137,4 +146,30 @@ ORACLE_SQL = {
              f AS (SELECT *, {" + ".join(f"CASE WHEN {rule.fails} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(quality.RULES))} AS failed FROM m)
         SELECT *, {quality.LATEST} AS policy, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed & {quality.mask()} = 0 AS kept FROM f
     """,
+    "op13_merkle_manifest": """
+        WITH RECURSIVE
+             d AS (SELECT doc_id, source, row_number() OVER () AS rid, text, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: unicode(ch)::BIGINT) AS codes,
+                          concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head
+                   FROM documents),
+             c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, codes), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc FROM d),
+             h AS (SELECT doc_id, source, rid, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                          CASE WHEN crc % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS claimed FROM c),
+             s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS sid, count(*) OVER () AS sources FROM (SELECT DISTINCT source FROM documents)),
+             v AS (SELECT h.*, sid, row_number() OVER (PARTITION BY sid ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx, count(*) OVER (PARTITION BY sid) AS n FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source),
+             t AS (SELECT sid, 0 AS level, idx, n, leaf AS digest FROM v
+                   UNION ALL SELECT sid, level + 1, idx // 3, max((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY sid, level, idx // 3),
+             r AS (SELECT sid, level AS height, digest AS subroot FROM t WHERE n = 1),
+             u AS (SELECT 0 AS level, sid AS idx, sources AS n, subroot AS digest FROM r JOIN s USING (sid)
+                   UNION ALL SELECT level + 1, idx // 3, max((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, idx // 3),
+             g AS (SELECT rid, unnest(range(height)) AS level, sid, idx FROM v JOIN r USING (sid)),
+             a AS (SELECT rid, g.level, t.digest, t.idx AS place, g.idx // (3 ** g.level)::BIGINT AS own FROM g LEFT JOIN t ON t.sid = g.sid AND t.level = g.level AND t.idx // 3 = g.idx // (3 ** (g.level + 1))::BIGINT),
+             b AS (SELECT sid, u.level, u.digest, u.idx AS place, sid // (3 ** u.level)::BIGINT AS own FROM r JOIN u ON u.n > 1 AND u.idx // 3 = sid // (3 ** (u.level + 1))::BIGINT),
+             p AS (SELECT rid, level, digest, place, own FROM a UNION ALL SELECT rid, height + b.level, b.digest, place, own FROM v JOIN r USING (sid) JOIN b USING (sid)),
+             q AS (SELECT rid, level, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < own), '') AS l, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > own), '') AS r FROM p GROUP BY rid, level),
+             f AS (SELECT rid, 0 AS level, claimed AS cur FROM v UNION ALL SELECT f.rid, f.level + 1, sha256(q.l || cur || q.r) FROM f JOIN q ON q.rid = f.rid AND q.level = f.level),
+             e AS (SELECT rid, arg_max(cur, level) AS folded_root FROM f GROUP BY rid),
+             w AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256 FROM q GROUP BY rid)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM v JOIN r USING (sid) JOIN e USING (rid) LEFT JOIN w USING (rid), (SELECT digest AS root FROM u WHERE n = 1)
+    """,
 }
