@@ -6,12 +6,18 @@ set at fit time so that the sample's own neighbours are found with the wanted re
 size: small cells share a block, large ones (a vector that very many rows have) are spread over several. A query goes
 to the blocks of its cells, which hold only codes, and comes back with its best rows by asymmetric distance. The best
 of all its blocks, RERANK rows a query, are one shortlist; only these meet the query again, as whole vectors.
+
+The index works on single precision, so rows are divided by a power of two near their median length, and each query by
+one near its largest component, neither of which changes a query's order. Rows whose lengths differ from the median by
+more than 2^8 are indexed by themselves, in classes that each span a factor of 2^16 (one class in ordinary tables, about
+130 if every magnitude of a double occurs); a query's nearest are then the best of all classes by their exact scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,8 @@ from .common import drawn, map_slices, materialise, small_batches, with_id
 #: Rows to fit on and cells, at most; sub-vectors and codes of each; rows of a block and queries compared with it at a
 #: time; rows on a query's shortlist; recall wanted of the probed cells.
 SAMPLE, CELLS, PARTS, CODES, BLOCK, QUERIES, RERANK, RECALL = 20_000, 4096, 32, 256, 4096, 256, 100, 0.97
+#: Powers of two that the lengths of a class of rows span.
+MAGNITUDES = 16
 #: A row that a block proposes: its id, a hash of its vector, its asymmetric distance.
 FOUND = np.dtype([("id", "<i8"), ("copy", "<i8"), ("score", "<f4")])
 
@@ -206,19 +214,50 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.filter(F.size("v") == (size.n if size else 0))
 
 
+def log_length(v: Column) -> Column:
+    """The binary logarithm of a vector's length, whatever its components' magnitude."""
+    top = F.array_max(F.transform(v, F.abs))
+    # a component below 2^-500 of the largest doesn't count, and a quotient of subnormals is exact enough
+    rest = F.aggregate(F.transform(v, lambda c: F.pow(c / top, F.lit(2.0))), F.lit(0.0), lambda a, c: a + c)
+    return F.log2(top) + F.log2(rest) / 2
+
+
+def _small(x: np.ndarray, exponent: int) -> np.ndarray:
+    """Rows of a class in single precision, divided by 2^exponent."""
+    return np.ldexp(x, -exponent).astype(np.float32)
+
+
+def _asking(q: np.ndarray) -> np.ndarray:
+    """Queries in single precision, each divided by the power of two next to its largest component."""
+    return np.ldexp(q, -np.frexp(np.abs(q).max(1, keepdims=True))[1]).astype(np.float32)
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id and score (inner product in double precision on the original vectors) of the k nearest
     rows found for each query row, nearest first, ties to smaller ids; is_query is a condition on id. Rows that share a
     query's id are its own and no candidates; other rows of a repeated id are candidates of their own, and a query id
-    that repeats asks once, with the smallest of its vectors. With fewer than k candidates all come out. Rows that
+    that repeats asks once, with the smallest of its vectors. With fewer than k candidates all come out. Any finite magnitude is searched; a score that overflows is infinite, and one
+    that has both infinities in it comes last. Rows that
     don't take part (see _clean) neither ask nor are found; without rows nothing comes out."""
-    rows = materialise(_clean(vectors, id_col, vector_col), "vectors")
-    total, schema = rows.count(), "query_id bigint, rank int, vec_id bigint, score double"
-    if not total:
-        return vectors.sparkSession.createDataFrame([], schema)
+    rows = materialise(_clean(vectors, id_col, vector_col).withColumn("size", log_length(F.col("v"))), "vectors")
+    queries = materialise(rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    middle = rows.agg(F.percentile_approx("size", 0.5)).first()[0]
+    if middle is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    rows = rows.withColumn("class", F.floor((F.col("size") - middle) / MAGNITUDES + 0.5).cast("int"))
+    scored = []
+    for r in rows.groupBy("class").count().orderBy("class").collect():  # a row for each class, of which doubles allow about 130
+        part = rows.filter(F.col("class") == r["class"]).select("id", "v")
+        scored.append(_scored(part, queries, r["count"], round(middle + r["class"] * MAGNITUDES), k, sample, rerank))
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
+    return reduce(DataFrame.unionAll, scored).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _scored(rows: DataFrame, queries: DataFrame, total: int, exponent: int, k: int, sample: int, rerank: int) -> DataFrame:
+    """query_id, vec_id and score of what the index of one class of rows (of lengths near 2^exponent) finds."""
     picked = drawn(rows, total, sample).limit(2 * sample).toPandas()
-    index = fit(np.stack(picked["v"].to_numpy()).astype(np.float32), total, k)
-    dims, spark = index.centroids.shape[1], vectors.sparkSession
+    index = fit(_small(np.stack(picked["v"].to_numpy()), exponent), total, k)
+    dims, spark = index.centroids.shape[1], rows.sparkSession
 
     def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -226,27 +265,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     def place():
         def columns(batch: pa.RecordBatch) -> list:
-            x = matrix(batch.column(1)).astype(np.float32)
+            x = _small(matrix(batch.column(1)), exponent)
             cells = index.cells(x)
             return [batch.column(0), batch.column(1), cells, [c.tobytes() for c in index.codes(x, cells)]]
 
         return columns
 
-    raw = rows.select("id", "v")
-    placed = map_slices(raw, with_id(raw, "id", "v array<double>, cell int, codes binary"), None, place)
-    placed = materialise(placed.withColumn("copy", F.xxhash64("v")), "placed")
+    placed = map_slices(rows, with_id(rows, "id", "v array<double>, cell int, codes binary"), None, place)
+    placed = materialise(placed.withColumns({"copy": F.xxhash64("v"), "row": F.monotonically_increasing_id()}), "placed")
     counts = np.zeros(len(index.centroids), np.int64)
     for r in placed.groupBy("cell").count().collect():  # a row for each cell, CELLS at most
         counts[r.cell] = r["count"]
     first, parts = deal_cells(counts)
     where = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, first int, parts int")
-    dealt = placed.join(F.broadcast(where), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int"))
-    queries = rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    dealt = placed.join(F.broadcast(where), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("row"), "parts")).cast("int"))
 
     def ask():
         def columns(batch: pa.RecordBatch) -> list:
             out: tuple[list, list, list] = ([], [], [])
-            for i, cells in enumerate(probe(index, matrix(batch.column(1)).astype(np.float32), counts, rerank + 1)):
+            for i, cells in enumerate(probe(index, _asking(matrix(batch.column(1))), counts, rerank + 1)):
                 probed = np.zeros(len(counts), bool)
                 probed[cells] = True
                 blocks = np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells if counts[c]])).tolist()
@@ -265,7 +302,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
         def propose(part: pa.Table) -> list:
             probed = np.unpackbits(np.frombuffer(b"".join(part.column("wanted").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)[:, : len(counts)].astype(bool)
-            found = block.propose(part.column("id").to_numpy(), matrix(part.column("v")).astype(np.float32), probed, rerank)
+            found = block.propose(part.column("id").to_numpy(), _asking(matrix(part.column("v"))), probed, rerank)
             return [part.column("block").combine_chunks(), part.column("id").combine_chunks(), pa.array(found, pa.binary())]
 
         return propose
@@ -299,12 +336,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 want = np.frombuffer(want, np.int64)
                 a, b = np.searchsorted(ids, want, "left"), np.searchsorted(ids, want, "right")
                 at = np.concatenate([np.arange(*p) for p in zip(a.tolist(), b.tolist(), strict=True)])
-                for z, w in zip(out, (np.full(len(at), q), ids[at], np.einsum("rd,d->r", x[at], y)), strict=True):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    products = np.einsum("rd,d->r", x[at], y)
+                for z, w in zip(out, (np.full(len(at), q), ids[at], products), strict=True):
                     z.append(w)
             return [pa.array(np.concatenate(z)) for z in out]
 
         return measure
 
-    scored = _in_blocks(dealt.select("block", "id", "v"), wanted, "query_id bigint, vec_id bigint, score double", exact)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _in_blocks(dealt.select("block", "id", "v"), wanted, "query_id bigint, vec_id bigint, score double", exact)
