@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Ordinary words of identifiers, which join those of the documents.
 ORDINARY = """access action active admin agent async author batch block button cache category center char check close cluster column command commit config content context counter create customer data default delete device display domain download email engine event example factory field filter folder frame function group handle height history image import input instance item label last layout level library line list location logger matrix member method model monitor name number object option order owner package panel parameter password path payment period platform player policy position price process profile project provider public queue range region remote request resource result return root route schema score script search select sequence service session shape size stack state status storage string style system table task template text thread title total transaction type update upload value vector video view weight widget window worker""".split()
-#: Rows of documents whose words make identifiers for the sample, and strings of each label.
-SAMPLE_ROWS, SAMPLE_STRINGS = 500, 20_000
+#: Rows of documents and words of theirs that make identifiers for the sample, and strings of each label.
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_STRINGS = 500, 100_000, 20_000
 THRESHOLD = 1.0
 #: A window is the best of many, so that its mean must be so many times the threshold.
 WINDOW = 2.0
@@ -107,13 +108,23 @@ class MarkovRatio:
             each, begin = self._each([v for _, _, v in values])
             for (i, at, v), b in zip(values, begin.tolist(), strict=True):
                 out[i] += [(at + lo, at + hi) for lo, hi in windows(v, each[b : b + len(v)].astype(np.float64), WINDOW * threshold)]
-        segments = [(i, *m.span()) for i, s in enumerate(strings) for m in SEGMENT.finditer(s) if not any(a < m.end() and m.start() < b for a, b in out[i])]
+        segments = [(i, *m.span()) for i, s in enumerate(strings) for m in _apart_from(SEGMENT.finditer(s), sorted(out[i]))]
         for (i, a, b), x in zip(segments, self.score([strings[i][a:b] for i, a, b in segments]).tolist(), strict=True):
             if x >= threshold:
                 out[i].append((a, b))
         return out
 
 
+def _apart_from(found: Iterable[re.Match], spans: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Matches that overlap none of the spans; both are in order, and spans don't overlap."""
+    k = 0
+    for m in found:
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if k == len(spans) or spans[k][0] >= m.end():
+            yield m
+
+
 def windows(value: str, each: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Where windows of at least LEAST characters have a mean of threshold or more: that with the largest sum above it,
     with what beside it is rather random, out to the next "/"; then those in the rest. None is missed, as a window of
@@ -139,13 +150,14 @@ def windows(value: str, each: np.ndarray, threshold: float) -> list[tuple[int, i
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS, seed: int = 11) -> MarkovRatio:
+def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, strings: int = SAMPLE_STRINGS, seed: int = 11) -> MarkovRatio:
     """Fits both models on labelled samples of bounded size: `strings` random strings, and as many identifiers made of
-    the words of about `rows` documents (400 words of each at most)."""
-    words = F.slice(F.filter(F.regexp_extract_all(text_or_empty(text_col), F.lit(r"(\b[A-Za-z]{3,16}\b)")), lambda w: F.length(w) > 2), 1, 400)
-    picked = docs.select(text_or_empty(text_col).alias(text_col)).transform(drawn, docs.count(), rows).limit(2 * rows).select(words.alias("words")).collect()
+    about `words` words drawn from the whole texts of about `rows` documents."""
+    found = F.filter(F.regexp_extract_all(text_or_empty(text_col), F.lit(r"(\b[A-Za-z]{3,16}\b)")), lambda w: F.length(w) > 2)
+    picked = drawn(docs.select(text_or_empty(text_col).alias(text_col)), docs.count(), rows).select(F.explode(found).alias("word"))
+    picked = drawn(picked, picked.count(), words, seed).limit(2 * words).collect()
     rng = random.Random(seed)
-    return MarkovRatio(random_strings(strings, rng), identifiers(sorted(w for r in picked for w in r.words), strings, rng))
+    return MarkovRatio(random_strings(strings, rng), identifiers(sorted(r.word for r in picked), strings, rng))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -161,15 +173,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """What base spans leave of each candidate run, where that is at least LEAST characters."""
-    out = []
+    """What base spans leave of each candidate run, where that is at least LEAST characters. Runs and spans are walked
+    once, side by side."""
+    apart: list[list[int]] = []
+    for _, a, b in base:
+        if apart and a <= apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], b)
+        else:
+            apart.append([a, b])
+    out, i = [], 0
     for m in CANDIDATE.finditer(text):
-        at = m.start()
-        for _, a, b in base:
-            if at < b and a < m.end():
-                out.append((at, a))
-                at = b
-        out.append((at, m.end()))
+        at, end = m.span()
+        while i < len(apart) and apart[i][1] <= at:
+            i += 1
+        k = i
+        while k < len(apart) and apart[k][0] < end:
+            out.append((at, apart[k][0]))
+            at, k = apart[k][1], k + 1
+        out.append((at, end))
+        i = max(i, k - 1)
     return [(a, b) for a, b in out if b - a >= LEAST]
 
 
@@ -180,7 +202,8 @@ def coded(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame, model: MarkovRatio, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_assign, n_access, n_hex, base (spans of the patterns), spans (those and the model's, kind random, which
     overlap none of them) and redacted (the text with each span's characters replaced by [secret]). Null and empty
-    texts have no span; rows are scanned one by one, whatever their ids."""
+    texts have no span; rows are scanned one by one, whatever their ids, texts whole, in time in proportion to their length
+    but for windows(). An empty table gives no rows; other columns stay behind, see scan_rows()."""
 
     def start():
         def columns(batch: pa.RecordBatch) -> list:
