@@ -34,7 +34,7 @@ def test_one_pass(spark):
         assert plan.count("MapInArrow") == 1 and "Join" not in plan
     assert "Exchange" not in report.audit(html.extract_blocks(pages), AuditConfig())._jdf.queryExecution().executedPlan().toString()
     stats = report.score_pages(report.audited(html.extract_blocks(pages), AuditConfig()), AuditConfig()).first()
-    assert stats.html_size_bytes == len(pages.first().html) and stats.total_blocks == 1 and stats.issues == stats.error + stats.warning + stats.info + stats.critical > 0
+    assert stats.html_size == len(pages.first().html) and stats.total_blocks == 1 and stats.issues == stats.error + stats.warning + stats.info + stats.critical > 0
 
 
 def test_grammar_matches_in_an_audit(spark):

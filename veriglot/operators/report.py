@@ -88,8 +88,8 @@ SEVERITIES = ("critical", "error", "warning", "info")
 
 
 def _totals(config: AuditConfig, columns: list[str]) -> list[Column]:
-    """Aggregates of a page's detected blocks; html_bytes where the extractor gave it."""
-    sizes = [F.max("html_bytes").alias("html_size_bytes")] if "html_bytes" in columns else []
+    """Aggregates of a page's detected blocks; html_chars where the extractor gave it."""
+    sizes = [F.max("html_chars").alias("html_size")] if "html_chars" in columns else []
     return [F.count(F.lit(1)).alias("total_blocks"), F.sum("tokens").alias("total_tokens"), F.sum(F.when(F.col("lang") == config.target, F.col("tokens")).otherwise(0)).alias("target_tokens"), (F.sum(F.length("text") + 2) - 2).alias("total_chars"), *sizes]
 
 

@@ -10,6 +10,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import lexicon
 from ..config import AuditConfig, parse_selector
@@ -28,6 +31,10 @@ class Node:
     children: list[Node | str | Comment] = field(default_factory=list)
     nth: int = 1  # among its parent's children of the same tag
     tags: dict[str, int] = field(default_factory=dict)  # how many children of each tag it has
+    size: int = 0  # length of all_text()
+    visible: bool = False  # whether any string in it, comments included, has a visible character
+    links: int = 0  # length of the text inside links
+    region: float = 0.0  # weight of the best connected region that begins here
 
 
 class Comment(str):
@@ -40,8 +47,10 @@ class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: dict[str, int] = {}  # open tags by name, so that an end tag that closes nothing isn't searched for
         self.feed(html)
         self.close()
+        measure(self.root)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
@@ -49,18 +58,23 @@ class Tree(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent
+            self._leave()
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if not self.open.get(tag):
+            return
+        while self.at.tag != tag:
+            self._leave()
+        self._leave()
+
+    def _leave(self) -> None:
+        self.open[self.at.tag] -= 1
+        self.at = self.at.parent
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -77,6 +91,46 @@ def walk(node: Node) -> Iterator[Node]:
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
+#: Elements that can be the content root, and those that cost a region nothing: they are a part of running text.
+CONTAINERS, FREE = ("article", "main", "div", "section", "td", "body"), {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "tbody", "tr", "td", "th", "br", *lexicon.INLINE_TAGS}
+#: What an element that is no part of running text costs its region, in code points, and what one of a link does.
+ELEMENT_COST, LINK_COST = 10.0, 1.0
+#: Elements that seldom hold the content, and what each costs its region.
+CHROME, CHROME_COST = {"nav", "footer", "aside", "header", "form", "menu"}, 300.0
+#: Where links hold more than this share of a subtree's text, it is navigation.
+LINK_SHARE = 0.5
+
+
+def measure(root: Node) -> None:
+    """Sizes and weights of all nodes, children first. A node's own weight is the length of its strings, less those in
+    links and less ELEMENT_COST where it is a part of the layout; its region adds the regions of those children that
+    are worth something."""
+    order = [root]
+    for node in order:
+        order += [c for c in node.children if isinstance(c, Node)]
+    inside = {id(root): False}
+    for node in order:
+        link = inside[id(node)] or node.tag == "a"
+        for c in node.children:
+            if isinstance(c, Node):
+                inside[id(c)] = link
+    for node in reversed(order):
+        silent, link = node.tag in ("script", "style"), inside[id(node)] or node.tag == "a"
+        own = 0
+        for c in node.children:
+            if isinstance(c, Node):
+                if c.tag not in ("script", "style"):
+                    node.size, node.links = node.size + c.size, node.links + c.links
+                    node.region += max(0.0, c.region)
+                node.visible = node.visible or c.visible
+            else:
+                node.visible = node.visible or bool(VISIBLE.search(c))
+                own += 0 if isinstance(c, Comment) else len(c.strip())
+        node.size += own
+        node.links += own if link else 0
+        node.region += (-LINK_COST if link else 0.0 if silent else 1.0) * own - (0.0 if node.tag in FREE else CHROME_COST if node.tag in CHROME else ELEMENT_COST)
+
+
 def all_text(node: Node) -> str:
     """Stripped strings below a node, without comments, scripts and styles, one after the other."""
     out, stack = [], list(reversed(node.children))
@@ -127,9 +181,8 @@ def own_text(node: Node, least: int, selectors: tuple[str, ...]) -> str:
                 out.append(x.strip())
         elif not ignored(x, selectors):
             if x.tag in lexicon.CONTENT_TAGS and x.tag not in lexicon.INLINE_TAGS:
-                text = all_text(x)
-                if len(text) > least:
-                    out.append(text)
+                if x.size > least:
+                    out.append(all_text(x))
             elif depth < 10:
                 stack += [(c, depth + 1) for c in reversed(x.children)]
     return " ".join(" ".join(out).split())
@@ -153,42 +206,47 @@ def attributes(node: Node) -> list[tuple[str, str]]:
 
 
 def content_root(tree: Tree) -> Node:
-    """The first article, else the first main element, else the document."""
+    """The first article, else the first main element, else the container of the best connected region: the nearest
+    one at or above the node where that region begins. A page without text has the document as its root."""
     for tag in ("article", "main"):
         if found := next((n for n in walk(tree.root) if n.tag == tag), None):
             return found
-    return tree.root
+    best = max(walk(tree.root), key=lambda n: n.region, default=tree.root)  # the first of equals, which is the outer one
+    if best.region <= 0:
+        return tree.root
+    while best.parent is not None and best.tag not in CONTAINERS:
+        best = best.parent
+    return best
+
+
+def is_navigation(node: Node) -> bool:
+    """Whether no region of a subtree is worth anything and most of its text is in links, or its element says so."""
+    return node.region <= 0 and (node.tag in CHROME or node.tag != "a" and node.links > LINK_SHARE * node.size)
 
 
 def page_blocks(html: str | None, least: int = 10, selectors: tuple[str, ...] = lexicon.IGNORED) -> list[tuple]:
     """(index, text, xpath, tag, attributes, block type, start, end); offsets count in the texts joined by blank
-    lines. An accepted block takes all that is in it."""
-    out, taken, at = [], set(), 0
-    for node in walk(content_root(Tree(html or ""))):
-        if node.tag not in lexicon.CONTENT_TAGS:
-            continue
-        if id(node.parent) in taken or id(node) in taken:
-            taken.add(id(node))
-            continue
-        if any(id(p) in taken for p in _parents(node)):
-            continue
-        if ignored(node, selectors):
-            continue
-        text = own_text(node, least, selectors)
-        if len(text.strip()) < least or not VISIBLE.search(text):
+    lines. An accepted block takes all that is in it. Where a page says nothing of its main content by article or main,
+    menus and other navigation below the content root are left out."""
+    out, at = [], 0
+    tree = Tree(html or "")
+    root = content_root(tree)
+    told = root.tag in ("article", "main")
+    stack = [c for c in reversed(root.children) if isinstance(c, Node)]
+    while stack:
+        node = stack.pop()
+        if not told and is_navigation(node):
             continue
-        taken.add(id(node))
-        out.append((len(out), text, xpath(node), node.tag, attributes(node), BLOCK_TYPE.get(node.tag, "text"), at, at + len(text)))
-        at += len(text) + 2
+        if node.tag in lexicon.CONTENT_TAGS and node.visible and not ignored(node, selectors):
+            text = own_text(node, least, selectors)
+            if len(text.strip()) >= least and VISIBLE.search(text):
+                out.append((len(out), text, xpath(node), node.tag, attributes(node), BLOCK_TYPE.get(node.tag, "text"), at, at + len(text)))
+                at += len(text) + 2
+                continue
+        stack += [c for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
 
-def _parents(node: Node) -> Iterator[Node]:
-    while node.parent is not None:
-        node = node.parent
-        yield node
-
-
 def page_meta(html: str | None) -> tuple:
     """title, description, declared language."""
     title = description = lang = None
@@ -220,8 +278,8 @@ def failure(html: str | None) -> str | None:
     return None
 
 
-def _generate(pages: DataFrame, names: list[str], kinds: list[pa.DataType], schema: str, rows: Callable[[str | None], list[tuple]]) -> DataFrame:
-    """page_id with each row that `rows` makes of its html. A page that can't be parsed has no row and stops no other
+def _generate(pages: DataFrame, names: list[str], kinds: list[pa.DataType], schema: str, rows: Callable[[str | None], list[tuple]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """page_id and the columns `carry` with each row that `rows` makes of its html. A page that can't be parsed has no row and stops no other
     page; parse_failures() lists such pages."""
 
     def made_of(html: str | None) -> list[tuple]:
@@ -232,13 +290,19 @@ def _generate(pages: DataFrame, names: list[str], kinds: list[pa.DataType], sche
                 raise
             return []
 
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", *carry)
+    out = StructType([source.schema["page_id"], *[source.schema[c] for c in carry], *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(out)
+
     def run(batches):
         for batch in batches:
-            made = [(page, *row) for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in made_of(html)]
-            columns = list(zip(*made, strict=True)) or [()] * (len(names) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), *kinds], strict=True)], ["page_id", *names])
+            made = [(i, *row) for i, html in enumerate(batch.column(1).to_pylist()) for row in made_of(html)]
+            at, *columns = list(zip(*made, strict=True)) or [()] * (len(names) + 1)
+            at = pa.array(at, pa.int64())
+            kept = [batch.column(i).take(at) for i in (0, *range(2, 2 + len(carry)))]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], schema=arrow)
 
-    return pages.select(pages["page_id"].cast("long"), "html").mapInArrow(run, f"page_id bigint, {schema}")
+    return source.mapInArrow(run, out)
 
 
 def parse_failures(pages: DataFrame) -> DataFrame:
@@ -246,18 +310,19 @@ def parse_failures(pages: DataFrame) -> DataFrame:
     return _generate(pages, ["error"], [pa.string()], "error string", lambda html: [(x,)] if (x := failure(html)) else [])
 
 
-def configured_blocks(pages: DataFrame, config: AuditConfig) -> DataFrame:
+def configured_blocks(pages: DataFrame, config: AuditConfig, carry: tuple[str, ...] = ()) -> DataFrame:
     """extract_blocks() by an audit's settings."""
-    return extract_blocks(pages, config.min_block_chars, config.ignore_selectors)
+    return extract_blocks(pages, config.min_block_chars, config.ignore_selectors, carry)
 
 
-def extract_blocks(pages: DataFrame, least: int = 10, selectors: tuple[str, ...] = lexicon.IGNORED) -> DataFrame:
-    """A row for each text block of a page; html_bytes is the size of the page."""
+def extract_blocks(pages: DataFrame, least: int = 10, selectors: tuple[str, ...] = lexicon.IGNORED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each text block of a page; html_chars is the length of the page; carry are columns of pages that
+    go along, of any type."""
     tests(selectors)
     text = pa.string()
     return _generate(
-        pages, ["block_idx", "text", "xpath", "tag_name", "attributes", "block_type", "offset_start", "offset_end", "html_bytes"], [pa.int32(), text, text, text, pa.map_(text, text), text, pa.int32(), pa.int32(), pa.int64()],
-        "block_idx int, text string, xpath string, tag_name string, attributes map<string, string>, block_type string, offset_start int, offset_end int, html_bytes bigint", lambda html: [(*b, len(html.encode())) for b in page_blocks(html, least, selectors)],
+        pages, ["block_idx", "text", "xpath", "tag_name", "attributes", "block_type", "offset_start", "offset_end", "html_chars"], [pa.int32(), text, text, text, pa.map_(text, text), text, pa.int32(), pa.int32(), pa.int64()],
+        "block_idx int, text string, xpath string, tag_name string, attributes map<string, string>, block_type string, offset_start int, offset_end int, html_chars bigint", lambda html: [(*b, len(html)) for b in page_blocks(html, least, selectors)], carry,
     )
 
 
