@@ -47,12 +47,15 @@ def _rules(config: AuditConfig, tag: Column | None) -> Column:
     return F.concat(block_leak(config), F.when(eligible(config) & gate(t), checked).otherwise(issues.none()))
 
 
-def audited(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None, rules: Column | None = None) -> DataFrame:
+def audited(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None, rules: Column | None = None, only: Column | None = None) -> DataFrame:
     """Blocks that aren't blank (page_id, block_idx, text, tag_name if there is one) with lang, lang_confidence, tokens
     and found: the issues of the block (see ISSUE) with seq, severity, snippet and context, de-duplicated and merged.
     A block's issues are one array, so that nothing is shuffled and each text is read once. grammar: issues of a
     checker (see grammar.match_issues) with page_id, block_idx, seq; they meet their blocks in the only join there is,
-    and come after those of the rules. rules: a column to use in place of all rules; it is taken as it is."""
+    and come after those of the rules. rules: a column to use in place of all rules; it is taken as it is. only: a
+    condition on columns of blocks, which reaches their scan; one on the result would not, as issues are made once."""
+    if only is not None:
+        blocks = blocks.filter(only)
     t, tag = F.col("text"), F.col("tag_name") if "tag_name" in blocks.columns else None
     known = detected(blocks, config).withColumn("_words", T.once(F.when(eligible(config), T.heuristic_words(t))))  # once for all rules
     raw = known.withColumn("found", T.once(_rules(config, tag) if rules is None else rules))
@@ -74,10 +77,10 @@ def audited(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None =
     return raw.withColumn("found", T.once(F.transform("found", reported))).drop("_words", "_more")
 
 
-def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None) -> DataFrame:
-    """A row for each issue that audited() finds: page_id, block_idx, s, e, type, severity, source, rule_id, message,
-    suggestion, confidence, seq, snippet, context."""
-    return audited(blocks, config, grammar).select(*KEYS, F.inline("found"))
+def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None, only: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each issue that audited() finds: page_id, block_idx, the columns `carry` of the block (such as url and
+    xpath), s, e, type, severity, source, rule_id, message, suggestion, confidence, seq, snippet, context."""
+    return audited(blocks, config, grammar, only=only).select(*KEYS, *carry, F.inline("found"))
 
 
 def overall(critical: Column, errors: Column, warnings: Column, blocks: Column) -> Column:
@@ -131,6 +134,15 @@ def page_languages(blocks: DataFrame, config: AuditConfig | None = None) -> Data
     return per.withColumn("rank", F.row_number().over(page.orderBy(F.desc("tokens"), "lang")))
 
 
+def type_by_severity(checked: DataFrame) -> DataFrame:
+    """Counts of audited() issues by type and severity, by type, by severity and of all, in one pass and one shuffle:
+    level says which (type+severity, type, severity, all), and what a level adds up over is null. Blocks' issues are
+    counted in their arrays first."""
+    each = checked.select(F.inline(F.transform("found", lambda i: F.struct(i["type"].alias("type"), i["severity"].alias("severity")))))
+    counted = each.groupingSets([[F.col("type"), F.col("severity")], [F.col("type")], [F.col("severity")], []], "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    return counted.select(F.element_at(F.array(*map(F.lit, ("type+severity", "type", "severity", "all"))), F.col("g").cast("int") + 1).alias("level"), "type", "severity", "n")
+
+
 def batch_summary(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count(F.lit(1)).alias("total_pages"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("issues", "total_issues"), ("critical", "total_critical"), ("error", "total_errors"), ("warning", "total_warnings"))], F.coalesce(F.avg("overall_score"), F.lit(0.0)).alias("average_score"))
 

@@ -136,7 +136,8 @@ def page_language_leaks(spark, sf_dir):
     return found.select("page_id", long("block_idx").alias("block_idx"), "lang", F.round("lang_confidence", 6).alias("confidence"), snippet.alias("snippet"))
 
 
-#: Issues of three kinds in blocks: other languages, missing spaces and several spaces.
+#: The basic queries count issues of three kinds, of which SQL can say the numbers too: other languages, missing spaces
+#: and several spaces. Those of the same names without `basic` take the whole audit.
 FOUND = f"""SELECT page_id, block_idx, 'language_leak' AS type, 'error' AS severity FROM ({LEAKS})
     UNION ALL SELECT page_id, block_idx, 'punctuation', 'warning' FROM ({duck.find(f"SELECT * FROM ({DETECTED}) WHERE {GATED}", 'page_id, block_idx', 'text', '[.!?,:;][a-zA-Z]')})
     UNION ALL SELECT page_id, block_idx, 'punctuation', 'warning' FROM ({duck.find(f"SELECT * FROM ({DETECTED}) WHERE {GATED}", 'page_id, block_idx', 'text', '  +')})"""
@@ -154,13 +155,13 @@ def simple_issues(spark, sf_dir) -> DataFrame:
     return simple(spark, sf_dir).select("page_id", "block_idx", F.inline("found"))
 
 
-@query("issues_by_type", f"SELECT page_id, type, count(*) AS n FROM ({FOUND}) GROUP BY page_id, type")
-def issues_by_type(spark, sf_dir):
+@query("basic_issues_by_type", f"SELECT page_id, type, count(*) AS n FROM ({FOUND}) GROUP BY page_id, type")
+def basic_issues_by_type(spark, sf_dir):
     return simple_issues(spark, sf_dir).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("issues_by_severity", f"SELECT page_id, severity, count(*) AS n FROM ({FOUND}) GROUP BY page_id, severity")
-def issues_by_severity(spark, sf_dir):
+@query("basic_issues_by_severity", f"SELECT page_id, severity, count(*) AS n FROM ({FOUND}) GROUP BY page_id, severity")
+def basic_issues_by_severity(spark, sf_dir):
     return simple_issues(spark, sf_dir).groupBy("page_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,8 +175,8 @@ def stats(spark, sf_dir) -> DataFrame:
     return report.score_pages(simple(spark, sf_dir), EN)
 
 
-@query("page_scores", f"SELECT page_id, issues, error, warning, round(overall_score, 6) AS overall_score, round(language_purity, 6) AS language_purity FROM ({STATS})")
-def page_scores(spark, sf_dir):
+@query("basic_page_scores", f"SELECT page_id, issues, error, warning, round(overall_score, 6) AS overall_score, round(language_purity, 6) AS language_purity FROM ({STATS})")
+def basic_page_scores(spark, sf_dir):
     return stats(spark, sf_dir).select("page_id", "issues", "error", "warning", F.round("overall_score", 6).alias("overall_score"), F.round("language_purity", 6).alias("language_purity"))
 
 
@@ -184,23 +185,23 @@ def page_totals(spark, sf_dir):
     return stats(spark, sf_dir).select("page_id", "total_blocks", "total_tokens", "total_chars")
 
 
-@query("batch_summary", f"SELECT count(*) AS total_pages, sum(issues)::BIGINT AS total_issues, sum(critical)::BIGINT AS total_critical, sum(error)::BIGINT AS total_errors, sum(warning)::BIGINT AS total_warnings, round(avg(overall_score), 6) AS average_score FROM ({STATS})")
-def batch_summary(spark, sf_dir):
+@query("basic_batch_summary", f"SELECT count(*) AS total_pages, sum(issues)::BIGINT AS total_issues, sum(critical)::BIGINT AS total_critical, sum(error)::BIGINT AS total_errors, sum(warning)::BIGINT AS total_warnings, round(avg(overall_score), 6) AS average_score FROM ({STATS})")
+def basic_batch_summary(spark, sf_dir):
     return report.batch_summary(stats(spark, sf_dir)).withColumn("average_score", F.round("average_score", 6))
 
 
-@query("worst_pages", f"SELECT page_id, issues, round(overall_score, 6) AS overall_score FROM ({STATS}) ORDER BY issues DESC, overall_score, page_id LIMIT 3")
-def worst_pages(spark, sf_dir):
+@query("basic_worst_pages", f"SELECT page_id, issues, round(overall_score, 6) AS overall_score FROM ({STATS}) ORDER BY issues DESC, overall_score, page_id LIMIT 3")
+def basic_worst_pages(spark, sf_dir):
     return report.worst_pages(stats(spark, sf_dir)).select("page_id", "issues", F.round("overall_score", 6).alias("overall_score"))
 
 
-@query("max_errors_gate", f"SELECT sum(error)::BIGINT AS n_errors, CASE WHEN sum(error) > 10 THEN 2 ELSE 0 END::BIGINT AS exit_code FROM ({STATS})")
-def max_errors_gate(spark, sf_dir):
+@query("basic_max_errors_gate", f"SELECT sum(error)::BIGINT AS n_errors, CASE WHEN sum(error) > 10 THEN 2 ELSE 0 END::BIGINT AS exit_code FROM ({STATS})")
+def basic_max_errors_gate(spark, sf_dir):
     return report.exit_code(stats(spark, sf_dir), 10).select(long("n_errors").alias("n_errors"), long("exit_code").alias("exit_code"))
 
 
-@query("csv_export_rows", f"SELECT concat('doc:', page_id) AS url, 'en' AS target_lang, 'language_leak' AS issue_type, 'error' AS severity, concat('Block is in ', lang) AS message, 'Translate to en' AS suggestion, snippet, concat('/block[', block_idx, ']') AS xpath, round(confidence, 6) AS confidence FROM ({LEAKS})")
-def csv_export_rows(spark, sf_dir):
+@query("basic_csv_rows", f"SELECT concat('doc:', page_id) AS url, 'en' AS target_lang, 'language_leak' AS issue_type, 'error' AS severity, concat('Block is in ', lang) AS message, 'Translate to en' AS suggestion, snippet, concat('/block[', block_idx, ']') AS xpath, round(confidence, 6) AS confidence FROM ({LEAKS})")
+def basic_csv_rows(spark, sf_dir):
     found = issues.unnest(report.detected(blocks(spark, sf_dir)), report.block_leak(EN), "page_id", "block_idx", "text").withColumn("severity", issues.severity(F.col("type"), F.col("rule_id")))
     snippet = F.when(F.length(text()) > 100, F.concat(F.substring(text(), 1, 100), F.lit("..."))).otherwise(text())
     found = found.withColumns({"snippet": snippet, "url": F.concat(F.lit("doc:"), F.col("page_id").cast("string")), "xpath": F.concat(F.lit("/block["), F.col("block_idx").cast("string"), F.lit("]")), "confidence": F.round("confidence", 6)})
@@ -234,6 +235,62 @@ def audit_page_scores(spark, sf_dir):
     return report.score_pages(report.audited(html.extract_blocks(pages(spark, sf_dir)), EN), EN)
 
 
+def whole(spark, sf_dir) -> DataFrame:
+    """Documents' lines with the issues of all rules."""
+    return report.audited(blocks(spark, sf_dir), EN)
+
+
+def whole_stats(spark, sf_dir) -> DataFrame:
+    return report.score_pages(whole(spark, sf_dir), EN)
+
+
+@query("issues_by_type")
+def issues_by_type(spark, sf_dir):
+    return whole(spark, sf_dir).select("page_id", F.inline("found")).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("issues_by_severity")
+def issues_by_severity(spark, sf_dir):
+    return whole(spark, sf_dir).select("page_id", F.inline("found")).groupBy("page_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("issues_by_type_and_severity")
+def issues_by_type_and_severity(spark, sf_dir):
+    return report.type_by_severity(whole(spark, sf_dir))
+
+
+@query("basic_issues_by_type_and_severity", f"SELECT CASE grouping(type, severity) WHEN 0 THEN 'type+severity' WHEN 1 THEN 'type' WHEN 2 THEN 'severity' ELSE 'all' END AS level, type, severity, count(*) AS n FROM ({FOUND}) GROUP BY GROUPING SETS ((type, severity), (type), (severity), ())")
+def basic_issues_by_type_and_severity(spark, sf_dir):
+    return report.type_by_severity(simple(spark, sf_dir))
+
+
+@query("page_scores")
+def page_scores(spark, sf_dir):
+    return whole_stats(spark, sf_dir).select("page_id", "issues", "critical", "error", "warning", "info", F.round("overall_score", 6).alias("overall_score"), F.round("language_purity", 6).alias("language_purity"))
+
+
+@query("batch_summary")
+def batch_summary(spark, sf_dir):
+    return report.batch_summary(whole_stats(spark, sf_dir)).withColumn("average_score", F.round("average_score", 6))
+
+
+@query("worst_pages")
+def worst_pages(spark, sf_dir):
+    return report.worst_pages(whole_stats(spark, sf_dir)).select("page_id", "issues", F.round("overall_score", 6).alias("overall_score"))
+
+
+@query("max_errors_gate")
+def max_errors_gate(spark, sf_dir):
+    return report.exit_code(whole_stats(spark, sf_dir), 10).select(long("n_errors").alias("n_errors"), long("exit_code").alias("exit_code"))
+
+
+@query("csv_export_rows")
+def csv_export_rows(spark, sf_dir):
+    """Every issue of every rule on real pages, with the page's url and the block's xpath."""
+    found = report.audit(html.extract_blocks(pages(spark, sf_dir), carry=("url",)), EN, carry=("url", "xpath"))
+    return report.csv_rows(found.withColumn("confidence", F.round("confidence", 6)), "en")
+
+
 @query("api_response")
 def api_response(spark, sf_dir):
     return report.api_response(report.audited(blocks(spark, sf_dir), EN), EN)

@@ -112,6 +112,13 @@ def extract_blocks(spark, sf_dir):
     return html.extract_blocks(pages(spark, sf_dir))
 
 
+@query("main_content_blocks")
+def main_content_blocks(spark, sf_dir):
+    """Blocks of pages whose articles are mere divisions, so that the content root comes from text and link density."""
+    plain = pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", r"(</?)article\b", "$1div"))
+    return html.extract_blocks(plain).select("page_id", "block_idx", "text", "xpath", "tag_name", "block_type")
+
+
 @query("parse_failures", "SELECT page_id, '' AS error FROM pages WHERE FALSE")
 def parse_failures(spark, sf_dir):
     """Pages that the parser gives up on; the given ones all parse."""

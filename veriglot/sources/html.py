@@ -33,6 +33,7 @@ class Node:
     tags: dict[str, int] = field(default_factory=dict)  # how many children of each tag it has
     size: int = 0  # length of all_text()
     visible: bool = False  # whether any string in it, comments included, has a visible character
+    most: int = 0  # what all its strings, comments included, would be joined by spaces, and one
     links: int = 0  # length of the text inside links
     region: float = 0.0  # weight of the best connected region that begins here
 
@@ -94,9 +95,9 @@ def walk(node: Node) -> Iterator[Node]:
 #: Elements that can be the content root, and those that cost a region nothing: they are a part of running text.
 CONTAINERS, FREE = ("article", "main", "div", "section", "td", "body"), {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "tbody", "tr", "td", "th", "br", *lexicon.INLINE_TAGS}
 #: What an element that is no part of running text costs its region, in code points, and what one of a link does.
-ELEMENT_COST, LINK_COST = 10.0, 1.0
+ELEMENT_COST, LINK_COST = 50.0, 1.0
 #: Elements that seldom hold the content, and what each costs its region.
-CHROME, CHROME_COST = {"nav", "footer", "aside", "header", "form", "menu"}, 300.0
+CHROME, CHROME_COST = {"head", "nav", "footer", "aside", "header", "form", "menu"}, 300.0
 #: Where links hold more than this share of a subtree's text, it is navigation.
 LINK_SHARE = 0.5
 
@@ -122,8 +123,9 @@ def measure(root: Node) -> None:
                 if c.tag not in ("script", "style"):
                     node.size, node.links = node.size + c.size, node.links + c.links
                     node.region += max(0.0, c.region)
-                node.visible = node.visible or c.visible
+                node.visible, node.most = node.visible or c.visible, node.most + c.most
             else:
+                node.most += len(c.strip()) + 1 if c.strip() else 0
                 node.visible = node.visible or bool(VISIBLE.search(c))
                 own += 0 if isinstance(c, Comment) else len(c.strip())
         node.size += own
@@ -207,14 +209,16 @@ def attributes(node: Node) -> list[tuple[str, str]]:
 
 def content_root(tree: Tree) -> Node:
     """The first article, else the first main element, else the container of the best connected region: the nearest
-    one at or above the node where that region begins. A page without text has the document as its root."""
+    one at or above the node where that region begins that holds half of the page's text outside links. A page without
+    text has the document as its root."""
     for tag in ("article", "main"):
         if found := next((n for n in walk(tree.root) if n.tag == tag), None):
             return found
     best = max(walk(tree.root), key=lambda n: n.region, default=tree.root)  # the first of equals, which is the outer one
     if best.region <= 0:
         return tree.root
-    while best.parent is not None and best.tag not in CONTAINERS:
+    page = next((n for n in walk(tree.root) if n.tag == "body"), tree.root)
+    while best.parent is not None and (best.tag not in CONTAINERS or 2 * (best.size - best.links) < page.size - page.links):
         best = best.parent
     return best
 
@@ -237,7 +241,7 @@ def page_blocks(html: str | None, least: int = 10, selectors: tuple[str, ...] =
         node = stack.pop()
         if not told and is_navigation(node):
             continue
-        if node.tag in lexicon.CONTENT_TAGS and node.visible and not ignored(node, selectors):
+        if node.tag in lexicon.CONTENT_TAGS and node.visible and node.most > least and not ignored(node, selectors):
             text = own_text(node, least, selectors)
             if len(text.strip()) >= least and VISIBLE.search(text):
                 out.append((len(out), text, xpath(node), node.tag, attributes(node), BLOCK_TYPE.get(node.tag, "text"), at, at + len(text)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,14 +18,17 @@ def page_stream(spark: SparkSession, folder: str, schema: str = "page_id bigint,
 
 
 def audit_stream(pages: DataFrame, config: AuditConfig, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch's issues to a Parquet folder. A block's issues are found, de-duplicated and merged in
-    its own row."""
-    blocks = html.configured_blocks(pages, config)
+    """Writes each micro-batch's issues to a folder of its own below `out`, by the batch's id, so that a batch that is
+    run again after a failure replaces what it wrote. Reading `out` gives all issues and the column batch. A block's
+    issues are found, de-duplicated and merged in its own row."""
+    return html.configured_blocks(pages, config).writeStream.foreachBatch(batch_writer(config, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    def write(batch: DataFrame, _: int) -> None:
-        report.audit(batch, config).write.mode("append").parquet(out)
+def batch_writer(config: AuditConfig, out: str) -> Callable[[DataFrame, int], None]:
+    def write(batch: DataFrame, number: int) -> None:
+        report.audit(batch, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return blocks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write
 
 
 def event_counts(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
