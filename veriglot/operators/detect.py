@@ -80,6 +80,39 @@ def hint_scores(hints: dict[str, Column], stop: float, chars: float) -> dict[str
     return {lang: F.coalesce(hints[f"{lang}_stopwords"], zero) * stop + F.coalesce(hints.get(f"{lang}_chars", zero), zero) * chars for lang in lexicon.LANGUAGES}
 
 
+#: Detections that are surer than that need no alternatives; others are at most so many times as sure as the detection.
+NO_DOUBT, BESIDE, SOME = 0.8, 0.8, 0.1
+
+
+def _hinted(t: Column, lang: Column, confidence: Column, stop: float, chars: float, kept: Callable[[Column, Column], Column]) -> Column:
+    """Structs of c (less the confidence) and lang of the other supported languages, the surest first."""
+    scores = hint_scores(T.hints(t), stop, chars)
+    every = F.array(*[F.struct(F.lit(x).alias("lang"), score.alias("h"), F.least(score, confidence * BESIDE).alias("c")) for x, score in scores.items()])
+    some = F.filter(every, lambda a: (a["lang"] != lang) & kept(a["h"], a["c"]))
+    return F.transform(F.array_sort(F.transform(some, lambda a: F.struct((-a["c"]).alias("c"), a["lang"].alias("lang")))), lambda a: F.struct(a["lang"].alias("lang"), (-a["c"]).alias("confidence")))
+
+
+def hint_alternatives(t: Column, lang: Column, confidence: Column) -> Column:
+    """Alternatives that hints give to a detection that isn't sure, whatever detector it is of: array of lang and
+    confidence, three at most; none for `unknown`."""
+    found = _hinted(t, lang, confidence, 0.5, 0.3, lambda h, c: h > SOME)
+    return F.when((lang != "unknown") & (confidence < NO_DOUBT), F.slice(found, 1, 3)).otherwise(F.expr(NO_ALTERNATIVES))
+
+
+def hint_distribution(t: Column, lang: Column, confidence: Column) -> Column:
+    """The detected language with its confidence and the others that hints give enough for."""
+    found = _hinted(t, lang, confidence, 0.6, 0.4, lambda h, c: c > SOME)
+    return F.when(lang != "unknown", F.concat(F.array(F.struct(lang.alias("lang"), confidence.alias("confidence"))), found)).otherwise(F.expr(NO_ALTERNATIVES))
+
+
+def measured_weights(judged: DataFrame) -> DataFrame:
+    """detector, votes, accuracy and weight from votes (detector, lang) beside the expected language; votes on rows
+    without one don't count."""
+    hit = (F.col("lang") == F.col("expected")).cast("int")
+    per = judged.filter("expected is not null").groupBy("detector").agg(F.count(F.lit(1)).alias("votes"), F.avg(hit).alias("accuracy"))
+    return per.withColumn("weight", new_weight(F.col("accuracy")))
+
+
 def three_votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, ord, detector, lang, confidence, alternatives: votes of the stopword detector, of character hints and of
     heuristic evidence; a detector without evidence doesn't vote, and only the first one has alternatives."""

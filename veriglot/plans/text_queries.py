@@ -225,23 +225,6 @@ def scores_sql(stop: float, chars: float) -> str:
     return ", ".join(f"coalesce({x}_stopwords, 0) * {stop} + " + (f"coalesce({x}_chars, 0) * {chars}" if x != "en" else "0") + f" AS h_{x}" for x in lexicon.LANGUAGES)
 
 
-@query("hint_alternatives", f"SELECT doc_id, lang, round(least(h, 0.48), 6) AS confidence FROM (SELECT doc_id, unnest(['es', 'en', 'nl']) AS lang, unnest([h_es, h_en, h_nl]) AS h FROM (SELECT doc_id, {scores_sql(0.5, 0.3)} FROM ({HINTS}))) WHERE h > 0.1")
-def hint_alternatives(spark, sf_dir):
-    """Alternatives that hints give beside a detection of confidence 0.6: at most 0.8 times as sure."""
-    h = detect.hint_scores(T.hints(text(), F.col("w")), 0.5, 0.3)
-    rows = worded(spark, sf_dir).select("doc_id", T.once(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])).alias("a")).select("doc_id", F.inline("a"))
-    return rows.filter("h > 0.1").select("doc_id", "lang", F.round(F.least(F.col("h"), F.lit(0.6 * 0.8)), 6).alias("confidence"))
-
-
-@query("confidence_distribution", f"SELECT doc_id, lang, round(CASE WHEN lang = 'en' THEN 0.6 ELSE least(h, 0.48) END, 6)::DOUBLE AS confidence FROM (SELECT doc_id, unnest(['es', 'en', 'nl']) AS lang, unnest([h_es, h_en, h_nl]) AS h FROM (SELECT doc_id, {scores_sql(0.6, 0.4)} FROM ({HINTS}))) WHERE lang = 'en' OR h > 0.1")
-def confidence_distribution(spark, sf_dir):
-    """Confidence of each language where English was detected with 0.6."""
-    h = detect.hint_scores(T.hints(text(), F.col("w")), 0.6, 0.4)
-    rows = worded(spark, sf_dir).select("doc_id", T.once(F.array(*[F.struct(F.lit(x).alias("lang"), h[x].alias("h")) for x in lexicon.LANGUAGES])).alias("a")).select("doc_id", F.inline("a"))
-    main = F.col("lang") == "en"
-    return rows.filter(main | (F.col("h") > 0.1)).select("doc_id", "lang", F.round(F.when(main, 0.6).otherwise(F.least(F.col("h"), F.lit(0.6 * 0.8))), 6).alias("confidence"))
-
-
 DOCS = "SELECT doc_id, text FROM documents"
 
 
