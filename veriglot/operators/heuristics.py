@@ -72,11 +72,11 @@ def heading_case(t: Column, tag: Column) -> Column:
     return one_if(mixed, issue(SOURCE, "capitalization", "INCONSISTENT_HEADING_CASE", "Mixed case in a heading", "Use title or sentence case", F.lit(0), F.length(t), 0.4))
 
 
-def check(t: Column, config: AuditConfig, tag: Column | None = None, words: Column | None = None) -> Column:
-    """All rules in their order."""
+def check(t: Column, config: AuditConfig, tag: Column | None = None, words: Column | None = None, heard: Column | None = None) -> Column:
+    """All rules in their order. heard: the text as evidence of other languages sees it, where phrases are blanked."""
     target = config.target
     listed = tuple(config.whitelist) or tuple(lexicon.EVIDENCE_WHITELIST)
-    parts = [leaks(t, target, config.leak_threshold, config.min_words, listed, words)]
+    parts = [leaks(t if heard is None else heard, target, config.leak_threshold, config.min_words, listed, words)]
     if config.check_capitals:
         parts += [sentence_capitals(t, target)] + [all_caps(t)] * (target == "en")
     parts += [missing_space(t)] + [inverted_marks(t)] * (target == "es") + [quote_kinds(t)] + ([heading_case(t, tag)] if tag is not None else [])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import lexicon
 from ..config import AuditConfig
 from ..functions import text as T
-from . import detect, heuristics, issues, placeholders
+from . import detect, heuristics, issues, placeholders, whitelist
 
 
 def gate(t: Column, least: int = 3) -> Column:
@@ -41,9 +44,9 @@ def block_leak(config: AuditConfig) -> Column:
 KEYS = ["page_id", "block_idx"]
 
 
-def _rules(config: AuditConfig, tag: Column | None) -> Column:
+def _rules(config: AuditConfig, tag: Column | None, heard: Column | None) -> Column:
     t = F.col("text")
-    checked = F.concat(placeholders.check(t, config.target, config.check_quotes), heuristics.check(t, config, tag, F.col("_words")))
+    checked = F.concat(placeholders.check(t, config.target, config.check_quotes), heuristics.check(t, config, tag, F.col("_words"), heard))
     return F.concat(block_leak(config), F.when(eligible(config) & gate(t), checked).otherwise(issues.none()))
 
 
@@ -53,12 +56,17 @@ def audited(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None =
     A block's issues are one array, so that nothing is shuffled and each text is read once. grammar: issues of a
     checker (see grammar.match_issues) with page_id, block_idx, seq; they meet their blocks in the only join there is,
     and come after those of the rules. rules: a column to use in place of all rules; it is taken as it is. only: a
-    condition on columns of blocks, which reaches their scan; one on the result would not, as issues are made once."""
+    condition on columns of blocks, which reaches their scan; one on the result would not, as issues are made once.
+    Terms of config.whitelist that have several words silence the evidence and all issues that they cover."""
     if only is not None:
         blocks = blocks.filter(only)
+    phrases = tuple(term for term in config.whitelist if " " in term.strip())
+    if phrases and rules is None:
+        blocks = whitelist.with_phrases(blocks, phrases)
     t, tag = F.col("text"), F.col("tag_name") if "tag_name" in blocks.columns else None
-    known = detected(blocks, config).withColumn("_words", T.once(F.when(eligible(config), T.heuristic_words(t))))  # once for all rules
-    raw = known.withColumn("found", T.once(_rules(config, tag) if rules is None else rules))
+    heard = F.col("masked") if phrases and rules is None else None
+    known = detected(blocks, config).withColumn("_words", T.once(F.when(eligible(config), T.heuristic_words(t if heard is None else heard))))  # once for all rules
+    raw = known.withColumn("found", T.once(_rules(config, tag, heard) if rules is None else rules))
     if grammar is not None:
         fields = [c.split(":")[0].strip() for c in issues.ISSUE.removeprefix("struct<").removesuffix(">").split(", ")]
         per = grammar.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).cast(issues.ISSUE).alias("i")))).alias("_more"))
@@ -67,6 +75,8 @@ def audited(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None =
     if rules is None:
         kept = issues.dedup_array(kept) if config.dedup else kept
         kept = issues.merge_array(kept) if config.merge else kept
+    if heard is not None:
+        kept = whitelist.unsilenced(kept, F.col("phrases"))
     raw = raw.withColumn("found", T.once(kept))
 
     def reported(i: Column) -> Column:
@@ -74,7 +84,7 @@ def audited(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None =
         snippet = F.when(e - s > 100, F.concat(F.substring(t, s + 1, F.lit(100)), F.lit("..."))).otherwise(F.substring(t, s + 1, e - s))
         return F.struct(*[i[c].alias(c) for c in ("s", "e", "type", "source", "rule_id", "message", "suggestion", "confidence", "seq")], issues.severity(i["type"], i["rule_id"], dict(config.severity)).alias("severity"), snippet.alias("snippet"), T.context_window(t, s, e).alias("context"))
 
-    return raw.withColumn("found", T.once(F.transform("found", reported))).drop("_words", "_more")
+    return raw.withColumn("found", T.once(F.transform("found", reported))).drop("_words", "_more", "phrases", "masked")
 
 
 def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = None, only: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -83,6 +93,25 @@ def audit(blocks: DataFrame, config: AuditConfig, grammar: DataFrame | None = No
     return audited(blocks, config, grammar, only=only).select(*KEYS, *carry, F.inline("found"))
 
 
+def observed(checked: DataFrame) -> tuple[DataFrame, Observation]:
+    """audited() blocks, and what their own pass counts: blocks, checked (blocks with issues), issues, and issues by
+    severity and by verifier. The observation is ready after the first action on the blocks; nothing is read twice."""
+    seen = Observation()
+    counts = {"blocks": F.count(F.lit(1)), "checked": F.count_if(F.size("found") > 0), "issues": F.sum(F.size("found"))}
+    counts |= {s: F.sum(F.size(F.filter(F.col("found.severity"), equals(s)))) for s in SEVERITIES}
+    counts |= {f"by_{v}": F.sum(F.size(F.filter(F.col("found.source"), equals(v)))) for v in ("analyzer", "heuristic", "placeholder", "languagetool")}
+    return checked.observe(seen, *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in counts.items()]), seen
+
+
+def run_metrics(checked: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, float]:
+    """Writes audited() blocks by `write` and returns observed() counts and the seconds that it took."""
+    blocks, seen = observed(checked)
+    began = time.perf_counter()
+    write(blocks)
+    seconds = time.perf_counter() - began
+    return {**seen.get, "seconds": seconds}
+
+
 def overall(critical: Column, errors: Column, warnings: Column, blocks: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.least((critical * 0.5 + errors * 0.2 + warnings * 0.05) / F.greatest(F.lit(1), blocks), F.lit(1.0)))
 
