@@ -216,10 +216,10 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def log_length(v: Column) -> Column:
     """The binary logarithm of a vector's length, whatever its components' magnitude."""
+    plain = F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c)
     top = F.array_max(F.transform(v, F.abs))
-    # a component below 2^-500 of the largest doesn't count, and a quotient of subnormals is exact enough
-    rest = F.aggregate(F.transform(v, lambda c: F.pow(c / top, F.lit(2.0))), F.lit(0.0), lambda a, c: a + c)
-    return F.log2(top) + F.log2(rest) / 2
+    scaled = F.log2(top) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, c: a + (c / top) * (c / top))) / 2
+    return F.when(plain.between(1e-200, 1e200), F.log2(plain) / 2).otherwise(scaled)
 
 
 def _small(x: np.ndarray, exponent: int) -> np.ndarray:
