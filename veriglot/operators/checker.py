@@ -165,7 +165,7 @@ def _checked(texts: list[str | None], checker: Checker, client: Client | None, u
 
 
 def run(blocks: DataFrame, checkers: dict[str, Checker], keys: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """keys, verifier, matches, error, checks (texts sent) and seconds: a row for each block and checker. Null and empty
+    """keys, verifier, matches, error, checks (pieces of the text that were sent) and seconds: a row for each block and checker. Null and empty
     texts aren't sent. Where a text or one of its pieces fails, error says why and matches is empty."""
     keys = keys or KEYS
     rows = blocks.select(*keys, F.col(text_col).alias("_text"))
@@ -201,6 +201,7 @@ def failures(checked: DataFrame) -> DataFrame:
 
 
 def stats(checked: DataFrame) -> DataFrame:
-    """For each verifier: blocks, checks, issues, failures, total and average seconds of a check."""
-    total = F.sum("seconds")
-    return checked.groupBy("verifier").agg(F.count(F.lit(1)).alias("blocks"), F.sum("checks").alias("checks"), F.sum(F.size("matches")).cast("long").alias("issues"), F.count("error").alias("failures"), total.alias("seconds"), F.coalesce(F.try_divide(total, F.sum("checks")), F.lit(0.0)).alias("average_seconds"))
+    """For each verifier: blocks, checks (blocks that were sent, in however many pieces), issues, failures, total and
+    average seconds of a check."""
+    total, sent = F.sum("seconds"), F.count_if(F.col("checks") > 0)
+    return checked.groupBy("verifier").agg(F.count(F.lit(1)).alias("blocks"), sent.alias("checks"), F.sum(F.size("matches")).cast("long").alias("issues"), F.count("error").alias("failures"), total.alias("seconds"), F.coalesce(F.try_divide(total, sent), F.lit(0.0)).alias("average_seconds"))
