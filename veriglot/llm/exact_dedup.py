@@ -22,7 +22,8 @@ FIRST, GROWTH, WIDEST = 64, 32, 1 << 20
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = FIRST, growth: int = GROWTH, widest: int = WIDEST) -> DataFrame:
     """One row for each input row: id, keep_id (largest id of the group), group_size, text_sha256 (of the normalised
     text). Null texts count as empty. Rows that share an id are rows of their own and count each; a null id never is
-    a keep_id unless the whole group has null ids."""
+    a keep_id unless the whole group has null ids. Very long texts take more rounds, none is cut; an empty table gives no
+    rows; other columns stay behind, whatever their names."""
     text = ascii_lower(text_or_empty(text_col)).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("rest")).select("id", "rest", F.octet_length("rest").cast("long").alias("gid"), F.sha2("rest", 256).alias("sha"))
     done, at, width = [], 0, first

@@ -146,7 +146,9 @@ def viterbi(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, penalty:
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score and spans (start:end:language in code points, comma-joined) of each whole text. lang_pred
     is the language with most letters in its spans (ties: first by name) and score their share of all letters; texts
-    that are null or without a letter get `und` and 0, as does every text when no language was learned."""
+    that are null or without a letter get `und` and 0, as does every text when no language was learned. Repeated rows and ids are
+    identified one by one, texts read whole, however long; an empty table gives no rows, and other columns stay behind,
+    whatever their names (see identify_rows())."""
 
     def start():
         known: dict[str, int] = {}

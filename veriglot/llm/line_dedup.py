@@ -34,7 +34,8 @@ def _line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """id, row, dropped (sorted positions of dropped lines) for each document that loses lines; see bitmap(). A line
     repeated inside one document counts that document once and, where the document is the largest that holds it, all
-    its occurrences stay. Null ids are one smallest id."""
+    its occurrences stay. Null ids are one smallest id. Very long texts are arrays of lines in their row; an empty table
+    gives no rows; other columns stay behind."""
     lines = materialise(_line_rows(docs, id_col, text_col, min_chars), "lines")
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))).repartitionByRange("h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("id"), "row", "pos")

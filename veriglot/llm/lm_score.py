@@ -119,7 +119,8 @@ def model(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFr
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens (bytes), target_loss, background_loss (means) and score for each row of docs. target: ids of target
     documents, with or without repeats. Null and empty texts have no token, no loss (null) and score 0; repeated rows
-    are counted and scored each; without a target document the target model gives even chances."""
+    are counted and scored each; without a target document the target model gives even chances. Very long
+    texts are counted and scored in successive blocks; an empty table gives no rows; other columns stay behind."""
     wanted = target.select(F.col(target.columns[0]).alias("wanted")).filter("wanted is not null").distinct()
     flagged = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wanted"), "left")  # texts stream past a table of ids
     blocks = materialise(_blocks(flagged.select("id", F.col("wanted").isNotNull().alias("target"), "text")), "blocks")

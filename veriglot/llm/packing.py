@@ -216,7 +216,8 @@ def size_of(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
 def pack_groups(tokens: DataFrame, n_docs: int, n_bytes: int = 0, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (the piece).
     Groups are drawn by a hash of id and ids; repeated rows are documents of their own. n_docs and n_bytes only set the
-    number of groups."""
+    number of groups. Null ids are ids like others; a very long document fills whole sequences and is cut at the end; an
+    empty table gives no rows. Rows that are equal in id and text meet in one group."""
     groups = max(1, -(-n_docs // group_docs), -(-n_bytes // GROUP_BYTES))
     schema = with_id(tokens, id_col, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
