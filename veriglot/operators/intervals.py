@@ -17,11 +17,13 @@ def _levels(s: Column, e: Column) -> Column:
     return F.ceil(F.log2(F.greatest(e - s, F.lit(1)).cast("double"))).cast("int")
 
 
-def _binned(df: DataFrame, s: str, e: str, top: int, prefix: str) -> DataFrame:
-    """A row for each level from the interval's own up to top and each bin there; empty intervals and null bounds go."""
+def _binned(df: DataFrame, s: str, e: str, met: list[int], prefix: str) -> DataFrame:
+    """A row for the interval's own level and each higher one of the other side's (met), and each bin there; empty
+    intervals and null bounds go."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"{prefix}row")
+    others = F.array(*map(F.lit, met)).cast("array<int>")
     kept = df.select(row, F.col(f"`{s}`").cast("long").alias("s"), F.col(f"`{e}`").cast("long").alias("e")).filter("s < e")
-    each = kept.withColumn("own", _levels(F.col("s"), F.col("e"))).withColumn("level", F.explode(F.sequence("own", F.greatest(F.lit(top), F.col("own")))))
+    each = kept.withColumn("own", _levels(F.col("s"), F.col("e"))).withColumn("level", F.explode(F.concat(F.array("own"), F.filter(others, lambda x: x > F.col("own")))))
     each = each.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / F.pow(F.lit(2.0), "level")), F.floor((F.col("e") - 1) / F.pow(F.lit(2.0), "level")))))
     return each.select(f"{prefix}row", F.col("s").alias(f"{prefix}s"), F.col("e").alias(f"{prefix}e"), F.col("own").alias(f"{prefix}own"), F.col("level").alias(f"{prefix}level"), F.col("bin").alias(f"{prefix}bin"))
 
@@ -29,9 +31,11 @@ def _binned(df: DataFrame, s: str, e: str, top: int, prefix: str) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_at: tuple[str, str] = ("s", "e"), right_at: tuple[str, str] = ("s", "e")) -> DataFrame:
     """left_row, right_row (structs of all columns), from and to (the part they share) of each pair of equal keys whose
     half-open intervals overlap. Rows that repeat count each; null keys meet nothing."""
-    longest = [df.agg(F.max(_levels(F.col(f"`{s}`").cast("long"), F.col(f"`{e}`").cast("long"))).alias("m")).first().m for df, (s, e) in ((left, left_at), (right, right_at))]
-    top = max((m for m in longest if m is not None), default=0)
-    a, b = _binned(left, *left_at, top, "left_"), _binned(right, *right_at, top, "right_")
+    def occurring(df: DataFrame, s: str, e: str) -> list[int]:
+        """The levels of a side: at most one for each power of two that a long holds."""
+        return sorted(r.m for r in df.select(_levels(F.col(f"`{s}`").cast("long"), F.col(f"`{e}`").cast("long")).alias("m")).filter("m is not null").distinct().collect())
+
+    a, b = _binned(left, *left_at, occurring(right, *right_at), "left_"), _binned(right, *right_at, occurring(left, *left_at), "right_")
     same = (F.col("left_level") == F.col("right_level")) & (F.col("left_bin") == F.col("right_bin"))
     for k in keys:
         same = same & (F.col(f"left_row.`{k}`") == F.col(f"right_row.`{k}`"))
