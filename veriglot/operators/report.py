@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import lexicon
 from ..config import AuditConfig
 from ..functions import text as T
+from ..sources import sink
 from . import detect, heuristics, issues, placeholders, whitelist
 
 
@@ -139,10 +140,10 @@ def equals(value: str):
     return lambda x: x == value
 
 
-def score_pages(checked: DataFrame, config: AuditConfig) -> DataFrame:
-    """page_id, totals, counts by severity, overall_score and purity for each page of audited() blocks. Issues are
-    counted in their arrays, and blocks are added up before the only shuffle."""
-    per = [F.sum(F.size("found")).alias("issues"), *_severities()]
+def score_pages(checked: DataFrame, config: AuditConfig, *also: Column) -> DataFrame:
+    """page_id, totals, counts by severity, overall_score and purity for each page of audited() blocks, and the aggregates
+    `also`. Issues are counted in their arrays, and blocks are added up before the only shuffle."""
+    per = [F.sum(F.size("found")).alias("issues"), *_severities(), *also]
     return _scored(checked.groupBy("page_id").agg(*_totals(config, checked.columns), *per))
 
 
@@ -195,8 +196,8 @@ def page_error(pages: DataFrame) -> DataFrame:
 CSV_COLUMNS = ["url", "target_lang", "issue_type", "severity", "message", "suggestion", "snippet", "xpath", "confidence"]
 
 
-def csv_rows(found: DataFrame, target: str) -> DataFrame:
-    return found.select("url", F.lit(target).alias("target_lang"), F.col("type").alias("issue_type"), "severity", "message", F.coalesce("suggestion", F.lit("")).alias("suggestion"), "snippet", "xpath", "confidence")
+def csv_rows(found: DataFrame, target: str, *also: str) -> DataFrame:
+    return found.select(*also, "url", F.lit(target).alias("target_lang"), F.col("type").alias("issue_type"), "severity", "message", F.coalesce("suggestion", F.lit("")).alias("suggestion"), "snippet", "xpath", "confidence")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -219,6 +220,67 @@ def write_html(stats: DataFrame, path: str) -> None:
     head.unionAll(html_rows(stats)).unionAll(foot).write.text(path)
 
 
+def _escaped(c: Column) -> Column:
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return F.regexp_replace(text, "[\\r\\n]+", " ")
+
+
+HTML_HEAD = "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Translation audit</title></head><body><h1>Translation audit</h1>"
+
+
+def html_sections(stats: DataFrame) -> DataFrame:
+    """page_id, block_idx and seq (null) and value: the heading of each page's section, from rows of score_pages() and url, if
+    there is one."""
+    named = F.col("url") if "url" in stats.columns else F.col("page_id")
+    score = F.floor(F.col("overall_score") * 100).cast("string")
+    value = F.concat(F.lit("<h2>"), _escaped(named), F.lit("</h2><p>"), F.col("total_blocks").cast("string"), F.lit(" blocks, "), F.col("issues").cast("string"), F.lit(" issues, score "), score, F.lit("</p>"))
+    return stats.select("page_id", F.lit(None).cast("int").alias("block_idx"), F.lit(None).cast("int").alias("seq"), value.alias("value"))
+
+
+def html_issues(checked: DataFrame) -> DataFrame:
+    """page_id, block_idx, seq and value: a line for each issue of audited() blocks."""
+    parts = [F.lit("<div class='"), F.col("severity"), F.lit("'><b>"), F.col("type"), F.lit("</b> ("), F.col("severity"), F.lit(") "), _escaped(F.col("message")), F.lit(" <code>"), _escaped(F.col("snippet")), F.lit("</code>")]
+    advice = F.when(F.coalesce(F.col("suggestion"), F.lit("")) != "", F.concat(F.lit(" <i>"), _escaped(F.col("suggestion")), F.lit("</i>"))).otherwise("")
+    return checked.select(*KEYS, F.inline("found")).select("page_id", F.col("block_idx").cast("int").alias("block_idx"), F.col("seq").cast("int").alias("seq"), F.concat(*parts, advice, F.lit("</div>")).alias("value"))
+
+
+def html_lines(checked: DataFrame, config: AuditConfig) -> DataFrame:
+    """at (0 head, 1 pages, 2 foot), page_id, block_idx, seq and value: the lines of a report on audited() blocks, each
+    page's heading before the issues of its blocks. A page's issues are lines of their own, however many there are. Texts
+    are escaped, and their line breaks are spaces. The first url of a page, if blocks have one, names it. Rows without page_id
+    are a section of their own, the first one."""
+    urls = [F.min("url").alias("url")] if "url" in checked.columns else []
+    stats = score_pages(checked, config, *urls)
+    at = lambda n: F.lit(n).alias("at")
+    total = stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("issues"), F.lit(0)).alias("i"))
+    place = [F.lit(None).cast(checked.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("int").alias("block_idx"), F.lit(None).cast("int").alias("seq")]
+    head = total.select(at(0), *place, F.concat(F.lit(HTML_HEAD + "<p>"), F.col("n").cast("string"), F.lit(" pages, "), F.col("i").cast("string"), F.lit(" issues</p>")).alias("value"))
+    foot = total.select(at(2), *place, F.lit("</body></html>").alias("value"))
+    return head.unionAll(html_sections(stats).select(at(1), "*")).unionAll(html_issues(checked).select(at(1), "*")).unionAll(foot)
+
+
+def write_html_report(checked: DataFrame, config: AuditConfig, path: str) -> None:
+    """One HTML file with all issues of audited() blocks, in page order; see sink.write_ordered(). The audit runs once; what
+    it found is held by Spark, on disk where memory ends, while headings, totals and the order are made of it."""
+    held = checked.persist()
+    try:
+        sink.write_ordered(html_lines(held, config), path)
+    finally:
+        held.unpersist()
+
+
+def csv_lines(found: DataFrame, target: str) -> DataFrame:
+    """page_id, block_idx, seq and value: the header (nulls) and a line of CSV for each issue, for sink.write_ordered(); a
+    quote in a field is doubled, and fields may go over several lines."""
+    keys = ["page_id", "block_idx", "seq"]
+    row = csv_rows(found.select("*", F.struct(*keys).alias("_at")), target, "_at")
+    line = F.to_csv(F.struct(*CSV_COLUMNS), {"escape": '"', "quote": '"', "nullValue": "", "emptyValue": ""})
+    head = found.sparkSession.range(1).select(*[F.lit(None).cast(found.schema[k].dataType).alias(k) for k in keys], F.lit(",".join(CSV_COLUMNS)).alias("value"))
+    return head.unionAll(row.select("_at.*", line.alias("value")))
+
+
 def supported_languages(spark) -> DataFrame:
     names = {"es": "Spanish", "en": "English", "nl": "Dutch"}
     return spark.createDataFrame([(code, names[code]) for code in lexicon.LANGUAGES], "code string, name string")
