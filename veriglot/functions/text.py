@@ -23,8 +23,8 @@ EMAIL = r"(?<!\S)\S[^\s@]*+@\S+\.\S+"
 
 def once(c: Column) -> Column:
     """c, computed once for each row: it counts as non-deterministic, so Catalyst neither copies it into the filters
-    above nor merges it into projections that refer to it several times."""
-    return F.when(F.monotonically_increasing_id() >= 0, c)
+    above nor merges it into projections that refer to it several times. Streams take this condition too."""
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
