@@ -91,6 +91,29 @@ def test_gate_and_grammar(spark):
     assert [(c.start, c.text) for c in chunks] == [(0, "Aaa aaa. Bbb bbb."), (18, "Ccc ccc.")]
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("ab \n\t.!?é\U0001f600", max_size=60), min_size=1, max_size=20), st.integers(1, 12))
+def test_chunks_are_parts_of_the_text(spark, texts, longest):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "id int, text string").select("id", grammar.chunks(text(), longest).alias("c"))
+    for r in df.collect():
+        t = [*texts, None][r.id]
+        if t is None or len(t) <= longest:
+            assert r.c == (None if t is None else [(0, t)])
+            continue
+        want, held = [], None
+        for m in re.finditer(r"[^.!?]*[.!?]+\s*|[^.!?]+$", t):
+            bare = m[0].strip()
+            if bare:
+                begin = m.start() + m[0].index(bare)
+                if held and begin + len(bare) - held[0] <= longest:
+                    held = (held[0], begin + len(bare))
+                else:
+                    want += [held] if held else []
+                    held = (begin, begin + len(bare))
+        want += [held] if held else []
+        assert [(c.start, c.text) for c in r.c] == [(a, t[a:b]) for a, b in want]
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text("ab {}.!AÉé\n", max_size=30), min_size=1, max_size=20))
 def test_places_are_those_of_python(spark, texts):

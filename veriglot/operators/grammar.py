@@ -60,21 +60,37 @@ def match_stats(issues: DataFrame) -> DataFrame:
     return issues.groupBy("type", "own_severity").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("rule_id").alias("rules"), F.avg("confidence").alias("confidence"))
 
 
+#: A sentence with its closing signs and the white space behind it, or what is left.
+SENTENCE = r"(?U)[^.!?]*[.!?]+\s*|[^.!?]+$"
+
+
 def sentences(t: Column) -> Column:
     """Sentences with their closing signs, stripped; what has no closing sign comes last."""
-    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?U)[^.!?]*[.!?]+\s*|[^.!?]+$"), F.lit(0)), T.strip), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0)), T.strip), lambda s: s != "")
 
 
 def chunks(t: Column, longest: int = 20_000) -> Column:
-    """array<struct<start, text>>: sentences joined by a space while they fit, and where each chunk begins if its
-    sentences follow one another with single spaces."""
-    start = F.struct(F.expr("cast(array() as array<struct<start: int, text: string>>)").alias("out"), F.lit("").alias("held"), F.lit(0).alias("at"))
+    """array<struct<start, text>>: successive sentences while they fit, as the part of the text from the first one's begin to
+    the last one's end, so that a place in a chunk is its start further in the text, whatever white space lies between
+    sentences. A sentence that is longer is a chunk by itself. A text that fits is one chunk as it is; null gives null."""
+    span = "struct<start: int, stop: int>"
+    start = F.struct(F.expr(f"cast(array() as array<{span}>)").alias("out"), F.lit(0).alias("at"), F.lit(None).cast(span).alias("held"))
 
     def step(acc: Column, s: Column) -> Column:
-        fits = (acc["held"] == "") | (F.length(acc["held"]) + 1 + F.length(s) <= longest)
-        joined = F.when(acc["held"] == "", s).otherwise(F.concat(acc["held"], F.lit(" "), s))
-        out = F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), acc["held"].alias("text")))))
-        return F.struct(out.alias("out"), F.when(fits, joined).otherwise(s).alias("held"), F.when(fits, acc["at"]).otherwise(acc["at"] + F.length(acc["held"]) + 1).alias("at"))
-
-    last = lambda acc: F.when(acc["held"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), acc["held"].alias("text")))))
-    return F.when(F.length(t) <= longest, F.array(F.struct(F.lit(0).alias("start"), t.alias("text")))).otherwise(F.aggregate(sentences(t), start, step, last))
+        def found(bare: Column) -> Column:
+            begin = acc["at"] + F.position(bare, s) - 1
+            stop = begin + F.length(bare)
+            fits = acc["held"].isNull() | (stop - acc["held"]["start"] <= longest)
+            own = F.struct(F.when(fits, F.coalesce(acc["held"]["start"], begin)).otherwise(begin).alias("start"), stop.alias("stop"))
+            out = F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+            blank = F.length(bare) == 0
+            return F.struct(F.when(blank, acc["out"]).otherwise(out).alias("out"), (acc["at"] + F.length(s)).alias("at"), F.when(blank, acc["held"]).otherwise(own).alias("held"))
+
+        return T.bind(T.strip(s), found)
+
+    last = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+    # a text that doesn't fit is cut into its sentences with the white space around them, which leaves nothing out
+    whole = F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0))
+    spans = F.aggregate(whole, start, step, last)
+    cut = F.transform(spans, lambda p: F.struct(p["start"].alias("start"), F.substring(t, p["start"] + 1, p["stop"] - p["start"]).alias("text")))
+    return F.when(F.length(t) <= longest, F.array(F.struct(F.lit(0).alias("start"), t.alias("text")))).when(t.isNotNull(), cut)
