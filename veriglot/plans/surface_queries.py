@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import report, table_functions
-from ..sources import html
+from ..sources import html, tables
 from ..streaming import scores
 from . import fitted_queries, issue_queries, text_queries
 from .registry import ORACLE_SQL, query
@@ -62,7 +62,7 @@ def html_report_lines(spark, sf_dir):
 
 def turns(spark, sf_dir):
     """Turns of conversations as blocks of pages."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("block_idx"), "text")
+    return tables.spread(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("block_idx"), "text"))
 
 
 @query("conversation_scores")
