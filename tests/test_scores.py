@@ -19,6 +19,7 @@ BLOCK = "page_id long, block_idx int, text string, version long"
 
 @pytest.fixture(scope="module")
 def rocks(spark):
+    pytest.importorskip("google.protobuf", reason="transformWithState talks to its state in protobuf")
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, scores.ROCKSDB)
     yield spark
