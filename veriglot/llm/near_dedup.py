@@ -5,9 +5,10 @@ BANDS bands of ROWS coordinates are bucket keys, and links are confirmed by the
 
 Texts with equal sets are one class with one representative, so copies never form pairs. Of each bucket, every member
 is compared with one leader; where a bucket then still holds members of several components, these are compared across
-components: in small buckets by pairs that pass a filter on sizes and b-bit sketches, in large ones with further
-leaders and then by full sets, in blocks, of which one link for each member and other component comes out. So no link
-inside a bucket goes untested unless its two ends are connected already.
+components: in small buckets by pairs, in large ones with further leaders and then by full sets, in blocks, of which
+one link for each member and other component comes out. So no link inside a bucket goes untested unless its two ends
+are connected already. Pairs get their texts only after a filter on sizes and b-bit sketches, and each round links
+the components of the round before, not documents.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import map_slices, materialise, packed_rows, small_batches, text_or_empty, with_id
 
@@ -29,7 +31,9 @@ EXTRA, LEAST = 64, 108
 SKETCH = BANDS * ROWS + EXTRA
 #: Buckets above this size get further leaders, and then their members' full sets are compared in blocks of BLOCK.
 #: A block's members have BLOCK_SHINGLES shingles together on average, if that makes it smaller.
-LARGE, BLOCK, BLOCK_SHINGLES, LEADER_ROUNDS = 16, 1500, 1_500_000, 2
+LARGE, BLOCK, BLOCK_SHINGLES = 16, 1500, 1_500_000
+#: Columns of a pair: two ids, the smaller one first, and the components they were in when it was made.
+PAIR = ("a", "b", "of_a", "of_b")
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -116,10 +120,29 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_slices(docs.select(F.col(id_col), text_or_empty(text_col)), with_id(docs, id_col, "n_shingles bigint, set_hash binary, bands array<bigint>, sketch binary", "id"), 1, start)
 
 
+def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of distinct pairs those whose sizes and sketches allow a link."""
+    for side in "ab":
+        theirs = sketches.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        pairs = pairs.join(theirs.hint("merge"), side)
+    share, of = SIMILAR
+    sizes = F.least("n_a", "n_b") * of >= F.greatest("n_a", "n_b") * share
+
+    def start():
+        def columns(batch: pa.RecordBatch) -> list:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (4, 5))
+            keep = pa.array((x == y).sum(1) >= LEAST)
+            return [batch.column(k).filter(keep) for k in range(4)]
+
+        return columns
+
+    return map_slices(pairs.filter(sizes).select(*PAIR, "sketch_a", "sketch_b"), pairs.select(*PAIR).schema, None, start)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those whose shingle sets are similar enough."""
+    """Of distinct pairs those whose shingle sets are similar enough."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").select("a", "text_a", "b", "text_b")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").select(*PAIR, "text_a", "text_b")
     share, of = SIMILAR
 
     def start():
@@ -129,18 +152,18 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         def columns(batch: pa.RecordBatch) -> list:
             nonlocal last
             linked = []
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 if y != last[0]:
                     last = (y, shingles(y))
                 p, q = shingles(x), last[1]
                 same = len(p) + len(q) - len(np.union1d(p, q))
                 linked.append(of * same >= share * (len(p) + len(q) - same))
             keep = pa.array(linked, pa.bool_())
-            return [batch.column(0).filter(keep), batch.column(2).filter(keep)]
+            return [batch.column(k).filter(keep) for k in range(4)]
 
         return columns
 
-    return map_slices(both, pairs.select("a", "b").schema, (1, 3), start)
+    return map_slices(both, pairs.select(*PAIR).schema, (4, 5), start)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -158,29 +181,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_rows(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) of all ids after links between components."""
+    found = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return materialise(labels.join(found.hint("merge"), "component", "left").select("id", F.coalesce("now", "component").alias("component")), "components")
+
+
+def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components, with their component and the bucket's size."""
-    if links is not None:
-        found = components(links)
-        rows = rows.drop("component").join(found.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = rows.select("id", "n_shingles", "key").join(labels.hint("merge"), "id")
     per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("load"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     per = materialise(per, "open-buckets")  # as a table of its own, so that a hot bucket's partition can be split
-    return rows.drop("size", "load").join(per.select("key", "size", "load").hint("merge"), "key")
+    return materialise(rows.join(per.select("key", "size", "load").hint("merge"), "key"), "open")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Distinct pairs of the columns x, y and of_x, of_y."""
+    up = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(up, F.col("of_x")).otherwise(F.col("of_y")).alias("of_a"), F.when(up, F.col("of_y")).otherwise(F.col("of_x")).alias("of_b")).distinct()
 
 
-def _star(rows: DataFrame, salt: int) -> DataFrame:
-    """Each member with its bucket's leader, if both are of different components. The leader is the member of smallest
-    id (salt 0), the one that is in most of these buckets (1), or that of smallest salted hash."""
-    if salt == 1:
+def _star(rows: DataFrame, further: bool = False) -> DataFrame:
+    """Each member with its bucket's leader, if both are of different components: the member of smallest id, or, as
+    further leaders, the one that is in most of these buckets and the one of smallest hash."""
+    ranks = {"first": F.struct("id", "component")}
+    if further:
         rows = rows.join(rows.groupBy("id").agg((-F.count(F.lit(1))).alias("degree")).hint("merge"), "id")
-    rank = {0: [], 1: ["degree"]}.get(salt, [F.xxhash64(F.lit(salt), "id").alias("h")])
-    leaders = rows.groupBy("key").agg(F.min(F.struct(*rank, "id", "component")).alias("leader"))
-    met = rows.join(materialise(leaders, "leaders").hint("merge"), "key").filter("component <> leader.component")
-    return _ordered(met.select(F.col("id").alias("x"), F.col("leader.id").alias("y")))
+        ranks = {"most": F.struct("degree", "id", "component"), "drawn": F.struct(F.xxhash64(F.lit(2), "id"), "id", "component")}
+    leaders = rows.groupBy("key").agg(*[F.min(r).alias(name) for name, r in ranks.items()])
+    leaders = leaders.select("key", F.array_distinct(F.array(*[F.struct(f"{name}.id", f"{name}.component") for name in ranks])).alias("leaders"))
+    met = rows.join(materialise(leaders, "leaders").hint("merge"), "key").select("id", "component", F.explode("leaders").alias("leader"))
+    return _ordered(met.filter("component <> leader.component").select(F.col("id").alias("x"), F.col("leader.id").alias("y"), F.col("component").alias("of_x"), F.col("leader.component").alias("of_y")))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -204,7 +235,7 @@ def similar_sketches(i: int, j: int, block: np.ndarray, ids: np.ndarray, comp: n
     for p in range(len(ids)):
         may = np.flatnonzero((comp != comp[p]) & (ids > ids[p]) & _allowed(n, n[p]))
         may = may[(sketch[may] == sketch[p]).sum(1) >= LEAST]
-        out += [(ids[p], ids[q]) for q in may]
+        out += [(ids[p], ids[q], comp[p], comp[q]) for q in may]
     return out
 
 
@@ -228,7 +259,7 @@ def links_in_blocks(i: int, j: int, block: np.ndarray, ids: np.ndarray, comp: np
         linked = (comp != comp[p]) & (of * same >= share * (n + n[p] - same)) & ((block != block[p]) | (i == j))
         hit = np.flatnonzero(linked)
         for q in hit[np.unique(comp[hit], return_index=True)[1]]:
-            out.append((ids[p], ids[q]))
+            out.append((ids[p], ids[q], comp[p], comp[q]))
     return out
 
 
@@ -240,6 +271,8 @@ def _in_buckets(rows: DataFrame, payload: DataFrame, compare) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "payload")
 
+    names = ["x", "y", "of_x", "of_y"]
+
     def run(batches):
         """Bucket after bucket: rows come sorted, and a bucket may go on in the next batch."""
         held: list[pa.Table] = []
@@ -247,7 +280,7 @@ def _in_buckets(rows: DataFrame, payload: DataFrame, compare) -> DataFrame:
         def done() -> pa.RecordBatch:
             table = pa.concat_tables(held)
             found = compare(table.column("i")[0].as_py(), table.column("j")[0].as_py(), *(table.column(c).to_numpy() for c in ("block", "id", "component", "n_shingles")), table.column("payload").to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], table.schema.field("id").type) for k in (0, 1)], ["x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], table.schema.field("id").type) for k in range(4)], names)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -263,7 +296,7 @@ def _in_buckets(rows: DataFrame, payload: DataFrame, compare) -> DataFrame:
 
     small_batches(rows.sparkSession)
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return _ordered(dealt.mapInArrow(run, rows.select(F.col("id").alias("x"), F.col("id").alias("y")).schema))
+    return _ordered(dealt.mapInArrow(run, StructType([StructField(name, rows.schema["id"].dataType) for name in names])))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,38 +307,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = materialise(profile.filter("id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
     ids = classes.select(F.col("rep").alias("id")).distinct()
     reps = profile.join(ids.hint("merge"), "id", "left_semi")
-    rows = reps.select("id", "n_shingles", F.explode("bands").alias("key"), F.col("id").alias("component"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     shared = materialise(shared, "shared")
-    rows = materialise(rows.join(shared.hint("merge"), "key"), "buckets")
-    wanted = rows.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
+    rows = materialise(rows.join(shared.hint("merge"), "key").select("id", "n_shingles", "key", F.col("id").alias("component")), "buckets")
+    labels = materialise(rows.select("id").distinct().withColumn("component", F.col("id")), "candidates")
+    wanted = labels.select("id").hint("merge")
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(wanted, "id", "left_semi")
     texts = materialise(texts, "candidate-texts")
-    tried = materialise(_star(rows, 0), "pairs")
-    links = materialise(_confirm(tried, texts), "links")
-    rows = materialise(_open_rows(rows, links), "open")
-    for salt in range(1, LEADER_ROUNDS + 1):
-        many = rows.filter(F.col("size") > LARGE)
-        if many.isEmpty():
-            break
-        pairs = materialise(_star(many, salt).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_confirm(pairs, texts), "links")
-        tried, links = tried.unionAll(pairs), links.unionAll(more)
-        rows = materialise(_open_rows(rows, links), "open")
-    sketches = profile.select("id", F.col("sketch").alias("payload")).dropDuplicates(["id"])
-    pairs = _in_buckets(rows.filter(F.col("size") <= LARGE), sketches, similar_sketches)
-    pairs = materialise(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(materialise(_confirm(pairs, texts), "links"))
+    sketches = reps.select("id", "n_shingles", "sketch").join(wanted, "id", "left_semi").dropDuplicates(["id", "sketch"])
+    sketches = materialise(sketches, "sketches")
+    pairs = materialise(_promising(_star(rows), sketches), "pairs")
+    labels = _merged(labels, materialise(_confirm(pairs, texts), "links"))
+    rows = _open_rows(rows, labels)
+    many = rows.filter(F.col("size") > LARGE)
+    if not many.isEmpty():
+        pairs = materialise(_promising(_star(many, further=True), sketches), "pairs")
+        links = materialise(_confirm(pairs, texts), "links")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+            rows = _open_rows(rows, labels)
+    pairs = materialise(_in_buckets(rows.filter(F.col("size") <= LARGE), sketches.select("id", F.col("sketch").alias("payload")), similar_sketches), "pairs")
+    links = materialise(_confirm(pairs, texts), "links")
     large = rows.filter(F.col("size") > LARGE)
     if not large.isEmpty():
         sets = materialise(_sets(texts.join(large.select("id").distinct().hint("merge"), "id", "left_semi")), "sets")
         links = links.unionAll(materialise(_in_buckets(large, sets, links_in_blocks), "links"))
+    if not links.isEmpty():
+        labels = _merged(labels, links)
+    home = classes.join(labels.hint("merge"), classes["rep"] == labels["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     # rows that share an id link the classes of their texts
     reach = profile.select("id", "set_hash").filter("id is not null and set_hash is not null").distinct()
     doubled = reach.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    bridges = reach.join(doubled.hint("merge"), "id").join(classes.hint("merge"), "set_hash").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = components(links.unionAll(bridges))
-    home = classes.join(found.hint("merge"), classes["rep"] == found["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    bridges = materialise(reach.join(doubled.hint("merge"), "id").join(home.hint("merge"), "set_hash").select("id", "component"), "bridges")
+    if not bridges.isEmpty():
+        low = bridges.groupBy("id").agg(F.min("component").alias("a"))
+        found = components(bridges.join(low.hint("merge"), "id").filter("component <> a").select("a", F.col("component").alias("b")).distinct())
+        found = found.select(F.col("id").alias("component"), F.col("component").alias("now"))
+        home = home.join(found.hint("merge"), "component", "left").select("set_hash", F.coalesce("now", "component").alias("component"))
     out = profile.join(home.hint("merge"), "set_hash", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
