@@ -318,16 +318,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sketches = reps.select("id", "n_shingles", "sketch").join(wanted, "id", "left_semi").dropDuplicates(["id", "sketch"])
     sketches = materialise(sketches, "sketches")
     pairs = materialise(_promising(_star(rows), sketches), "pairs")
+    tried = pairs.select("a", "b")
     labels = _merged(labels, materialise(_confirm(pairs, texts), "links"))
     rows = _open_rows(rows, labels)
     many = rows.filter(F.col("size") > LARGE)
     if not many.isEmpty():
-        pairs = materialise(_promising(_star(many, further=True), sketches), "pairs")
-        links = materialise(_confirm(pairs, texts), "links")
+        more = _promising(_star(many, further=True), sketches).join(tried.hint("merge"), ["a", "b"], "left_anti").select(*PAIR)
+        more = materialise(more, "pairs")
+        tried = tried.unionAll(more.select("a", "b"))
+        links = materialise(_confirm(more, texts), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
             rows = _open_rows(rows, labels)
-    pairs = materialise(_in_buckets(rows.filter(F.col("size") <= LARGE), sketches.select("id", F.col("sketch").alias("payload")), similar_sketches), "pairs")
+    pairs = _in_buckets(rows.filter(F.col("size") <= LARGE), sketches.select("id", F.col("sketch").alias("payload")), similar_sketches)
+    pairs = materialise(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti").select(*PAIR), "pairs")
     links = materialise(_confirm(pairs, texts), "links")
     large = rows.filter(F.col("size") > LARGE)
     if not large.isEmpty():
