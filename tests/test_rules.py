@@ -78,6 +78,14 @@ def test_merge(spark):
     assert sorted(issues.dedup(once, ["id"]).collect()) == sorted(once.collect())
 
 
+def test_merge_ties(spark):
+    """Of equally sure issues of a chain with the same seq, the first by place stands for it, wherever rows come from."""
+    made = [(1, 0, 30, "a", "languagetool"), (1, 10, 40, "b", "placeholder"), (1, 20, 50, "c", "heuristic")]
+    df = spark.createDataFrame([(*m, 7, 0.5, "P", None, "R") for m in made], "id int, s int, e int, message string, source string, seq int, confidence double, type string, suggestion string, rule_id string")
+    for ordered in (df.coalesce(1), df.orderBy(F.desc("s")).coalesce(1)):
+        assert [(r.s, r.e, r.source) for r in issues.merge(ordered, ["id"]).collect()] == [(0, 50, "languagetool")]
+
+
 def test_score(spark):
     assert spark.range(1).select(report.overall(F.lit(0), F.lit(1), F.lit(2), F.lit(4)).alias("x")).first().x == pytest.approx(0.925)
 
