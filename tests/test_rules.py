@@ -86,6 +86,11 @@ def test_merge_ties(spark):
         assert [(r.s, r.e, r.source) for r in issues.merge(ordered, ["id"]).collect()] == [(0, 50, "languagetool")]
 
 
+@pytest.mark.parametrize(("word", "capital"), [("ßer", "ẞer"), ("étÉ", "Été"), ("ŉx", "ŉx"), ("ﬁx", "ﬁx"), ("ᾀx", "ᾈx"), ("xİB", "Xib"), ("xΑΣ", "Xασ"), ("a", "A"), ("", "")])
+def test_capitalized(spark, word, capital):
+    assert one(spark, word, T.capitalized(text())) == capital
+
+
 def test_score(spark):
     assert spark.range(1).select(report.overall(F.lit(0), F.lit(1), F.lit(2), F.lit(4)).alias("x")).first().x == pytest.approx(0.925)
 
