@@ -1,8 +1,22 @@
 """What is made once, in slices or not at all gives what it gave before."""
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from veriglot.functions import text as T
 from veriglot.functions.batches import slices
+from veriglot.operators import detect
+from veriglot.plans import fitted_queries
+
+TEXTS = ["", " ", "a", " a ", " \tab\n", "x" * 19, "x" * 20, "a" + " " * 17 + "b", "a" + " " * 18 + "b", " " * 40, "\n" * 30 + "é", "😀" * 20, None]
+
+
+@pytest.mark.parametrize("least", [0, 1, 2, 20])
+def test_reaches(spark, least):
+    t = F.col("text")
+    df = spark.createDataFrame([(x,) for x in TEXTS], "text string").select("text", T.reaches(t, least).alias("got"), (F.length(T.strip(t)) >= least).alias("want"))
+    assert [r for r in df.collect() if r.got != r.want] == []
 
 
 def test_slices():
@@ -10,3 +24,19 @@ def test_slices():
     got = list(slices(iter([batch, batch.slice(0, 0)]), most=4))
     assert [b.num_rows for b in got] == [3, 1, 2, 0]
     assert pa.Table.from_batches(got) == pa.Table.from_batches([batch])
+
+
+def test_votes_once(spark, monkeypatch):
+    """Weights and scores come from the same votes."""
+    made = []
+    three = detect.three_votes
+    monkeypatch.setattr(detect, "three_votes", lambda *a: made.append(1) or three(*a))
+    fitted_queries.vote_weighted_measured(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+
+
+def test_hints_of_characters(spark):
+    t = F.col("text")
+    df = spark.createDataFrame([("ij IJ bij",), ("niño ëë",), ("plain",), ("",), ("ÀB",)], "text string").select(*[c.alias(k) for k, c in T.char_hints(t).items()])
+    got = [tuple(None if v is None else round(v, 6) for v in r) for r in df.collect()]
+    assert got == [(None, round(3 / 9, 6), 0.1), (round(1 / 7, 6), round(2 / 7, 6), None), (None, None, 0.1), (None, None, 0.1), (None, None, None)]
