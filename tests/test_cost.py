@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from veriglot.functions import text as T
 from veriglot.functions.batches import slices
 from veriglot.operators import detect
-from veriglot.plans import fitted_queries
+from veriglot.plans import fitted_queries, rule_queries
+from veriglot.sources import tables
 
 TEXTS = ["", " ", "a", " a ", " \tab\n", "x" * 19, "x" * 20, "a" + " " * 17 + "b", "a" + " " * 18 + "b", " " * 40, "\n" * 30 + "é", "😀" * 20, None]
 
@@ -40,3 +41,26 @@ def test_hints_of_characters(spark):
     df = spark.createDataFrame([("ij IJ bij",), ("niño ëë",), ("plain",), ("",), ("ÀB",)], "text string").select(*[c.alias(k) for k, c in T.char_hints(t).items()])
     got = [tuple(None if v is None else round(v, 6) for v in r) for r in df.collect()]
     assert got == [(None, round(3 / 9, 6), 0.1), (round(1 / 7, 6), round(2 / 7, 6), None), (None, None, 0.1), (None, None, 0.1), (None, None, None)]
+
+
+def dealt(df):
+    """How many partitions have rows."""
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_spread_of_one_row_group(spark, tmp_path):
+    """A file of one row group is dealt out, though it has more splits than there are cores."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and dealt(df) == 1
+        assert dealt(tables.spread(df)) == spark.sparkContext.defaultParallelism
+        assert tables.spread(df).count() == 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_parts_are_dealt_out(spark):
+    assert dealt(rule_queries.made(spark, "/root/testdata/sf0.001")) > 1

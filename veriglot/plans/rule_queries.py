@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import grammar, heuristics, placeholders
 from ..operators.issues import unnest
 from ..operators.report import gate
+from ..sources import tables
 from . import duck
 from .registry import query
 from .text_queries import docs, long, table, text
@@ -31,7 +32,7 @@ MADE = """SELECT p_partkey AS id, CASE p_partkey % 10
 
 
 def made(spark, sf_dir) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    tables.spread(table(spark, sf_dir, "part")).createOrReplaceTempView("part")
     return spark.sql(MADE)
 
 
