@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from veriglot import lexicon
 from veriglot.functions import text as T
 from veriglot.functions.batches import slices
 from veriglot.operators import detect
@@ -64,3 +65,35 @@ def test_spread_of_one_row_group(spark, tmp_path):
 
 def test_parts_are_dealt_out(spark):
     assert dealt(rule_queries.made(spark, "/root/testdata/sf0.001")) > 1
+
+
+def test_hints_once(spark):
+    """Hints beside a detection take its tokens once."""
+    df = spark.createDataFrame([("de casa the el",)], "text string").select(detect.hint_alternatives(F.col("text"), F.lit("en"), F.rand(1)).alias("a"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("{4,}") == 1
+
+
+ODD = ["", " ", None, "ABC ABCé A1b b1 ab é ÿes Ëen foo_bar x-ray él ab‍c KKel Å İJ", "see http://a.example/the and www.x.nl or me@b.example the.com a.net", "the a an the  a\tan end ending ed bed. the", "el la los las a nación ión ado dado la mente", "de het de tie heid lijk vrijheid bij ij IJ Ij iJ iijj", "the  the\n" * 3000, "THE BIG Cat THEM Ñandú ÁÉÍÓ", "٣abc a٣ ² x² Ω \U0001d7d9 \U0001d400b"]
+
+
+def test_read_once(spark):
+    """What is read in one pass, or not squeezed, gives what several passes give."""
+    t = F.col("text")
+    passes = lambda p: F.regexp_count(t, F.lit(p))
+    pairs = {"tokens": (T.detected_tokens(t), T.tokens(T.preprocess(t))), "words": (T.heuristic_words(t), T._cleaned_words(t))}
+    for x in lexicon.LANGUAGES:
+        phrases, ends = rf"(?U)\b(?:{'|'.join(lexicon.ARTICLES[x])})\s+\w", rf"(?U)(?<=\w)(?:{'|'.join(lexicon.ENDINGS[x])})\b"
+        pairs[f"patterns_{x}"] = (T.evidence_patterns(t, x), passes(phrases) + passes(ends) + (passes(r"(?U)\bij\b") if x == "nl" else 0))
+        pairs[f"chars_{x}"] = (T.evidence_chars(t, x), passes(lexicon.EVIDENCE_CHARS[x]))
+    df = spark.createDataFrame([(x,) for x in ODD], "text string").filter("text is not null")
+    wrong = df.select("text", *[(~a.eqNullSafe(b)).alias(k) for k, (a, b) in pairs.items()]).collect()
+    assert [(r.text[:40], k) for r in wrong for k in pairs if r[k]] == []
+
+
+def test_hints_of_every_character(spark):
+    """Classes of both cases find what a text in lower case would have."""
+    t, low = F.col("text"), F.lower("text")
+    df = spark.range(1, 0x2FFF).select(F.lit("A").alias("a"), F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'utf-16be')").alias("c")).select(F.concat("a", "c").alias("text"))
+    h = T.char_hints(t)
+    want = {"es_chars": F.regexp_count(low, F.lit("[ñáéíóúü]")) > 0, "nl_chars": F.regexp_count(low, F.lit("[ëïöüÿ]|ij")) > 0, "en_ascii": ~low.rlike("[àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ]")}
+    assert df.select("text", *[(h[k].isNotNull() != v).alias(k) for k, v in want.items()]).filter(" or ".join(want)).collect() == []
