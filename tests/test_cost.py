@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriglot import lexicon
+from veriglot.config import AuditConfig
 from veriglot.functions import text as T
 from veriglot.functions.batches import slices
-from veriglot.operators import detect
+from veriglot.operators import detect, report
 from veriglot.plans import fitted_queries, rule_queries
 from veriglot.sources import tables
 
@@ -97,3 +98,22 @@ def test_hints_of_every_character(spark):
     h = T.char_hints(t)
     want = {"es_chars": F.regexp_count(low, F.lit("[ñáéíóúü]")) > 0, "nl_chars": F.regexp_count(low, F.lit("[ëïöüÿ]|ij")) > 0, "en_ascii": ~low.rlike("[àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ]")}
     assert df.select("text", *[(h[k].isNotNull() != v).alias(k) for k, v in want.items()]).filter(" or ".join(want)).collect() == []
+
+
+def test_tokens_and_spaces_of_every_character(spark):
+    """Tokens of a text in lower case, and spaces that are only trimmed, are those that words and patterns one by one give."""
+    texts = spark.range(1, 0xFFFF).filter("id < 55296 or id >= 57344").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'utf-16be')").alias("c")).select(F.explode(F.array(F.concat(F.lit("Ab"), "c", F.lit("cD x é"), "c"), F.concat("c", F.lit("ABC a"), "c", "c", F.lit("b ")))).alias("text"))
+    texts = texts.unionByName(spark.createDataFrame([(x,) for x in ODD], "text string").filter("text is not null"))
+    t, letter, capital = F.col("text"), f"[{T.LETTERS}]", f"[{T.CAPITALS}]"
+    words = F.transform(F.regexp_extract_all(t, F.lit(f"(?<!{letter})(?!{capital}{{4,}}+(?!{letter})){letter}{letter}++"), F.lit(0)), F.lower)
+    spaces = F.trim(F.regexp_replace(t, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
+    assert texts.filter(~T.tokens(t).eqNullSafe(words) | ~T.squeeze(t).eqNullSafe(spaces)).collect() == []
+
+
+def test_only_what_is_said(spark):
+    """Counts of issues make no snippets or contexts, and count the same issues."""
+    blocks = spark.createDataFrame([(1, 0, "De kat zit op de mat en het is niet groot"), (1, 1, "the end of it.and the rest of that")], "page_id long, block_idx int, text string")
+    few, all_ = (report.audited(blocks, AuditConfig(), said=said) for said in (report.COUNTED, report.REPORTED))
+    assert few.select(F.inline("found")).columns == ["type", "severity"]
+    got, want = (sorted(map(tuple, df.select("block_idx", F.inline("found")).select("block_idx", "type", "severity").collect())) for df in (few, all_))
+    assert got == want and len(got) > 1
