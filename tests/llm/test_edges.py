@@ -51,6 +51,31 @@ def test_suffix_dedup_hot_bucket_sorted(spark, monkeypatch):
     assert removed(df) == repeats_by_hand(pairs(df), 400)
 
 
+def test_suffix_dedup_hot_bucket_dealt_out(spark, monkeypatch):
+    """No task takes all contexts of a large bucket, and results stay the same."""
+    monkeypatch.setattr(suffix_dedup, "MOST", 10)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = word(420)
+    texts = [word(rng.randint(20, 60)) + passage + word(rng.randint(20, 60)) for _ in range(120)]
+    df = table(spark, texts)
+    shares, finer = [], suffix_dedup._finer
+
+    def seen(contexts, width, length):
+        tasks = [r["count"] for r in contexts.groupBy("key", F.spark_partition_id()).count().groupBy("key").agg(F.max("count") / F.sum("count")).toDF("key", "count").collect()]
+        shares.append(max(tasks))
+        return finer(contexts, width, length)
+
+    monkeypatch.setattr(suffix_dedup, "_finer", seen)
+    monkeypatch.setattr(suffix_dedup, "DEALS", 16, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert removed(df) == repeats_by_hand(pairs(df), 400)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shares and shares[0] < 0.7
+
+
 def test_ann_ties_and_repeated_ids(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(-3, 4, size=(400, 8)).astype(float)
